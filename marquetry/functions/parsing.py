@@ -105,7 +105,7 @@ def parse_date(
     """First format that fits; sentinels -> null; other text raises or (``on_error="null"``) -> null."""
     text = _c(col).cast("string")
     blank = text.isNull() | F.lower(text).isin(*sentinels)
-    parsed = F.coalesce(*[F.expr("null").cast("date")] + [F.try_to_date(text, f) for f in formats])
+    parsed = F.coalesce(*[F.try_to_date(text, f) for f in formats])
     if on_error == "raise":
         failed = F.raise_error(F.concat(F.lit("invalid date: "), text)).cast("date")
         parsed = F.when(parsed.isNotNull(), parsed).otherwise(failed)
@@ -119,9 +119,14 @@ def to_date(col: ColumnLike) -> Column:
 # -- lists of strings ---------------------------------------------------------------
 
 
+# --- fixed value: a quoted string inside a list literal ---
+_QUOTED = r"""\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'"""
+
+
 def _list_literal(col: ColumnLike) -> Column:
     """A list written as text, double- or single-quoted, with ``\\xNN`` escapes."""
-    return F.from_json(F.regexp_replace(_c(col), r"\\x([0-9A-Fa-f]{2})", r"\\u00$1"), "array<string>")
+    text = F.regexp_replace(_c(col), r"\\x([0-9A-Fa-f]{2})", r"\\u00$1")
+    return F.from_json(text, "array<string>", {"allowBackslashEscapingAnyCharacter": "true"})
 
 
 def parse_list_or_empty(col: ColumnLike) -> Column:
@@ -129,18 +134,14 @@ def parse_list_or_empty(col: ColumnLike) -> Column:
 
 
 def read_list(col: ColumnLike, is_text: bool = True) -> Column:
-    """List literal -> list; null or "" -> empty; anything else raises."""
+    """List literal -> list; null or "" -> empty; anything else, unquoted elements included, raises."""
     c = _c(col)
     if not is_text:
         return F.coalesce(c, _empty())
     parsed = _list_literal(c)
-    # a bracketed list whose elements all start with a quote
-    bare = c.rlike(r"^\s*\[\s*[^'\"\]\s]") | c.rlike(r"""['"]\s*,\s*[^'"\s\]]""")
+    only_strings = F.regexp_replace(c, _QUOTED, "").rlike(r"^\s*\[[\s,]*\]\s*$")
     bad = F.raise_error(F.concat(F.lit("invalid list: "), c)).cast("array<string>")
-    quoted_ok = parsed.isNotNull() & ~F.exists(parsed, lambda x: x.isNull())
-    # commas inside an element also look "bare"; only reject when the text holds a bare token at the start
-    numeric = bare & ~c.rlike(r"""^\s*\[\s*['"]""")
-    return F.when(c.isNull() | (c == ""), _empty()).when(quoted_ok & ~numeric, parsed).otherwise(bad)
+    return F.when(c.isNull() | (c == ""), _empty()).when(parsed.isNotNull() & only_strings, parsed).otherwise(bad)
 
 
 def normalize_list(
