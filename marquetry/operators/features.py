@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from marquetry import constants as K
 from marquetry.functions import parsing as P
-from marquetry.plans.quantiles import exact_quantiles, melt
+from marquetry.plans.quantiles import WIDE_ACCURACY, exact_quantiles, melt
 from marquetry.plans.ranking import dense_index
-from marquetry.plans.skew import attach_group_stats, scalar_row
+from marquetry.plans.skew import attach_group_stats, bounded, scalar_row
 
 # fill policies understood by fill_policy besides constants and callables
 MEDIAN, KEEP, EMPTY_LIST = "median", "keep", "empty_list"
@@ -49,7 +49,7 @@ def fill_policy(df: DataFrame, policy: Mapping[str, object]) -> DataFrame:
 
 def _median_row(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row with the exact median of each column."""
-    long = exact_quantiles(melt(df, cols), "value", {"median": 0.5}, ["column"], max_groups=len(cols))
+    long = exact_quantiles(melt(df, cols), "value", {"median": 0.5}, ["column"], max_groups=len(cols), accuracy=WIDE_ACCURACY)
     return long.agg(*[F.max(F.when(F.col("column") == c, F.col("median"))).alias(c) for c in cols])
 
 
@@ -93,26 +93,34 @@ def controller_code(col: str | Column) -> Column:
     return P.recode(col, K.CONTROLLER_CODES, -1.0)
 
 
+MAX_CODES = 10_000
+
+
 def label_codes(df: DataFrame, col: str, order_col: str) -> DataFrame:
-    """Distinct values of ``col`` numbered by first appearance along ``order_col``."""
-    firsts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.min(order_col).alias("_first"))
-    return dense_index(firsts, "_first", "code", tie=col).select(col, F.col("code").cast("int").alias("code"))
+    """Distinct values of ``col`` numbered by first appearance along ``order_col``, with row counts."""
+    known = df.where(F.col(col).isNotNull())
+    firsts = known.groupBy(col).agg(F.min(order_col).alias("_first"), F.count(F.lit(1)).alias("rows"))
+    return dense_index(firsts, "_first", "code", tie=col).select(col, F.col("code").cast("int").alias("code"), "rows")
 
 
-def label_encode(df: DataFrame, cols: Sequence[str], order_col: str) -> DataFrame:
+def label_encode(df: DataFrame, cols: Sequence[str], order_col: str, many: Sequence[str] = ()) -> DataFrame:
     """Replace each column by its first-appearance code, null -> -1.
 
-    The codes are joined back without a broadcast hint: the optimiser broadcasts a small code table
-    by its measured size. A hot value would be skewed in a shuffled join, so the code table is
-    attached with its counts, heavy values by broadcast.
+    Code tables of up to ``MAX_CODES`` values (checked at run time) are broadcast. Columns with more
+    values are named in ``many``: their heaviest values are broadcast and the rest is a shuffled join,
+    which reads ``df`` three times per such column - give it a stored layer.
     """
-    for c in cols:
-        codes = label_codes(df, c, order_col).withColumnRenamed("code", "_code")
-        weights = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_w"))
-        table = codes.join(weights, c).select(c, "_code", "_w")
-        coded = attach_group_stats(df.where(F.col(c).isNotNull()), table, [c], "_w")
-        nulls = df.where(F.col(c).isNull()).withColumns({"_code": F.lit(-1), "_w": F.lit(0).cast("bigint")})
-        df = coded.unionByName(nulls).withColumn(c, F.col("_code")).drop("_code", "_w")
+    base = df
+    for c in [c for c in cols if c in many]:
+        codes = label_codes(base, c, order_col).withColumnRenamed("code", "_code")
+        coded = attach_group_stats(df.where(F.col(c).isNotNull()), codes, [c], "rows").drop("rows")
+        nulls = df.where(F.col(c).isNull()).withColumn("_code", F.lit(-1))
+        df = coded.unionByName(nulls).withColumn(c, F.col("_code")).drop("_code")
+    for c in [c for c in cols if c not in many]:
+        codes = bounded(label_codes(base, c, order_col), MAX_CODES, f"values of {c}")
+        codes = codes.select(F.col(c).alias("_value"), F.col("code").alias("_code"))
+        df = df.join(F.broadcast(codes), F.col(c) == F.col("_value"), "left")
+        df = df.withColumn(c, F.coalesce("_code", F.lit(-1))).drop("_value", "_code")
     return df
 
 
@@ -209,7 +217,7 @@ def profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    medians = exact_quantiles(long, "value", {"median": 0.5}, ["column"], max_groups=len(cols))
+    medians = exact_quantiles(long, "value", {"median": 0.5}, ["column"], max_groups=len(cols), accuracy=WIDE_ACCURACY)
     return facts.join(F.broadcast(medians), "column").select("column", "distinct_count", "mode", "mean", "median", "min", "max")
 
 
@@ -230,7 +238,7 @@ def feature_layers(df: DataFrame, key: str = "appid") -> tuple[DataFrame, DataFr
             "gamefaqs_difficulty_rating": difficulty_code("gamefaqs_difficulty_rating"),
         }
     )
-    allow = label_encode(allow, LABEL_COLUMNS, key)
+    allow = label_encode(allow, LABEL_COLUMNS, key, many=("developers", "publishers"))
     # label codes are never null, so only the other columns need a policy
     policy = {c: (KEEP if c in LABEL_COLUMNS else NO_NULL_POLICY.get(c)) for c in allow.columns}
     missing = [c for c, rule in policy.items() if rule is None]

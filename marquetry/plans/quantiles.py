@@ -15,7 +15,6 @@ If the sketch ever failed its error bound the job raises; it cannot return a wro
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +22,8 @@ from pyspark.sql import functions as F
 from marquetry.plans.skew import attach_group_stats, scalar_row
 
 ACCURACY = 100_000
+# many columns at once: smaller sketches, since each column keeps one per task
+WIDE_ACCURACY = 10_000
 
 
 def _measured(df: DataFrame, value: str | Column, by: Sequence[str]) -> DataFrame:
@@ -117,7 +118,8 @@ def melt(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), dtype: st
 
 def column_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``column``, ``median`` for many numeric columns in one pass."""
-    return exact_median(melt(df, cols), "value", ["column"], max_groups=len(cols))
+    probs = {"median": 0.5}
+    return exact_quantiles(melt(df, cols), "value", probs, ["column"], max_groups=len(cols), accuracy=WIDE_ACCURACY)
 
 
 def mode_by(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "mode") -> DataFrame:
@@ -125,11 +127,3 @@ def mode_by(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "mode"
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     return counts.groupBy(*by).agg(F.min_by(value, F.struct(-F.col("_c"), F.col(value))).alias(out))
 
-
-def scalars(quantiles: DataFrame) -> Column:
-    """Quantiles of a whole frame as a struct-valued scalar subquery."""
-    return scalar_row(quantiles)
-
-
-def all_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
