@@ -296,7 +296,7 @@ def catalog_factors() -> tuple[list[Factor], list[Factor]]:
     c = F.col
     rated = (c("steam_total_reviews") >= 10) & (c("steam_positive_review_ratio") > 0)
     audio, languages = F.size("languages_with_full_audio"), F.size("languages_supported")
-    difficulty = {k.title().replace(" Right", " Right"): i + 1 for i, k in enumerate(K.DIFFICULTY_CODES)}
+    difficulty = {k.title(): i + 1 for i, k in enumerate(K.DIFFICULTY_CODES)}
     numbered = F.create_map(*[F.lit(v) for k, i in difficulty.items() for v in (k, f"{i}. {k}")])
     controller = F.create_map(*[F.lit(v) for pair in K.CONTROLLER_LABELS.items() for v in pair])
 
