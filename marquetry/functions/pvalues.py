@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marquetry.functions.tails import f_tail, t_two_sided
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_pvalue(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return pd.Series([f_tail(a, b, c) for a, b, c in zip(f, df1, df2)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(a, b) for a, b in zip(t, df)], dtype="float64")

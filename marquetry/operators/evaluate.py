@@ -226,20 +226,22 @@ def expected_class(probabilities: Column) -> Column:
 
 def class_labels(df: DataFrame, year: str, price: str, edges: Sequence[int] = (0, 50, 100, 250, 500, 1000, 2500, 5000), out: str = "labels") -> DataFrame:
     """Class labels in estimated owners for each row's year and price, e.g. ``4k - 8k``."""
-    owners = [
-        step_round(estimate_owners(F.lit(e), F.col(year), F.col(price), open_start=True, min_reviews=0), K.STEP_ROUNDING) for e in edges
-    ]
-    thousands = [F.concat(F.bround(o / 1000.0).cast("bigint").cast("string"), F.lit("k")) for o in owners]
-    labels = []
-    for i in range(len(edges)):
-        if i == len(edges) - 1:
-            text = F.concat(F.lit(">= "), thousands[i])
-        else:
-            text = F.when(owners[i] == 0, F.concat(F.lit("< "), thousands[i + 1])).otherwise(
-                F.concat(thousands[i], F.lit(" - "), thousands[i + 1])
-            )
-        labels.append(text)
-    return df.withColumn(out, F.array(*labels))
+    marks = F.array(*[F.lit(e) for e in edges])
+    owners = F.transform(marks, lambda e: estimate_owners(e, F.col(year), F.col(price), open_start=True, min_reviews=0))
+    rounded = F.transform(F.col("_owners"), lambda o: step_round(o, K.STEP_ROUNDING))
+    df = df.withColumn("_owners", owners).withColumn("_owners", rounded)
+    thousands = F.transform("_owners", lambda o: F.concat(F.bround(o / 1000.0).cast("bigint").cast("string"), F.lit("k")))
+    df = df.withColumn("_k", thousands)
+    last = len(edges) - 1
+
+    def text(i: int) -> Column:
+        lower = F.get("_k", F.lit(i))
+        if i == last:
+            return F.concat(F.lit(">= "), lower)
+        upper = F.get("_k", F.lit(i + 1))
+        return F.when(F.get("_owners", F.lit(i)) == 0, F.concat(F.lit("< "), upper)).otherwise(F.concat(lower, F.lit(" - "), upper))
+
+    return df.withColumn(out, F.array(*[text(i) for i in range(len(edges))])).drop("_owners", "_k")
 
 
 # -- candidates and what-if ---------------------------------------------------------
@@ -326,11 +328,12 @@ def what_if_rows(
     changes = [change(c, F.when(F.col(f"`{c}`") == 0, 1.0).otherwise(0.0)) for c in features if c.startswith("~")]
     changes += [change(c, F.lit(float(v))) for c, values in tests.items() if c in features for v in values]
     listed = F.array(*changes)
+    rows = candidates
     if baseline is not None:
-        base = scalar_row(baseline)
-        resets = [F.when(F.col(f"`{c}`") != base[c], change(c, base[c])) for c in features]
+        rows = rows.withColumn("_b", scalar_row(baseline))
+        base = {c: F.col("_b").getField(c).cast("double") for c in features}
+        resets = [F.when(F.col(f"`{c}`").cast("double") != base[c], change(c, base[c])) for c in features]
         listed = F.concat(listed, F.filter(F.array(*resets), lambda x: x.isNotNull()))
-    rows = candidates.withColumn("_change", F.explode(F.array_distinct(listed)))
+    rows = rows.withColumn("_change", F.explode(F.array_distinct(listed)))
     values = [F.when(F.col("_change.feature") == c, F.col("_change.value")).otherwise(F.col(f"`{c}`").cast("double")).alias(c) for c in features]
-    carried = [F.col(candidate)]
-    return rows.select(*carried, F.col("_change.feature").alias("change_feature"), F.col("_change.value").alias("change_value"), *values)
+    return rows.select(candidate, F.col("_change.feature").alias("change_feature"), F.col("_change.value").alias("change_value"), *values)

@@ -165,7 +165,7 @@ def cv_score(
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds, parallelism=parallelism, foldCol="_fold")
     fitted = cv.fit(data)
     return [
-        {"mean": m, "sd": s, "score": m - penalty * s} for m, s in zip(fitted.avgMetrics, fitted.stdMetrics)
+        {"mean": float(m), "sd": float(s), "score": float(m - penalty * s)} for m, s in zip(fitted.avgMetrics, fitted.stdMetrics)
     ]
 
 
