@@ -78,7 +78,7 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", joined(P.split_list("p_name", " "), "words"))
 
 
-@query("b06_count_items", "select doc_id, len(string_split(text, '.')) as sentences from documents")
+@query("b06_count_items", "select doc_id, cast(len(string_split(text, '.')) as integer) as sentences from documents")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", P.count_items("text", ".").alias("sentences"))
 
@@ -472,7 +472,7 @@ def _(spark, sf):
     return _free(spark, sf).select("item_id", model.alias("model"))
 
 
-@query("f08_date_parts", over_items("select item_id, year(release_date) as r_year, month(release_date) as r_month, day(release_date) as r_day_of_month from items"))
+@query("f08_date_parts", over_items("select item_id, year(release_date)::int as r_year, month(release_date)::int as r_month, day(release_date)::int as r_day_of_month from items"))
 def _(spark, sf):
     return D.date_parts(items(spark, sf), "release_date", "r_").select("item_id", "r_year", "r_month", "r_day_of_month")
 
@@ -563,7 +563,7 @@ def _(spark, sf):
     return items(spark, sf).select("item_id", P.first_of_list("tags").alias("first"))
 
 
-@query("g03_ordinal_codes", "select o_orderkey, case o_orderkey % 4 when 0 then 0 when 1 then 5 when 2 then 8 else -1 end as difficulty, case o_orderkey % 4 when 0 then 1.0 when 1 then 0.5 when 2 then 0.0 else -1.0 end as controller from orders")
+@query("g03_ordinal_codes", "select o_orderkey, case o_orderkey % 4 when 0 then 0 when 1 then 5 when 2 then 8 else -1 end as difficulty, cast(case o_orderkey % 4 when 0 then 1.0 when 1 then 0.5 when 2 then 0.0 else -1.0 end as double) as controller from orders")
 def _(spark, sf):
     k = F.col("o_orderkey") % 4
     difficulty = F.when(k == 0, "Simple").when(k == 1, "Just Right-Tough").when(k == 2, "unforgiving")
@@ -594,7 +594,7 @@ def _(spark, sf):
     return G.label_encode(_labelled(spark, sf), ["release_date"], "item_id", many=["release_date"]).select("item_id", "release_date")
 
 
-@query("g06_list_counts", over_items("select item_id, len(tags) as tags_count from items"))
+@query("g06_list_counts", over_items("select item_id, len(tags)::int as tags_count from items"))
 def _(spark, sf):
     return G.list_counts(items(spark, sf).select("item_id", "tags"), ["tags"]).select("item_id", "tags_count")
 
@@ -628,9 +628,10 @@ def _(spark, sf):
     return hot.groupBy(active.alias("active")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("g10_drop_leakage", "select o_orderkey, o_orderdate from orders")
+@query("g10_drop_leakage", "select o_orderkey, o_orderdate::date as o_orderdate from orders")
 def _(spark, sf):
-    return G.drop_leakage(table(spark, sf, "orders"), ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "not_there"])
+    rows = table(spark, sf, "orders").withColumn("o_orderdate", F.to_date("o_orderdate"))
+    return G.drop_leakage(rows, ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "not_there"])
 
 
 _BIN = "case when t <= 50 then 0 when t <= 100 then 1 when t <= 250 then 2 when t <= 500 then 3 when t <= 1000 then 4 when t <= 2500 then 5 when t <= 5000 then 6 when t > 5000 then 7 end"

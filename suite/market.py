@@ -165,7 +165,7 @@ def _(spark, sf):
     return out.select("release_year", *[F.round(F.col(f"`{b[0]}`"), 6).alias(b[0]) for b in _BRACKETS])
 
 
-@query("i09_models_per_year", over_items("select release_year, count_if(model = 'F') as \"F\", count_if(model = 'O') as \"O\", count_if(model = 'P') as \"P\" from items group by 1"))
+@query("i09_models_per_year", over_items("select release_year, count_if(model = 'F')::bigint as \"F\", count_if(model = 'O')::bigint as \"O\", count_if(model = 'P')::bigint as \"P\" from items group by 1"))
 def _(spark, sf):
     return I.pivot_count(items(spark, sf), "release_year", "model", MODELS)
 
@@ -289,7 +289,7 @@ def _(spark, sf):
 
 _Z = M.z_two_sided(0.95)
 _DEVIATION = {
-    "c": "select release_year, count_if(list_contains(tags, 'ring')) as observed, count(*) as total from items group by 1",
+    "c": "select release_year, count_if(list_contains(tags, 'ring'))::bigint as observed, count(*) as total from items group by 1",
     "g": "select sum(observed) / sum(total) as p from c",
     "d": f"select *, total * p as expected, observed / total as ph, {_Z} * sqrt((observed / total) * (1 - observed / total) / total) as m from c, g",
 }
@@ -424,7 +424,7 @@ def _(spark, sf):
 
 @query(
     "j04_linear_regression",
-    over_items("select regr_count(owners, price) as n, round(regr_intercept(owners, price), 6) as intercept, round(regr_slope(owners, price), 6) as slope, round(regr_r2(owners, price), 6) as r_squared, round(regr_r2(owners, price) / (1 - regr_r2(owners, price)), 6) as cohen_f2 from items"),
+    over_items("select regr_count(owners, price)::bigint as n, round(regr_intercept(owners, price), 6) as intercept, round(regr_slope(owners, price), 6) as slope, round(regr_r2(owners, price), 6) as r_squared, round(regr_r2(owners, price) / (1 - regr_r2(owners, price)), 6) as cohen_f2 from items"),
 )
 def _(spark, sf):
     fit = J.poly_regression(items(spark, sf), "price", "owners", 1)
@@ -479,7 +479,7 @@ def _(spark, sf):
     return out.select("factor", "n", "variance_explained")
 
 
-@query("j08_numeric_factor", over_items("select 'price' as factor, regr_count(ratio, price) as n, round(regr_r2(ratio, price), 3) as variance_explained from items where price > 0"))
+@query("j08_numeric_factor", over_items("select 'price' as factor, regr_count(ratio, price)::bigint as n, round(regr_r2(ratio, price), 3) as variance_explained from items where price > 0"))
 def _(spark, sf):
     out = J.numeric_factors(items(spark, sf), "ratio", [J.Factor("price", F.col("price"), F.col("price") > 0)])
     return out.select("factor", "n", "variance_explained")

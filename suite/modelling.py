@@ -228,7 +228,7 @@ def _candidate_text(spark, sf):
     )
 
 
-@query("l18_candidate_settings", "select o_orderkey as item_id, 'price' as feature, case when o_orderkey % 4 = 0 then 99.5 else o_orderkey % 60 end as value from orders union all select o_orderkey, '~tag_ring', 1 from orders where o_orderkey % 2 = 0")
+@query("l18_candidate_settings", "select o_orderkey as item_id, 'price' as feature, cast(case when o_orderkey % 4 = 0 then 99.5 else o_orderkey % 60 end as double) as value from orders union all select o_orderkey, '~tag_ring', 1.0 from orders where o_orderkey % 2 = 0")
 def _(spark, sf):
     valid, _rejected = L.parse_candidates(_candidate_text(spark, sf), "item_id", "text", FEATURES)
     return valid
@@ -258,8 +258,8 @@ def _matrix(spark, sf):
 @query(
     "l18_overlay_on_baseline",
     over_items(
-        f"select o_orderkey as item_id, case when o_orderkey % 4 = 0 then 99.5 else o_orderkey % 60 end as price, (select median(pos) from m) as pos, (select median(neg) from m) as neg, case when o_orderkey % 2 = 0 then 1.0 else {'(select t from m group by t order by count(*) desc, t limit 1)'} end as \"~tag_ring\", (select b from m group by b order by count(*) desc, b limit 1) as \"~tag_bolt\" from orders",
-        m="select pos, neg, list_contains(tags, 'ring')::int as t, list_contains(tags, 'bolt')::int as b from items where price is not null and owners is not null and ratio is not null",
+        f"select o_orderkey as item_id, cast(case when o_orderkey % 4 = 0 then 99.5 else o_orderkey % 60 end as double) as price, (select median(pos) from m) as pos, (select median(neg) from m) as neg, case when o_orderkey % 2 = 0 then cast(1.0 as double) else {'(select t from m group by t order by count(*) desc, t limit 1)'} end as \"~tag_ring\", (select b from m group by b order by count(*) desc, b limit 1) as \"~tag_bolt\" from orders",
+        m="select pos, neg, list_contains(tags, 'ring')::int::double as t, list_contains(tags, 'bolt')::int::double as b from items where price is not null and owners is not null and ratio is not null",
     ),
 )
 def _(spark, sf):
