@@ -15,7 +15,7 @@ from marquetry.functions.parsing import step_round
 from marquetry.operators.filters import drop_top_k
 from marquetry.operators.fuzzy import fuzzy_lookup
 from marquetry.plans.quantiles import exact_quantiles
-from marquetry.plans.skew import attach_group_stats, hash_fraction, scalar_row
+from marquetry.plans.skew import attach_group_stats, hash_fraction, scalar_row, with_scalars
 
 # -- splits and samples -------------------------------------------------------------
 
@@ -33,7 +33,7 @@ def equal_width_stratum(df: DataFrame, col: str, bins: int = 10) -> Column:
 
 
 def _with_threshold(df: DataFrame, stratum: Column, key: str, p: float, bins: int, seed: int) -> DataFrame:
-    rows = df.withColumns({"_stratum": stratum, "_h": hash_fraction(seed, F.col(key))})
+    rows = df.withColumn("_stratum", stratum).withColumns({"_h": hash_fraction(seed, F.col(key))})
     limits = exact_quantiles(rows, "_h", {"_limit": p}, ["_stratum"], max_groups=bins + 1, count_as="_w")
     return attach_group_stats(rows, limits, ["_stratum"], "_w", max_groups=bins + 1)
 
@@ -88,9 +88,9 @@ def quantile_uniform(df: DataFrame, cols: Sequence[str], n: int = 1000, exact: b
 
 def standardize(train: DataFrame, valid: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
     """Zero mean and unit deviation, both taken from ``train``."""
-    s = scalar_row(train.agg(F.avg(col).alias("m"), F.stddev_pop(col).alias("sd")))
-    scaled = (F.col(col) - s["m"]) / F.when(s["sd"] > 0, s["sd"]).otherwise(1.0)
-    return train.withColumn(col, scaled), valid.withColumn(col, scaled)
+    moments = train.agg(F.avg(col).alias("m"), F.stddev_pop(col).alias("sd"))
+    scaled = (F.col(col) - F.col("_s.m")) / F.when(F.col("_s.sd") > 0, F.col("_s.sd")).otherwise(1.0)
+    return tuple(with_scalars(df, moments).withColumn(col, scaled).drop("_s") for df in (train, valid))
 
 
 # -- scores -------------------------------------------------------------------------
@@ -278,9 +278,11 @@ def suggest_features(rejected: DataFrame, features: Sequence[str], k: int = 1) -
 def overlay(df: DataFrame, candidate: str, valid: DataFrame, baseline: DataFrame) -> DataFrame:
     """One full feature row per candidate: its own settings over the baseline row."""
     wide = valid.groupBy(candidate).pivot("feature", list(baseline.columns)).agg(F.first("value"))
-    rows = df.select(candidate).distinct().join(wide, candidate, "left")
-    base = scalar_row(baseline)
-    return rows.select(candidate, *[F.coalesce(F.col(f"`{c}`"), base[c].cast("double")).alias(c) for c in baseline.columns])
+    rows = with_scalars(df.select(candidate).distinct().join(wide, candidate, "left"), baseline, "_base")
+    base = F.col("_base")
+    return rows.select(
+        candidate, *[F.coalesce(F.col(f"`{c}`"), base.getField(c).cast("double")).alias(c) for c in baseline.columns]
+    )
 
 
 # --- fixed values: values tried per feature ---

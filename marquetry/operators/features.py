@@ -12,7 +12,7 @@ from marquetry import constants as K
 from marquetry.functions import parsing as P
 from marquetry.plans.quantiles import WIDE_ACCURACY, exact_quantiles, melt
 from marquetry.plans.ranking import dense_index
-from marquetry.plans.skew import attach_group_stats, bounded, scalar_row
+from marquetry.plans.skew import attach_group_stats, bounded, with_scalars
 
 # fill policies understood by fill_policy besides constants and callables
 MEDIAN, KEEP, EMPTY_LIST = "median", "keep", "empty_list"
@@ -28,13 +28,13 @@ def fill_policy(df: DataFrame, policy: Mapping[str, object]) -> DataFrame:
     if unknown:
         raise ValueError(f"no fill policy for {unknown}")
     wanted = [c for c in df.columns if policy[c] == MEDIAN]
-    medians = scalar_row(_median_row(df, wanted)) if wanted else None
+    rows = with_scalars(df, _median_row(df, wanted), "_medians") if wanted else df
     types = dict(df.dtypes)
     out = []
     for c in df.columns:
         col, rule = F.col(f"`{c}`"), policy[c]
         if rule == MEDIAN:
-            col = F.coalesce(col.cast("double"), medians[c])
+            col = F.coalesce(col.cast("double"), F.col("_medians").getField(c))
         elif rule == EMPTY_LIST:
             col = F.coalesce(col, F.array().cast(types[c]))
         elif isinstance(rule, tuple) and rule[0] == "value":
@@ -44,7 +44,7 @@ def fill_policy(df: DataFrame, policy: Mapping[str, object]) -> DataFrame:
         elif rule != KEEP:
             raise ValueError(f"unknown policy {rule!r} for {c}")
         out.append(col.alias(c))
-    return df.select(out)
+    return rows.select(out)
 
 
 def _median_row(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -189,21 +189,22 @@ def baseline_row(
     """
     overrides = dict(overrides or {})
     parts: dict[str, Column] = {}
+    row = df.sparkSession.range(1)
     if modes:
         types = dict(df.dtypes)
         counts = melt(df, modes, dtype="string").where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("_c"))
         numeric = F.col("value").try_cast("double")
         # numbers compare as numbers, text as text
         top = counts.groupBy("column").agg(F.min_by("value", F.struct(-F.col("_c"), numeric, F.col("value"))).alias("mode"))
-        row = scalar_row(top.agg(*[F.max(F.when(F.col("column") == c, F.col("mode"))).alias(c) for c in modes]))
-        parts.update({c: row[c].cast(types[c]) for c in modes})
+        row = with_scalars(row, top.agg(*[F.max(F.when(F.col("column") == c, F.col("mode"))).alias(c) for c in modes]), "_modes")
+        parts.update({c: F.col("_modes").getField(c).cast(types[c]) for c in modes})
     if medians or rounded:
-        row = scalar_row(_median_row(df, [*medians, *rounded]))
-        parts.update({c: row[c] for c in medians})
-        parts.update({c: F.bround(row[c]).cast("bigint") for c in rounded})
+        row = with_scalars(row, _median_row(df, [*medians, *rounded]), "_medians")
+        parts.update({c: F.col("_medians").getField(c) for c in medians})
+        parts.update({c: F.bround(F.col("_medians").getField(c)).cast("bigint") for c in rounded})
     parts.update({c: F.lit(v) for c, v in overrides.items()})
     out = [parts.get(c, F.lit(missing)).alias(c) for c in df.columns]
-    return df.sparkSession.range(1).select(out)
+    return row.select(out)
 
 
 def profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marquetry.plans.quantiles import exact_quantiles
-from marquetry.plans.skew import scalar_row
+from marquetry.plans.skew import scalar_row, with_scalars
 
 
 def between(df: DataFrame, col: str, lo, hi) -> DataFrame:
@@ -31,8 +31,8 @@ def thresholds(df: DataFrame, at_least: dict | None = None, above: dict | None =
 
 def trim_quantiles(df: DataFrame, col: str, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
     """Rows within the inclusive quantile range of ``col``."""
-    q = scalar_row(exact_quantiles(df, col, {"lo": lo, "hi": hi}))
-    return df.where((F.col(col) >= q["lo"]) & (F.col(col) <= q["hi"]))
+    rows = with_scalars(df, exact_quantiles(df, col, {"lo": lo, "hi": hi}), "_q")
+    return rows.where(F.col(col).between(F.col("_q.lo"), F.col("_q.hi"))).drop("_q")
 
 
 def below_quantile(df: DataFrame, col: str, q: float) -> DataFrame:
@@ -48,15 +48,15 @@ def iqr_outliers(df: DataFrame, col: str, k: float = 1.5, cap: bool = False) ->
     dtype = df.schema[col].dataType
     if not isinstance(dtype, T.NumericType):
         raise ValueError(f"column {col!r} must be numeric")
-    q = scalar_row(exact_quantiles(df, col, {"q1": 0.25, "q3": 0.75}))
-    reach = (q["q3"] - q["q1"]) * k
-    lo, hi = q["q1"] - reach, q["q3"] + reach
+    rows = with_scalars(df, exact_quantiles(df, col, {"q1": 0.25, "q3": 0.75}), "_q")
+    q1, q3 = F.col("_q.q1"), F.col("_q.q3")
+    lo, hi = q1 - (q3 - q1) * k, q3 + (q3 - q1) * k
     if isinstance(dtype, T.IntegralType):
         lo, hi = F.floor(lo), F.ceil(hi)
     if not cap:
-        return df.where(F.col(col).between(lo, hi))
+        return rows.where(F.col(col).between(lo, hi)).drop("_q")
     capped = F.greatest(F.least(F.col(col), hi), lo)
-    return df.withColumn(col, F.when(F.col(col).isNotNull(), capped).cast(dtype))
+    return rows.withColumn(col, F.when(F.col(col).isNotNull(), capped).cast(dtype)).drop("_q")
 
 
 def keep_top_n(df: DataFrame, col: str, n: int) -> DataFrame:

@@ -12,7 +12,7 @@ from marquetry.functions import metrics as M
 from marquetry.functions import parsing as P
 from marquetry.operators.filters import below_quantile, keep_top_n
 from marquetry.plans.quantiles import exact_quantiles, mode_by
-from marquetry.plans.skew import attach_group_stats, scalar_row
+from marquetry.plans.skew import attach_group_stats, with_scalars
 
 
 def count_by(df: DataFrame, keys: Sequence[str], out: str = "count") -> DataFrame:
@@ -96,8 +96,9 @@ def shrunk_effect(
         F.avg(metric).alias("mean_metric"), F.count("item").alias("count")
     )
     n = F.col("count")
-    step = stats.withColumn("smoothed_mean", (n * F.col("mean_metric") + F.lit(k) * overall) / (n + F.lit(k)))
-    return step.withColumn("relative_diff", (F.col("smoothed_mean") - overall) / overall)
+    m = F.col("_overall")
+    step = stats.withColumn("_overall", overall).withColumn("smoothed_mean", (n * F.col("mean_metric") + F.lit(k) * m) / (n + F.lit(k)))
+    return step.withColumn("relative_diff", (F.col("smoothed_mean") - m) / m).drop("_overall")
 
 
 def top_bottom(df: DataFrame, by: str, n: int, tie: str, partition: str | None = None) -> DataFrame:
@@ -122,16 +123,17 @@ def histogram(df: DataFrame, col: str, bins: int, weight: str | None = None) ->
     rows = df.where(F.col(col).isNotNull())
     if weight:
         rows = rows.where(F.col(weight).isNotNull())
-    span = scalar_row(rows.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi")))
+    span = rows.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
+    rows = with_scalars(rows, span)
     # a constant column gets a unit range around it
-    flat = span["hi"] == span["lo"]
-    lo = F.when(flat, span["lo"] - 0.5).otherwise(span["lo"])
-    width = F.when(flat, F.lit(1.0)).otherwise(span["hi"] - span["lo"]) / F.lit(bins)
+    flat = F.col("_s.hi") == F.col("_s.lo")
+    lo = F.when(flat, F.col("_s.lo") - 0.5).otherwise(F.col("_s.lo"))
+    width = F.when(flat, F.lit(1.0)).otherwise(F.col("_s.hi") - F.col("_s.lo")) / F.lit(bins)
     index = F.least(F.floor((F.col(col) - lo) / width), F.lit(bins - 1)).cast("int")
     value = F.sum(weight) if weight else F.count(F.lit(1))
     counted = rows.groupBy(index.alias("bin")).agg(value.alias("value"))
     frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    filled = frame.join(F.broadcast(counted), "bin", "left")
+    filled = with_scalars(frame.join(F.broadcast(counted), "bin", "left"), span)
     return filled.select(
         "bin", (lo + F.col("bin") * width).alias("left"), (lo + (F.col("bin") + 1) * width).alias("right"),
         F.coalesce("value", F.lit(0)).alias("value"),
@@ -153,10 +155,10 @@ def common_values(
     not above max + 1, so negative prices fall out, as do values at or past the last edge.
     """
     start = segments[-1][1]
-    scope = scalar_row(df.agg(F.max(col).cast("double").alias("hi"), F.count(F.lit(1)).alias("n")))
+    scope = df.agg(F.max(col).cast("double").alias("hi"), F.count(F.lit(1)).alias("n"))
     x = F.col(col).cast("double")
     # number of tail edges of arange(start, max + 1, width)
-    edges = F.ceil((scope["hi"] + 1 - start) / tail_width)
+    edges = F.ceil((F.col("_s.hi") + 1 - start) / tail_width)
     last_edge = F.lit(start) + (edges - 1) * tail_width
 
     def within(lo: float, width: float) -> Column:
@@ -171,7 +173,7 @@ def common_values(
     tail = (x >= start) & (x < last_edge)
     left = F.when(tail, F.lit(start) + within(start, tail_width) * tail_width).otherwise(left)
     right = F.when(tail, F.lit(start) + (within(start, tail_width) + 1) * tail_width).otherwise(right)
-    binned = df.select(
+    binned = with_scalars(df, scope).select(
         F.round(left, 6).alias("start"), F.round(right, 6).alias("end"), x.alias("price"), score, owners
     ).where(F.col("start").isNotNull())
 
@@ -182,8 +184,8 @@ def common_values(
     owned = exact_quantiles(kept, owners, {"median_owners": 0.5}, ["start"], max_groups=top_n)
     # every side has at most top_n rows
     out = top.join(F.broadcast(modes), "start").join(F.broadcast(scores), "start", "left").join(F.broadcast(owned), "start", "left")
-    share = F.col("count") / scope["n"]
-    return out.select(
+    share = F.col("count") / F.col("_s.n")
+    return with_scalars(out, scope).select(
         F.format_string("$%.2f (%.2f - %.2f)", "mode_price", "start", "end").alias("label"),
         F.when(share < 0.01, "<0.01").otherwise(F.format_string("%.2f", share)).alias("proportion"),
         "count", "median_score", "median_owners", "mode_price", "start", "end",
@@ -199,13 +201,13 @@ def bracket_ratio_diff(
     labels: Sequence[str] = K.PRICE_RATIO_LABELS,
 ) -> DataFrame:
     """Pooled positive ratio per price bracket minus the pooled ratio of everything in scope."""
-    total = scalar_row(df.agg(F.sum(pos).alias("p"), F.sum(neg).alias("n")))
-    overall = F.try_divide(total["p"].cast("double"), total["p"] + total["n"])
+    total = df.agg(F.sum(pos).alias("p"), F.sum(neg).alias("n"))
+    overall = F.try_divide(F.col("_s.p").cast("double"), F.col("_s.p") + F.col("_s.n"))
     names = F.array(*[F.lit(x) for x in labels])
     binned = df.select(P.bucketize(price, edges).alias("bin"), pos, neg).where(F.col("bin").isNotNull())
     sums = binned.groupBy("bin").agg(F.coalesce(F.sum(pos), F.lit(0)).alias("positive"), F.coalesce(F.sum(neg), F.lit(0)).alias("negative"))
     ratio = F.try_divide(F.col("positive").cast("double"), F.col("positive") + F.col("negative"))
-    return sums.select(
+    return with_scalars(sums, total).select(
         F.get(names, F.col("bin")).alias("bracket"), "positive", "negative", ratio.alias("ratio"), (ratio - overall).alias("ratio_diff")
     )
 
@@ -213,15 +215,15 @@ def bracket_ratio_diff(
 def deviation_from_expected(df: DataFrame, group: str, predicate: Column, confidence: float = 0.95) -> DataFrame:
     """Observed count per group against the count expected from the overall share, with an interval."""
     counts = df.groupBy(group).agg(F.count_if(predicate).alias("observed"), F.count(F.lit(1)).alias("total"))
-    overall = scalar_row(counts.agg(F.sum("observed").alias("o"), F.sum("total").alias("t")))
-    share = F.coalesce(F.try_divide(overall["o"].cast("double"), overall["t"]), F.lit(0.0))
+    overall = counts.agg(F.sum("observed").alias("o"), F.sum("total").alias("t"))
+    share = F.coalesce(F.try_divide(F.col("_s.o").cast("double"), F.col("_s.t")), F.lit(0.0))
     lo, hi = M.binom_ci(F.col("observed"), F.col("total"), confidence)
     expected = F.col("total") * share
 
     def percent(value: Column, reference: Column) -> Column:
         return F.try_divide(value - reference, reference) * 100
 
-    return counts.select(
+    return with_scalars(counts, overall).select(
         group, "observed", "total", expected.alias("expected"),
         percent(F.col("observed"), expected).alias("percent_deviation"),
         percent(lo, share).alias("ci_lower"), percent(hi, share).alias("ci_upper"),

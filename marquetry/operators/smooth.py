@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquetry.plans.quantiles import exact_quantiles
@@ -79,10 +79,10 @@ def compare_distributions(
     frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     full = frame.join(F.broadcast(counted), "bin", "left").fillna(0.0)
     smooth = savgol(full, "bin", ["subset", "overall"], bins, window, order)
-    mass = scalar_row(smooth.agg(F.sum("subset").alias("s"), F.sum("overall").alias("o")))
-    return smooth.select(
-        "bin", ((F.col("bin") + 0.5) * width).alias("center"), "subset", F.try_divide(F.col("overall"), mass["o"]).alias("_share")
-    ).select("bin", "center", "subset", (F.col("_share") * mass["s"]).alias("overall"))
+    # a whole-frame window over `bins` rows
+    everything = Window.partitionBy()
+    scaled = F.try_divide(F.col("overall"), F.sum("overall").over(everything)) * F.sum("subset").over(everything)
+    return smooth.select("bin", ((F.col("bin") + 0.5) * width).alias("center"), "subset", scaled.alias("overall"))
 
 
 # -- kernel density -----------------------------------------------------------------

@@ -20,17 +20,18 @@ from marquetry.functions.metrics import level
 from marquetry.functions.pvalues import f_pvalue, t_pvalue
 from marquetry.functions.tails import f_tail, t_two_sided
 from marquetry.plans.quantiles import exact_quantiles
-from marquetry.plans.skew import attach_group_stats, scalar_row
+from marquetry.plans.skew import attach_group_stats, with_scalars
 
 
 def adjust_for_group(df: DataFrame, metric: str, group: str, out: str | None = None, max_groups: int | None = None) -> DataFrame:
     """z-score within the group, re-projected on the overall mean and deviation; sd 0 or null -> null."""
     x = F.col(metric).cast("double")
     stats = df.groupBy(group).agg(F.avg(x).alias("_m"), F.stddev_samp(x).alias("_sd"), F.count(F.lit(1)).alias("_w"))
-    overall = scalar_row(df.agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("sd")))
+    overall = df.agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("sd"))
     rows = attach_group_stats(df, stats, [group], "_w", max_groups)
     z = F.try_divide(x - F.col("_m"), F.col("_sd"))
-    return rows.withColumn(out or metric, z * overall["sd"] + overall["m"]).drop("_m", "_sd", "_w")
+    rows = with_scalars(rows, overall, "_o")
+    return rows.withColumn(out or metric, z * F.col("_o.sd") + F.col("_o.m")).drop("_m", "_sd", "_w", "_o")
 
 
 # -- one-way analysis of variance ---------------------------------------------------
@@ -49,8 +50,7 @@ def anova(df: DataFrame, num: str, cat: str, by: Sequence[str] = (), p_value: bo
     if by:
         joined = groups.join(first, list(by))
     else:
-        s = scalar_row(first)
-        joined = groups.withColumns({"_total": s["_total"], "_mean": s["_mean"]})
+        joined = with_scalars(groups, first).select("*", "_s._total", "_s._mean")
     sums = joined.groupBy(*by).agg(
         F.count(F.lit(1)).alias("groups"),
         F.first("_total").alias("n"),
@@ -146,9 +146,12 @@ def _solve(row: dict, degree: int) -> dict:
     }
 
 
-def poly_regression(df: DataFrame, x: str, y: str, degree: int = 1, by: Sequence[str] = (), max_groups: int | None = 10_000) -> DataFrame:
+def poly_regression(
+    df: DataFrame, x: str, y: str, degree: int | dict[str, int] = 1, by: Sequence[str] = (), max_groups: int | None = 10_000
+) -> DataFrame:
     """Coefficients (constant first), R squared, p-values and Cohen's f squared per group.
 
+    ``degree`` may differ by the value of the first grouping column.
     Pass 1 finds the means, pass 2 the power sums around them; the (degree + 1) x (degree + 1) system
     of each aggregated row is solved in an Arrow batch.
     """
@@ -159,14 +162,15 @@ def poly_regression(df: DataFrame, x: str, y: str, degree: int = 1, by: Sequence
     if by:
         centred = attach_group_stats(rows, rows.groupBy(*by).agg(*means), by, "n", max_groups)
     else:
-        s = scalar_row(rows.agg(*means))
-        centred = rows.withColumns({c: s[c] for c in ("mx", "sx", "my", "n")})
+        centred = with_scalars(rows, rows.agg(*means)).select("_x", "_y", "_s.*")
+    top = max(degree.values()) if isinstance(degree, dict) else degree
     z = (F.col("_x") - F.col("mx")) / F.when(F.col("sx") > 0, F.col("sx")).otherwise(1.0)
-    sums = centred.groupBy(*by, "mx", "sx", "my", "n").agg(*moment_sums(z, F.col("_y") - F.col("my"), degree))
+    sums = centred.groupBy(*by, "mx", "sx", "my", "n").agg(*moment_sums(z, F.col("_y") - F.col("my"), top))
 
     def solve(batches):
         for pdf in batches:
-            solved = [_solve(r, degree) for r in pdf.to_dict("records")]
+            rows = pdf.to_dict("records")
+            solved = [_solve(r, degree[r[by[0]]] if isinstance(degree, dict) else degree) for r in rows]
             yield pd.concat([pdf[by].reset_index(drop=True), pd.DataFrame(solved, columns=list(_RESULT))], axis=1)
 
     lead = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields)
@@ -211,7 +215,7 @@ def _verdicts(p: Column, strength: Column) -> dict[str, Column]:
 
 
 def numeric_factors(df: DataFrame, metric: str, factors: Sequence[Factor]) -> DataFrame:
-    """Fit every numeric factor in one long-form pass per degree; verdicts by p, f squared and R squared."""
+    """Fit every numeric factor in one long-form pass; verdicts by p, f squared and R squared."""
     items = []
     for f in factors:
         x = f.value.cast("double")
@@ -229,11 +233,7 @@ def numeric_factors(df: DataFrame, metric: str, factors: Sequence[Factor]) -> Da
         kept = attach_group_stats(chosen, bounds, ["factor"], "_w", len(names)).where(F.col("x").between(F.col("lo"), F.col("hi")))
         parts.append(kept.select("y", "factor", "x"))
     rows = reduce(DataFrame.unionByName, parts)
-    fits = []
-    for degree in sorted({f.degree for f in factors}):
-        names = [f.name for f in factors if f.degree == degree]
-        fits.append(poly_regression(rows.where(F.col("factor").isin(*names)), "x", "y", degree, ["factor"], len(names)))
-    result = reduce(DataFrame.unionByName, fits)
+    result = poly_regression(rows, "x", "y", {f.name: f.degree for f in factors}, ["factor"], len(factors))
     p, r2, f2 = F.round("f_p_value", 3), F.round("r_squared", 3), F.col("cohen_f2")
     strict = (p < 0.1) & (f2 >= 0.15)
     strength = F.when(strict, level(r2, K.R2_STRICT_LEVELS, "negligible")).otherwise(level(r2, K.ETA_LEVELS, "negligible"))

@@ -71,30 +71,24 @@ def exact_quantiles(
 
     order = Window.partitionBy(*by, "_k").orderBy("_side", "_in").rowsBetween(Window.unboundedPreceding, 0)
     located = counts.withColumn("_end", F.sum("_c").over(order)).withColumn("_start", F.col("_end") - F.col("_c"))
-    aggs = []
-    for i, p in enumerate(points):
-        position = F.lit(p) * (F.col("_n") - 1)
-        for tag, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            aggs.append(F.max(F.when(F.col("_k") == i, _value_at(rank))).alias(f"_{tag}{i}"))
-    picked = located.groupBy(*by, "_n").agg(*aggs) if by else located.groupBy("_n").agg(*aggs)
-
-    outputs = []
-    for i, (name, p) in enumerate(zip(names, points)):
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        position = F.lit(p) * (F.col("_n") - 1)
-        value_expr = lo + (hi - lo) * (position - F.floor(position))
-        outputs.append(
-            F.when(lo.isNull() | hi.isNull(), F.raise_error(F.lit("quantile sketch missed the rank")).cast("double"))
-            .otherwise(value_expr)
-            .alias(name)
-        )
-    if count_as:
-        outputs.append(F.col("_n").alias(count_as))
-    result = picked.select(*by, *outputs)
+    located = located.withColumn("_pos", F.array(*[F.lit(p) for p in points])[F.col("_k")] * (F.col("_n") - 1))
+    # grouped by the window's keys and one more: no further exchange
+    ends = located.groupBy(*by, "_n", "_k", "_pos").agg(
+        F.max(_value_at(F.floor("_pos"))).alias("_lo"), F.max(_value_at(F.ceil("_pos"))).alias("_hi")
+    )
+    missed = F.raise_error(F.lit("quantile sketch missed the rank")).cast("double")
+    exact = F.when(F.col("_lo").isNull() | F.col("_hi").isNull(), missed).otherwise(
+        F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos"))
+    )
+    values = ends.select(*by, "_n", "_k", exact.alias("_q"))
+    extra = [F.col("_n").alias(count_as)] if count_as else []
+    if by and len(names) == 1:
+        return values.select(*by, F.col("_q").alias(names[0]), *extra)
+    picks = [F.max(F.when(F.col("_k") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)]
     if by:
-        return result
-    # no rows -> still one row of nulls, as an aggregate without keys gives
-    return result.agg(*[F.max(c).alias(c) for c in result.columns])
+        return values.groupBy(*by, "_n").agg(*picks).select(*by, *names, *extra)
+    # without keys an empty input still gives one row of nulls
+    return values.agg(*picks, F.max("_n").alias("_n")).select(*names, *extra)
 
 
 def _value_at(rank: Column) -> Column:

@@ -29,6 +29,15 @@ def scalar_row(aggregate: DataFrame) -> Column:
     return aggregate.select(F.struct("*").alias("s")).scalar()
 
 
+def with_scalars(df: DataFrame, aggregate: DataFrame, name: str = "_s") -> DataFrame:
+    """``df`` plus a one-row aggregate as struct column ``name``.
+
+    Use this rather than several ``scalar_row(...)[field]`` when more than one or two fields are read:
+    the sub-query is then planned once, not once per reference.
+    """
+    return df.withColumn(name, scalar_row(aggregate))
+
+
 def null_safe(keys: Sequence[str], left: str, right: str) -> Column:
     """Equality of ``keys`` between two aliased frames in which null matches null."""
     return reduce(

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,19 +33,27 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite
         raise ValueError(f"unsupported format {fmt!r}")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate layers: what the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a folder of its own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="marquetry-")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
 def checkpoint(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Materialise ``df`` and cut its lineage.
+    """Materialise ``df`` as Parquet and continue from there.
 
-    With a path the result is a Parquet snapshot; without one it is a reliable checkpoint in the
-    directory the session names (``spark.checkpoint.dir``), which survives the loss of executors.
+    Cuts the lineage, survives the loss of executors, and later scans prune columns and push filters
+    down. Without a path the snapshot goes to a fresh name in the shared folder.
     """
-    if path:
-        write(df, path)
-        return df.sparkSession.read.parquet(path)
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        directory = spark.conf.get("spark.checkpoint.dir", None)
-        if not directory:
-            raise ValueError("set spark.checkpoint.dir to a shared folder, or pass a path")
-        spark.sparkContext.setCheckpointDir(directory)
-    return df.checkpoint(eager=True)
+    path = path or f"{shared_folder(df.sparkSession)}/layer-{uuid.uuid4().hex}"
+    write(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

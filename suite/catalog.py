@@ -15,7 +15,7 @@ from marquetry.operators import features as G
 from marquetry.operators import fuzzy, mapping, merge
 from marquetry.operators import reports as I
 from marquetry.sources import profile, readers
-from suite.items import YEARS, items, joined, over_items, query, r6, table
+from suite.items import YEARS, items, joined, over_items, query, r6, stored, table
 
 # -- sources and profiling ----------------------------------------------------------
 
@@ -719,6 +719,6 @@ def _(spark, sf):
 
 @query("catalog_collapse_and_dense")
 def _(spark, sf):
-    out, _report = D.preprocess(raw_catalog(spark, sf), AS_OF)
+    out = stored(spark, sf, "preprocessed", lambda: D.preprocess(raw_catalog(spark, sf), AS_OF)[0])
     unique = E.collapse_duplicates(out, ["name", "release_date"], E.CATALOG_SCORE, "appid")
     return D.dense(unique).select("appid", "name", "release_date", "steam_total_reviews", "price_original", "estimated_gross_revenue_boxleiter")

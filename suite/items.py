@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquetry.sources import writers
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,7 +31,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LAYERS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived layer, written once per application and read back as Parquet.
+
+    Reports are many and scan their input two or three times (quantiles), so they share one stored
+    layer instead of deriving it again in every branch.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _LAYERS:
+        _LAYERS[key] = writers.checkpoint(build())
+    return _LAYERS[key]
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "items", lambda: derive_items(spark, sf_dir))
+
+
+def derive_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines are aggregated per order in one shuffle; the keyword state is a set of distinct words."""
     orders, lines, parts = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
     named = lines.join(parts.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"), "left")

@@ -11,7 +11,7 @@ from marquetry.operators import evaluate as L
 from marquetry.operators import features as G
 from marquetry.operators import models as ML
 from marquetry.operators import stats as J
-from suite.items import items, joined, over_items, query, r6, table
+from suite.items import items, joined, over_items, query, r6, stored
 
 # -- splits and samples -------------------------------------------------------------
 
@@ -247,6 +247,10 @@ def _(spark, sf):
 
 
 def _matrix(spark, sf):
+    return stored(spark, sf, "matrix", lambda: _derive_matrix(spark, sf))
+
+
+def _derive_matrix(spark, sf):
     rows = items(spark, sf).dropna(subset=["price", "owners", "ratio"])
     rows = rows.select(
         "item_id", "price", F.col("pos").cast("double").alias("pos"), F.col("neg").cast("double").alias("neg"), F.col("release_year").cast("double").alias("year"),
