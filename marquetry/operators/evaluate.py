@@ -199,11 +199,15 @@ def score_combinations(df: DataFrame, prob_cols: Sequence[str], classes: int, la
     Each row yields one predicted class per subset, and the kappa is a moment aggregate, so the shuffle
     carries one partial row per subset and task.
     """
-    scored = []
-    for names in _subsets(prob_cols):
-        per_class = [_sum([F.get(F.col(c), F.lit(i)).cast("double") for c in names]) / len(names) for i in range(classes)]
-        scored.append(F.struct(F.lit(" + ".join(names)).alias("models"), argmax(F.array(*per_class)).alias("pred")))
-    long = df.select(label, F.explode(F.array(*scored)).alias("_c")).select(label, "_c.models", "_c.pred")
+    subsets = [
+        F.struct(F.lit(" + ".join(names)).alias("models"), *[F.lit(1.0 if c in names else 0.0).alias(c) for c in prob_cols])
+        for names in _subsets(prob_cols)
+    ]
+    # sums instead of means: the argmax of a subset is the same
+    per_class = [_sum([F.get(F.col(c), F.lit(i)).cast("double") * F.col(f"_u.{c}") for c in prob_cols]) for i in range(classes)]
+    long = df.select(label, *prob_cols, F.explode(F.array(*subsets)).alias("_u"))
+    long = long.select(label, "_u.models", F.array(*per_class).alias("_sum"))
+    long = long.select(label, "models", argmax(F.col("_sum")).alias("pred"))
     return qwk(long, label, "pred", ["models"]).orderBy(F.desc("qwk"), "models").limit(top)
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquetry import constants as K
 from marquetry.functions import parsing as P
 from marquetry.plans.quantiles import WIDE_ACCURACY, exact_quantiles, melt
 from marquetry.plans.ranking import dense_index
-from marquetry.plans.skew import attach_group_stats, bounded, with_scalars
+from marquetry.plans.skew import bounded, with_scalars
 
 # fill policies understood by fill_policy besides constants and callables
 MEDIAN, KEEP, EMPTY_LIST = "median", "keep", "empty_list"
@@ -98,29 +98,46 @@ MAX_CODES = 10_000
 
 def label_codes(df: DataFrame, col: str, order_col: str) -> DataFrame:
     """Distinct values of ``col`` numbered by first appearance along ``order_col``, with row counts."""
+    numbered = dense_index(_first_seen(df, col, order_col), "_first", "code", tie=col)
+    return numbered.select(col, F.col("code").cast("int").alias("code"), "rows")
+
+
+def _first_seen(df: DataFrame, col: str, order_col: str) -> DataFrame:
     known = df.where(F.col(col).isNotNull())
-    firsts = known.groupBy(col).agg(F.min(order_col).alias("_first"), F.count(F.lit(1)).alias("rows"))
-    return dense_index(firsts, "_first", "code", tie=col).select(col, F.col("code").cast("int").alias("code"), "rows")
+    return known.groupBy(col).agg(F.min(order_col).alias("_first"), F.count(F.lit(1)).alias("rows"))
+
+
+def _few_codes(df: DataFrame, col: str, order_col: str) -> DataFrame:
+    """The same for at most ``MAX_CODES`` values, which one task may number."""
+    firsts = bounded(_first_seen(df, col, order_col), MAX_CODES, f"values of {col}")
+    code = F.row_number().over(Window.orderBy("_first", col)) - 1
+    return firsts.select(F.col(col).alias("_value"), code.cast("int").alias("_code"))
 
 
 def label_encode(df: DataFrame, cols: Sequence[str], order_col: str, many: Sequence[str] = ()) -> DataFrame:
     """Replace each column by its first-appearance code, null -> -1.
 
     Code tables of up to ``MAX_CODES`` values (checked at run time) are broadcast. Columns with more
-    values are named in ``many``: their heaviest values are broadcast and the rest is a shuffled join,
-    which reads ``df`` three times per such column - give it a stored layer.
+    values are named in ``many``: their heaviest values are still broadcast; rows those settle, and
+    rows without a value, take a random-looking salt into the shuffled join with the other codes, so
+    that no task receives a hot value.
     """
     base = df
-    for c in [c for c in cols if c in many]:
-        codes = label_codes(base, c, order_col).withColumnRenamed("code", "_code")
-        coded = attach_group_stats(df.where(F.col(c).isNotNull()), codes, [c], "rows").drop("rows")
-        nulls = df.where(F.col(c).isNull()).withColumn("_code", F.lit(-1))
-        df = coded.unionByName(nulls).withColumn(c, F.col("_code")).drop("_code")
-    for c in [c for c in cols if c not in many]:
-        codes = bounded(label_codes(base, c, order_col), MAX_CODES, f"values of {c}")
-        codes = codes.select(F.col(c).alias("_value"), F.col("code").alias("_code"))
-        df = df.join(F.broadcast(codes), F.col(c) == F.col("_value"), "left")
-        df = df.withColumn(c, F.coalesce("_code", F.lit(-1))).drop("_value", "_code")
+    for c in cols:
+        if c not in many:
+            df = df.join(F.broadcast(_few_codes(base, c, order_col)), F.col(c) == F.col("_value"), "left")
+            df = df.withColumn(c, F.coalesce("_code", F.lit(-1))).drop("_value", "_code")
+            continue
+        codes = label_codes(base, c, order_col).select(F.col(c).alias("_value"), F.col("code").alias("_code"), "rows")
+        heavy = codes.orderBy(F.desc("rows"), "_value").limit(MAX_CODES).select(F.col("_value").alias("_hv"), F.col("_code").alias("_hc"))
+        df = df.join(F.broadcast(heavy), F.col(c) == F.col("_hv"), "left")
+        open_value = F.when(F.col("_hc").isNull(), F.col(c))
+        salt = F.when(open_value.isNull(), F.pmod(F.xxhash64(order_col), F.lit(4096)) + 1).otherwise(F.lit(0).cast("bigint"))
+        df = df.withColumns({"_open": open_value, "_salt": salt})
+        light = codes.select("_value", "_code", F.lit(0).cast("bigint").alias("_zero"))
+        df = df.join(light, (F.col("_open") == F.col("_value")) & (F.col("_salt") == F.col("_zero")), "left")
+        df = df.withColumn(c, F.coalesce("_hc", "_code", F.lit(-1)))
+        df = df.drop("_hv", "_hc", "_open", "_salt", "_value", "_code", "_zero")
     return df
 
 

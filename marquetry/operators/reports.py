@@ -11,7 +11,7 @@ from marquetry import constants as K
 from marquetry.functions import metrics as M
 from marquetry.functions import parsing as P
 from marquetry.operators.filters import below_quantile, keep_top_n
-from marquetry.plans.quantiles import exact_quantiles, mode_by
+from marquetry.plans.quantiles import exact_quantiles, melt, mode_by
 from marquetry.plans.skew import attach_group_stats, with_scalars
 
 
@@ -156,34 +156,35 @@ def common_values(
     """
     start = segments[-1][1]
     scope = df.agg(F.max(col).cast("double").alias("hi"), F.count(F.lit(1)).alias("n"))
-    x = F.col(col).cast("double")
-    # number of tail edges of arange(start, max + 1, width)
-    edges = F.ceil((F.col("_s.hi") + 1 - start) / tail_width)
-    last_edge = F.lit(start) + (edges - 1) * tail_width
-
-    def within(lo: float, width: float) -> Column:
-        # the epsilon puts 0.3 into [0.3, 0.4) although 0.3 / 0.1 < 3 in binary
-        return F.floor((x - F.lit(lo)) / F.lit(width) + F.lit(1e-9))
-
-    left, right = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for lo, hi, width in reversed(segments):
-        inside = (x >= lo) & (x < hi)
-        left = F.when(inside, F.lit(lo) + within(lo, width) * width).otherwise(left)
-        right = F.when(inside, F.lit(lo) + (within(lo, width) + 1) * width).otherwise(right)
-    tail = (x >= start) & (x < last_edge)
-    left = F.when(tail, F.lit(start) + within(start, tail_width) * tail_width).otherwise(left)
-    right = F.when(tail, F.lit(start) + (within(start, tail_width) + 1) * tail_width).otherwise(right)
-    binned = with_scalars(df, scope).select(
-        F.round(left, 6).alias("start"), F.round(right, 6).alias("end"), x.alias("price"), score, owners
-    ).where(F.col("start").isNotNull())
+    x = F.col("_x")
+    # the last edge is the last whole step below max + 1
+    last_edge = F.lit(start) + (F.ceil((F.col("_s.hi") + 1 - start) / tail_width) - 1) * tail_width
+
+    def segment(lo: float, width: float) -> Column:
+        return F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(width)).alias("width"))
+
+    chosen = F.when((x >= start) & (x < last_edge), segment(start, tail_width))
+    for lo, hi, width in segments:
+        chosen = chosen.when((x >= lo) & (x < hi), segment(lo, width))
+    rows = with_scalars(df.select(F.col(col).cast("double").alias("_x"), score, owners), scope)
+    rows = rows.withColumn("_seg", chosen).where(F.col("_seg").isNotNull())
+    # the epsilon puts 0.3 into [0.3, 0.4) although 0.3 / 0.1 < 3 in binary
+    left = F.col("_seg.lo") + F.floor((x - F.col("_seg.lo")) / F.col("_seg.width") + F.lit(1e-9)) * F.col("_seg.width")
+    binned = rows.withColumn("_left", left).select(
+        F.round("_left", 6).alias("start"), F.round(F.col("_left") + F.col("_seg.width"), 6).alias("end"), x.alias("price"), score, owners
+    )
 
     top = count_by(binned, ["start", "end"]).orderBy(F.desc("count"), "start").limit(top_n)
-    kept = binned.join(F.broadcast(top), ["start", "end"])
+    kept = binned.join(F.broadcast(top.select("start")), "start", "left_semi")
     modes = mode_by(kept, "price", ["start"], "mode_price")
-    scores = exact_quantiles(kept, score, {"median_score": 0.5}, ["start"], max_groups=top_n)
-    owned = exact_quantiles(kept, owners, {"median_owners": 0.5}, ["start"], max_groups=top_n)
+    # both medians in one pass; bins and columns are known to be few
+    medians = exact_quantiles(melt(kept, [score, owners], ["start"]), "value", {"median": 0.5}, ["start", "column"], max_groups=2 * top_n)
+    wide = medians.groupBy("start").agg(
+        F.max(F.when(F.col("column") == score, F.col("median"))).alias("median_score"),
+        F.max(F.when(F.col("column") == owners, F.col("median"))).alias("median_owners"),
+    )
     # every side has at most top_n rows
-    out = top.join(F.broadcast(modes), "start").join(F.broadcast(scores), "start", "left").join(F.broadcast(owned), "start", "left")
+    out = top.join(F.broadcast(modes), "start").join(F.broadcast(wide), "start", "left")
     share = F.col("count") / F.col("_s.n")
     return with_scalars(out, scope).select(
         F.format_string("$%.2f (%.2f - %.2f)", "mode_price", "start", "end").alias("label"),

@@ -13,6 +13,7 @@ from marquetry.session import build  # noqa: E402
 def spark(tmp_path_factory):
     extra = {
         "spark.ui.enabled": "false",
+        "spark.driver.memory": "8g",
         "spark.ui.showConsoleProgress": "false",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("layers")),
     }
