@@ -80,6 +80,26 @@ def attach_group_stats(
     return match(rows, F.broadcast(top)).unionByName(match(light_rows, light_stats))
 
 
+def lookup_join(rows: DataFrame, table: DataFrame, key: str, table_key: str, heavy: int = HEAVY_GROUPS) -> DataFrame:
+    """Left join of ``rows`` with a table of one row per ``table_key``, safe for hot and null keys.
+
+    Rows of the ``heavy`` most frequent keys meet their match by broadcast, whether it exists or not;
+    rows without a key need none; only the others are shuffled.
+    """
+    payload = [c for c in table.columns if c != table_key]
+    known = rows.where(F.col(key).isNotNull())
+    counts = known.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_w"))
+    top = counts.orderBy(F.desc("_w"), "_k").limit(heavy).select("_k")
+    table = table.select(F.col(table_key).alias("_t"), *payload)
+    matched = table.join(F.broadcast(top), F.col("_t") == F.col("_k"), "left_semi")
+    hot = top.join(F.broadcast(matched), F.col("_k") == F.col("_t"), "left").drop("_t")
+    by_broadcast = known.join(F.broadcast(hot), F.col(key) == F.col("_k")).drop("_k")
+    others = known.join(F.broadcast(top), F.col(key) == F.col("_k"), "left_anti")
+    by_shuffle = others.join(table, F.col(key) == F.col("_t"), "left").drop("_t")
+    unkeyed = rows.where(F.col(key).isNull())
+    return by_broadcast.unionByName(by_shuffle).unionByName(unkeyed, allowMissingColumns=True)
+
+
 def hash_fraction(seed: int, *cols: Column) -> Column:
     """Uniform [0, 1) value that depends only on the given columns and the seed."""
     return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))

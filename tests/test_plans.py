@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marquetry.plans.quantiles import exact_quantiles, mode_by
 from marquetry.plans.ranking import dense_index
-from marquetry.plans.skew import attach_group_stats
+from marquetry.plans.skew import attach_group_stats, lookup_join
 
 PROBS = {"a": 0.0, "b": 0.01, "c": 0.25, "d": 0.5, "e": 0.9, "f": 0.99, "g": 1.0}
 
@@ -61,6 +61,16 @@ def test_group_stats_reach_every_row_once(spark, heavy):
     assert out.groupBy("k", "n").count().where("n <> count").count() == 0
 
 
+@pytest.mark.parametrize("heavy", [1, 3, 10_000])
+def test_lookup_join_keeps_every_row(spark, heavy):
+    keys = ["hot"] * 300 + ["unmatched"] * 200 + [None] * 50 + ["a", "b", "c"]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, id int").repartition(4)
+    table = spark.createDataFrame([("hot", 1), ("a", 2), ("other", 3)], "t string, v int")
+    out = lookup_join(rows, table, "k", "t", heavy)
+    got = {r["id"]: r["v"] for r in out.collect()}
+    assert got == {i: {"hot": 1, "a": 2}.get(k) for i, k in enumerate(keys)} and out.columns == ["k", "id", "v"]
+
+
 def test_dense_index_is_a_gapless_order(spark):
     rng = np.random.default_rng(1)
     values = sorted({int(v) for v in rng.lognormal(8, 3, size=3000)})
