@@ -240,7 +240,7 @@ def _(spark, sf):
 
 
 def _master(spark, sf):
-    rows = items(spark, sf).where("item_id % 3 <> 0")
+    rows = items(spark, sf).where("factor <> '2-HIGH'")
     return rows.select(
         "item_id", F.when(F.col("item_id") % 4 != 0, F.col("price")).alias("price"), "pos",
         F.when(F.col("item_id") % 5 == 0, "").otherwise(F.col("factor")).alias("factor"), "tags", "model",
@@ -248,7 +248,7 @@ def _master(spark, sf):
 
 
 def _incoming(spark, sf):
-    rows = items(spark, sf).where("item_id % 2 = 0")
+    rows = items(spark, sf).where("model <> 'F'")
     return rows.select(
         "item_id", (F.col("price") + 1).alias("price"), F.col("neg").alias("pos"), F.col("model").alias("factor"),
         F.array(F.lit("zeta"), F.lit("ring")).alias("tags"), F.col("release_year").alias("year"),
@@ -256,8 +256,8 @@ def _incoming(spark, sf):
 
 
 _MERGE = {
-    "m": "select item_id, case when item_id % 4 <> 0 then price end as price, pos, case when item_id % 5 = 0 then '' else factor end as factor, tags, model from items where item_id % 3 <> 0",
-    "s": "select item_id, price + 1 as price, neg as pos, model as factor, ['zeta', 'ring'] as tags, release_year as year from items where item_id % 2 = 0",
+    "m": "select item_id, case when item_id % 4 <> 0 then price end as price, pos, case when item_id % 5 = 0 then '' else factor end as factor, tags, model from items where factor <> '2-HIGH'",
+    "s": "select item_id, price + 1 as price, neg as pos, model as factor, ['zeta', 'ring'] as tags, release_year as year from items where model <> 'F'",
 }
 _MERGED = """select coalesce(m.item_id, s.item_id) as item_id, round(case when m.price is null or m.price = 0 then s.price else m.price end, 6) as price,
   case when m.pos is null or m.pos = 0 then s.pos else m.pos end as pos, case when m.factor is null or m.factor = '' then s.factor else m.factor end as factor,
@@ -282,7 +282,7 @@ def _(spark, sf):
     return rows.select("item_id", *[merge.is_empty(F.col(c), types[c]).alias(n) for n, c in shown.items()])
 
 
-_THIRD = "select item_id, price * 2 as price, 'third' as factor, ['omega'] as tags from items where item_id % 7 < 3"
+_THIRD = "select item_id, price * 2 as price, 'third' as factor, ['omega'] as tags from items where release_year >= 1998"
 _MERGED3 = """select coalesce(a.item_id, t.item_id) as item_id, round(case when a.price is null or a.price = 0 then t.price else a.price end, 6) as price, a.pos,
   case when a.factor is null or a.factor = '' then t.factor else a.factor end as factor,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(a.tags, []), coalesce(t.tags, [])))), '|') as tags, a.model, a.year from a full join t on a.item_id = t.item_id"""
@@ -297,7 +297,7 @@ _FOLD = {
 
 
 def _sources(spark, sf):
-    third = items(spark, sf).where("item_id % 7 < 3").select("item_id", (F.col("price") * 2).alias("price"), F.lit("third").alias("factor"), F.array(F.lit("omega")).alias("tags"))
+    third = items(spark, sf).where("release_year >= 1998").select("item_id", (F.col("price") * 2).alias("price"), F.lit("third").alias("factor"), F.array(F.lit("omega")).alias("tags"))
     union = {"tags": merge.union_lists_or_either}
     return [(_master(spark, sf), {}), (_incoming(spark, sf), union), (third, union)]
 

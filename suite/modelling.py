@@ -65,10 +65,10 @@ def _(spark, sf):
     return L.quantile_uniform(items(spark, sf).select("item_id", "owners"), ["owners"], n=11, exact=True).select("item_id", r6("owners"))
 
 
-@query("l06_standardize", over_items("select item_id, round((owners - (select avg(owners) from items where item_id % 5 <> 0)) / (select stddev_pop(owners) from items where item_id % 5 <> 0), 6) as owners from items where item_id % 5 = 0"))
+@query("l06_standardize", over_items("select item_id, round((owners - (select avg(owners) from items where release_year < 1999)) / (select stddev_pop(owners) from items where release_year < 1999), 6) as owners from items where release_year >= 1999"))
 def _(spark, sf):
-    rows = items(spark, sf).select("item_id", "owners")
-    _train, valid = L.standardize(rows.where("item_id % 5 <> 0"), rows.where("item_id % 5 = 0"), "owners")
+    rows = items(spark, sf).select("item_id", "owners", "release_year")
+    _train, valid = L.standardize(rows.where("release_year < 1999"), rows.where("release_year >= 1999"), "owners")
     return valid.select("item_id", r6("owners"))
 
 
