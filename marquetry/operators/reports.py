@@ -12,7 +12,7 @@ from marquetry.functions import metrics as M
 from marquetry.functions import parsing as P
 from marquetry.operators.filters import below_quantile, keep_top_n
 from marquetry.plans.quantiles import exact_quantiles, melt, mode_by
-from marquetry.plans.skew import attach_group_stats, with_scalars
+from marquetry.plans.skew import attach_group_stats, null_safe, with_scalars
 
 
 def count_by(df: DataFrame, keys: Sequence[str], out: str = "count") -> DataFrame:
@@ -28,7 +28,8 @@ def stats_by(df: DataFrame, key: str, col: str, max_groups: int | None = None) -
     """Exact median and mean per group; groups without values stay, with nulls."""
     means = df.groupBy(key).agg(F.avg(col).alias("mean"))
     medians = exact_quantiles(df, col, {"median": 0.5}, [key], max_groups)
-    return means.join(medians, key, "left").select(key, "median", "mean")
+    both = means.alias("l").join(medians.alias("r"), null_safe([key], "l", "r"), "left")
+    return both.select(F.col(f"l.`{key}`").alias(key), "median", "mean")
 
 
 def mean_ratio_by(df: DataFrame, key: str, num: str, den: Column, out: str = "mean_ratio") -> DataFrame:
@@ -247,7 +248,7 @@ def median_ci_by(
         rows = below_quantile(rows, col, top)
     spread = rows.groupBy(key).agg(F.stddev_samp(F.col(col).cast("double")).alias("_sd"))
     medians = exact_quantiles(rows, col, {"median": 0.5}, [key], max_groups, count_as="count")
-    joined = medians.join(spread, key)
+    joined = medians.alias("l").join(spread.alias("r"), null_safe([key], "l", "r")).select("l.*", "_sd")
     lo, hi = M.median_ci(F.col("median"), F.col("_sd"), F.col("count"), confidence)
     clip = lambda c: F.when(c.isNotNull(), F.greatest(c, F.lit(0.0)))
     return joined.select(key, "median", "count", clip(lo).alias("ci_lower"), clip(hi).alias("ci_upper"))

@@ -145,6 +145,12 @@ def test_common_values_bins(spark):
     assert out[(15.0, 16.0)] == 2 and sum(out.values()) == 9  # 20.0 lies on the last edge
 
 
+def test_rows_without_a_group_form_a_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), (1, 5.0)], "k int, v double")
+    assert {r["k"]: r["median"] for r in reports.stats_by(df, "k", "v").collect()} == {None: 2.0, 1: 5.0}
+    assert {r["k"]: r["count"] for r in reports.median_ci_by(df, "k", "v", top=None).collect()} == {None: 2, 1: 1}
+
+
 def test_shares_sum_to_one(spark):
     df = spark.createDataFrame([(2000 + i % 3, ["a", "b", "c", "d"][: 1 + i % 4]) for i in range(40)], "y int, tags array<string>")
     sums = reports.category_share_long(df, "y", "tags", 3).groupBy("y").agg(F.sum("share").alias("s")).collect()
