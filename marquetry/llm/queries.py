@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup
+from . import bpe_automaton, decontaminate, line_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,6 +78,24 @@ from docs left join hit on hit.doc_id = docs.doc_id left join own on own.doc_id
 """
 
 
+@query("op3_token_counts")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = token_counts.read_pieces(str(public_tokenizers.path("piece_bpe_32k.model")))
+    counted = token_counts.prefix_token_counts(docs, pieces)
+    return counted.select("doc_id", "n_bytes", "n_tokens", token_counts.over_budget(4096).alias("over_limit"))
+
+
+def word_spec() -> str:
+    return Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
+
+
+@query("op9_bpe")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_automaton.encode_digests(docs, word_spec()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 @query("op5_decontaminate", OVERLAP_SQL)
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
