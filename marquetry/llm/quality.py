@@ -38,7 +38,7 @@ def votes(text: str | None) -> list[int]:
     words = raw.split()
     n, size = len(words), max(1, len(raw))
     if not n:
-        return [BAD] + [NONE] * 8
+        return [BAD] + [NONE] * 8  # the first labeller only knows texts without words
     share = lambda signs: (len(raw) - len(raw.translate(None, signs))) / size
     symbols, upper, stops = share(SYMBOLS), share(UPPER), share(b".,") * size / n
     same = sum(map(eq, words, words[1:])) / n
@@ -48,7 +48,7 @@ def votes(text: str | None) -> list[int]:
     kinds = len(set(words)) / min(n, 5_000)
     long_enough = n >= FEW
     return [
-        NONE if n < FEW else GOOD,
+        NONE,
         _side(symbols, symbols > 0.03, symbols < 0.005),
         _side(upper, upper > 0.2 and long_enough, upper < 0.08 and long_enough),
         _side(same, same > 0.15, same < 0.03 and long_enough),
@@ -71,17 +71,16 @@ class LabelModel:
         good, bad = (v == GOOD).sum(1), (v == BAD).sum(1)
         # at the start a bad vote outweighs a good one: most labellers look for one kind of fault
         q = (good + 1.0) / (good + 4.0 * bad + 2.0)
-        self.prior, self.table = 0.5, np.full((2, m, 3), 1 / 3)
+        self.prior, self.table = 0.5, np.full((2, m, 3), 1e-9)
         for _ in range(rounds):
             for y, part in ((0, w * (1 - q)), (1, w * q)):
-                for k in range(3):
+                for k in (BAD, GOOD):
                     self.table[y, :, k] = ((v == k) * part[:, None]).sum(0) + 1
                 self.table[y] /= self.table[y].sum(1, keepdims=True)
             self.prior = (float((w * q).sum()) + 1) / (float(w.sum()) + 2)
-            cols = np.arange(m)
-            odds = np.log(self.prior / (1 - self.prior)) + sum(
-                np.log(self.table[1, j, v[:, j]]) - np.log(self.table[0, j, v[:, j]]) for j in cols
-            )
+            # a labeller that abstains says nothing of either class
+            ratio = np.log(self.table[1]) - np.log(self.table[0])
+            odds = np.log(self.prior / (1 - self.prior)) + (ratio[:, BAD] * (v == BAD) + ratio[:, GOOD] * (v == GOOD)).sum(1)
             new = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
             if len(q) and np.abs(new - q).max() < 1e-6:
                 q = new
@@ -91,8 +90,7 @@ class LabelModel:
 
     def accuracies(self) -> list[tuple[float, float]]:
         """For each labeller the share of right votes among its votes on good and on bad documents."""
-        t = self.table
-        return [(t[1, j, GOOD] / (1 - t[1, j, NONE]), t[0, j, BAD] / (1 - t[0, j, NONE])) for j in range(t.shape[1])]
+        return [(float(good[GOOD]), float(bad[BAD])) for bad, good in zip(*self.table)]
 
 
 SHAPE = [(re.compile(p), r) for p, r in (("[a-zß-öø-ÿ]+", "a"), ("[A-ZÀ-ÖØ-Þ]+", "A"), ("[0-9]+", "0"), (r"([^aA0])\1+", r"\1\1"))]
@@ -133,7 +131,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(rows: list[tuple[list[int], list[float], float]], rounds: int = 300, decay: float = 1e-4) -> np.ndarray:
-    """Weights of a logistic scorer for (indices, values, posterior) rows, both classes weighing the same."""
+    """Weights of a logistic scorer for (indices, values, posterior) rows."""
     weights = np.zeros(BUCKETS)
     if not rows:
         return weights
@@ -141,13 +139,10 @@ def train(rows: list[tuple[list[int], list[float], float]], rounds: int = 300, d
     x = np.concatenate([np.asarray(r[1], float) for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     y = np.array([r[2] for r in rows])
-    share = np.clip(y.mean(), 0.02, 0.98)
-    cost = y / share + (1 - y) / (1 - share)
-    cost /= cost.sum()
     first, second = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for step in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights[at] * x, len(rows)), -30, 30)))
-        grad = np.bincount(at, (cost * (p - y))[row] * x, BUCKETS) + decay * weights
+        grad = np.bincount(at, ((p - y) / len(y))[row] * x, BUCKETS) + decay * weights
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
         weights -= 0.3 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     return weights

@@ -1,9 +1,10 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded texts.
 
-Folding lower-cases, replaces look-alike letters, accents and digits used as letters, and turns everything else into blanks.
-The lexicon is learnt from labelled documents: words and word starts with a significantly higher share of toxic documents,
-weighted by log odds. Phrases around a lexicon word that only clean documents have are exceptions and cancel the match inside
-them. A text's score is a logistic function of its summed weights, plain and per hundred words.
+Folding lower-cases, replaces look-alike letters and digits used as letters (the accented letters of Latin-1 are letters of
+their own), and turns everything else into blanks. The lexicon is learnt from labelled documents: words and word starts that
+significantly more of the toxic documents have, weighted by the log ratio of their rates. Phrases around a lexicon
+word that only clean documents have are exceptions and cancel the match inside them. A text's score is a logistic function of
+its summed weights, plain and per hundred words, and of its length.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ SUPPORT = 3  # toxic documents an entry needs
 SIGNIFICANT = 20.0  # log-likelihood ratio an entry needs
 ENTRIES = 2_000  # of the lexicon, strongest first
 PHRASES = 1_000  # exception phrases
+RATIO = 3.0  # times the share of clean documents that have an entry, at least
+MEASURES = 3
 
 # fixed values: digits and signs that stand for letters, and letters of other scripts that look like Latin ones
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
@@ -44,6 +47,9 @@ class _Fold(dict):
     def __missing__(self, code: int) -> str:
         sign = chr(code)
         low = LOOKALIKES.get(sign.lower(), sign.lower())
+        if code < 0x100 and len(low) == 1 and low.isalpha():
+            self[code] = low
+            return low
         base = "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
         base = "".join(LOOKALIKES.get(c, c) for c in base)
         hidden = unicodedata.category(sign) in ("Cf", "Mn")
@@ -60,10 +66,16 @@ def fold(text: str | None) -> str:
     return f" {(text or '').translate(FOLD)} "
 
 
-def entries_of(folded: str) -> set[str]:
-    """The candidate entries in a text: word starts, and whole words with their end."""
-    words = {w[:40] if len(w) > 40 else w + " " for w in set(folded.split())}
-    return {f" {w}" for w in words if len(w) > 3} | {f" {w[:n]}" for w in words for n in STEM if n < len(w) - 1}
+def entries_of(folded: str) -> Counter:
+    """The candidate entries in a text and how often each occurs: word starts, and whole words with their end."""
+    out: Counter = Counter()
+    for word, n in Counter(folded.split()).items():
+        if len(word) <= 40:
+            out[f" {word} "] += n
+        for size in STEM:
+            if size < len(word):
+                out[f" {word[:size]}"] += n
+    return out
 
 
 def significance(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
@@ -85,9 +97,9 @@ class Matcher:
     def __init__(self, weights: dict[str, float], exceptions: list[str] = ()):
         self.auto = ahocorasick.Automaton()
         for entry, w in weights.items():
-            self.auto.add_word(entry, (len(entry), w, entry))
+            self.auto.add_word(entry, (len(entry), w))
         for phrase in exceptions:
-            self.auto.add_word(phrase, (len(phrase), None, phrase))
+            self.auto.add_word(phrase, (len(phrase), None))
         self.any = bool(weights)
         if self.any:
             self.auto.make_automaton()
@@ -96,7 +108,7 @@ class Matcher:
         """(start, end, weight) of the matches that no exception covers."""
         best: dict[int, tuple[int, float]] = {}
         spared: list[tuple[int, int]] = []
-        for end, (size, weight, _) in self.auto.iter(folded) if self.any else ():
+        for end, (size, weight) in self.auto.iter(folded) if self.any else ():
             start = end - size + 1
             if weight is None:
                 spared.append((start, end))
@@ -106,15 +118,17 @@ class Matcher:
             (a, b, w) for a, (b, w) in sorted(best.items()) if not any(x <= a and b <= y for x, y in spared)
         ]
 
-    def sums(self, text: str | None) -> tuple[float, float]:
-        """Log of the summed weights, and of the summed weights per hundred words."""
-        folded = fold(text)
+    def measures(self, folded: str) -> tuple[float, ...]:
+        """Logs of the summed weights, of the summed weights per hundred words and, if there are any, of the length."""
         total = sum([w for _, _, w in self.hits(folded)])
-        return (log1p(total), log1p(100 * total / len(folded.split()))) if total else (0.0, 0.0)
+        if not total:
+            return (0.0,) * MEASURES
+        words = len(folded.split())
+        return log1p(total), log1p(100 * total / words), log(words)
 
 
 class Model:
-    """What scoring needs: entries with weights, exception phrases and three coefficients."""
+    """What scoring needs: entries with weights, exception phrases and the coefficients, the constant first."""
 
     def __init__(self, weights: dict[str, float], exceptions: list[str], coefficients: list[float]):
         self.weights, self.exceptions, self.coefficients = weights, exceptions, coefficients
@@ -126,9 +140,9 @@ class Model:
     def score(self, text: str | None) -> float:
         if self.matcher is None:
             self.matcher = Matcher(self.weights, self.exceptions)
-        plain, dense = self.matcher.sums(text)
-        c = self.coefficients
-        return float(1 / (1 + np.exp(-np.clip(c[0] + c[1] * plain + c[2] * dense, -30, 30))))
+        measures = self.matcher.measures(fold(text))
+        odds = self.coefficients[0] + sum([c * x for c, x in zip(self.coefficients[1:], measures)])
+        return float(1 / (1 + np.exp(-min(30.0, max(-30.0, odds)))))
 
 
 def fit(
@@ -163,70 +177,72 @@ def fit(
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     base = log((toxic + 1) / (clean + 1))
     if not toxic or not clean:
-        return Model({}, [], [base, 0.0, 0.0])
+        return Model({}, [], [base])
 
     weights = _lexicon(own, toxic, clean)
     exceptions = _exceptions(own, weights)
-    matcher_of = Model(weights, exceptions, [0, 0, 0])
 
     def measure():
-        matcher = Matcher(matcher_of.weights, matcher_of.exceptions)
-
-        def rows(folded):
-            got = [matcher.sums(t) for t in folded]
-            return [g[0] for g in got], [g[1] for g in got]
-
-        return rows
+        matcher = Matcher(weights, exceptions)
+        return lambda folded: ([list(matcher.measures(t)) for t in folded],)
 
-    measured = add_columns(own, ["folded"], measure, "plain double, dense double", ["folded"])
-    rows = sorted(tuple(r) for r in measured.select("_y", "plain", "dense").collect())  # at most 2 x per_class
+    measured = add_columns(own, ["folded"], measure, "measures array<double>", ["folded"])
+    rows = sorted((r["_y"], *r["measures"]) for r in measured.collect())  # at most 2 x per_class
     return Model(weights, exceptions, _logistic(np.array(rows, float)))
 
 
-def _counted(own: DataFrame, make_sets) -> DataFrame:
-    """Documents per term and class, summed within a batch first."""
+def _counted(own: DataFrame, make_counts) -> DataFrame:
+    """Per term the documents and the occurrences in each class, summed within a batch first."""
 
     def make():
-        sets = make_sets()
+        counts = make_counts()
 
         def count(folded, ys):
-            by = Counter(), Counter()
+            docs, times = (Counter(), Counter()), (Counter(), Counter())
             for text, y in zip(folded, ys):
-                by[y].update(sets(text))
-            terms = list({**by[0], **by[1]})
-            return terms, [by[1][t] for t in terms], [by[0][t] for t in terms]
+                found = counts(text)
+                docs[y].update(found.keys())
+                times[y].update(found)
+            terms = list({**docs[0], **docs[1]})
+            return terms, *[[c[t] for t in terms] for c in (docs[1], docs[0], times[1], times[0])]
 
         return count
 
-    rows = explode_rows(own, ["folded", "_y"], make, "term string, toxic bigint, clean bigint")
-    return rows.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    names = ("toxic", "clean", "toxic_times", "clean_times")
+    rows = explode_rows(own, ["folded", "_y"], make, "term string, " + ", ".join(f"{n} bigint" for n in names))
+    return rows.groupBy("term").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def _lexicon(own: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     counts = _counted(own, lambda: entries_of).where(F.col("toxic") >= SUPPORT)
-    # a rate in toxic documents of at least eight times that in clean ones, rarest chance first; bounded by the limit
     ratio = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1))
-    strong = counts.where(ratio >= 8).orderBy(F.desc("toxic"), "clean", "term").limit(50 * ENTRIES).collect()
+    # a bounded number reaches the driver, those most typical of toxic documents first
+    surplus = F.col("toxic") / toxic - F.col("clean") / clean
+    strong = counts.where(ratio >= RATIO).orderBy(F.desc(surplus), "term").limit(20 * ENTRIES).collect()
+    words = dict(own.groupBy("_y").agg(F.sum(F.size(F.split(F.trim("folded"), " +")))).collect())
     rated = [(significance(r["toxic"], r["clean"], toxic, clean), r) for r in strong]
     rated = sorted(((g, r) for g, r in rated if g >= SIGNIFICANT), key=lambda x: (-x[0], len(x[1]["term"]), x[1]["term"]))
     weights: dict[str, float] = {}
     for _, r in rated:
-        # a longer start adds nothing to a shorter one that is stronger
-        if len(weights) < ENTRIES and not any(r["term"][:n] in weights for n in range(2, len(r["term"]))):
-            weights[r["term"]] = log((r["toxic"] + 0.5) / (toxic + 1)) - log((r["clean"] + 0.5) / (clean + 1))
+        rates = (r["toxic_times"] + 0.5) / words[1], (r["clean_times"] + 0.5) / words[0]
+        weight = log(rates[0] / rates[1])
+        # a longer start adds nothing to a stronger shorter one unless it is more telling
+        shorter = max((weights.get(r["term"][:n], 0.0) for n in range(2, len(r["term"]))), default=0.0)
+        if len(weights) < ENTRIES and weight > max(0.5, shorter + 0.5):
+            weights[r["term"]] = weight
     return weights
 
 
-def phrases_of(matcher: Matcher, folded: str) -> set[str]:
+def phrases_of(matcher: Matcher, folded: str) -> Counter:
     """Each matched word together with the word before it, and with the word after it."""
-    out = set()
+    out: Counter = Counter()
     for start, _, _ in matcher.hits(folded):
         before = folded[:start].rsplit(None, 1)[-1:] if start else []
         rest = folded[start:].split(None, 2)[:2]
         if before and folded[:start].endswith(before[0]):
-            out.add(f" {before[0]} {rest[0]} ")
+            out[f" {before[0]} {rest[0]} "] += 1
         if len(rest) == 2 and folded[start:].startswith(f" {rest[0]} {rest[1]} "):
-            out.add(f" {rest[0]} {rest[1]} ")
+            out[f" {rest[0]} {rest[1]} "] += 1
     return out
 
 
@@ -239,16 +255,16 @@ def _exceptions(own: DataFrame, weights: dict[str, float]) -> list[str]:
     return [r["term"] for r in rows.orderBy(F.desc("clean"), "term").limit(PHRASES).collect()]
 
 
-def _logistic(rows: np.ndarray, rounds: int = 50, decay: float = 1e-3) -> list[float]:
-    """Coefficients (constant first, both others at least zero) by Newton steps."""
+def _logistic(rows: np.ndarray, rounds: int = 100, decay: float = 1e-4) -> list[float]:
+    """Coefficients, constant first, by Newton steps of bounded length."""
     y, x = rows[:, 0], np.column_stack([np.ones(len(rows)), rows[:, 1:]])
-    w = np.zeros(3)
+    w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (p - y) / len(y) + decay * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x / len(y) + decay * np.eye(3)
-        w -= np.clip(np.linalg.solve(hess, grad), -2, 2)
-    return [float(w[0]), max(0.0, float(w[1])), max(0.0, float(w[2]))]
+        hess = (x * (p * (1 - p))[:, None]).T @ x / len(y) + decay * np.eye(len(w))
+        w -= np.clip(np.linalg.solve(hess, grad), -1, 1)
+    return w.tolist()
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
