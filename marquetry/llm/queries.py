@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, decontaminate, line_dedup, quality, simhash, token_counts, toxicity
+from . import bpe_automaton, decontaminate, line_dedup, quality, simhash, token_counts, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,6 +99,25 @@ def op4(spark, sf_dir):
     return scored.select("doc_id", held_out().alias("held_out"), "score", predicted)
 
 
+TOP_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.e) = len(c.e)),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
+"""
+
+
+@query("op7_topk", TOP_SQL)
+def op7(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows.where(F.col("vec_id") % 50 == 0), rows)
+
+
 @query("op8_quality")
 def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
