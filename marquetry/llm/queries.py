@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, decontaminate, line_dedup, quality, simhash, token_counts, topk, toxicity
+from . import bpe_automaton, decontaminate, line_dedup, quality, simhash, token_counts, topk, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,90 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def number(col: Column | str, salt: str, span: int) -> Column:
+    """A number below ``span`` from the MD5 of a text."""
+    digest = F.md5(F.concat(F.lit(salt), col).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 7), 16, 10).cast("int") % span).cast("int")
+
+
+def dated(col: Column, salt: str, span: int) -> Column:
+    return F.date_add(F.lit("2024-01-01").cast("date"), number(col, salt, span))
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as captures: the day of a fetch follows from the id."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return pages.withColumn("fetched", dated(F.col("page_id").cast("string"), "fetch", 366))
+
+
+def list_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List entries made from the URLs of the pages.
+
+    Every host is blocked from one day on and allowed again from a later one; the folder of each page is allowed from
+    some day on, and blocked from another; each URL is blocked from some day in the next two years.
+    """
+    url = F.col("url")
+    pages = table(spark, sf_dir, "pages").select(
+        url_filters.host_of(url).alias("host"),
+        F.concat(url_filters.host_of(url), F.regexp_extract(url_filters.path_of(url), "^(/[^/]*/)?", 1)).alias("folder"),
+        url_filters.whole_of(url).alias("whole"),
+    )
+    kinds = (
+        ("domain", "host", "block", "a", 366), ("domain", "host", "allow", "b", 500),
+        ("prefix", "folder", "allow", "c", 700), ("prefix", "folder", "block", "d", 900), ("url", "whole", "block", "e", 730),
+    )
+    out = None
+    for kind, col, action, salt, span in kinds:
+        names = pages.select(F.col(col).alias("name")).where("name is not null and name <> ''").distinct()
+        part = names.select(F.lit(kind).alias("kind"), "name", F.lit(action).alias("action"), dated(F.col("name"), salt, span).alias("since"))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+URLS_SQL = r"""
+with p as (
+  select page_id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)),
+      '\.+$', '') as host,
+    regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) as path0,
+    regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) as qs,
+    cast(date '2024-01-01' + cast(('0x' || substr(md5('fetch' || page_id), 1, 7))::bigint % 366 as integer) as date) as fetched
+  from pages),
+c as (select *, case when path0 = '' then '/' else path0 end as path from p),
+names as (
+  select distinct 'domain' as kind, host as name, 'block' as action, 'a' as salt, 366 as span from c
+  union select 'domain', host, 'allow', 'b', 500 from c
+  union select 'prefix', host || regexp_extract(path, '^(/[^/]*/)?', 1), 'allow', 'c', 700 from c
+  union select 'prefix', host || regexp_extract(path, '^(/[^/]*/)?', 1), 'block', 'd', 900 from c
+  union select 'url', host || path || qs, 'block', 'e', 730 from c),
+daily as (
+  select kind, name, since, max(action) as action from (
+    select *, date '2024-01-01' + cast(('0x' || substr(md5(salt || name), 1, 7))::bigint % span as integer) as since
+    from names where name <> '') group by 1, 2, 3),
+ival as (select *, lead(since) over (partition by kind, name order by since) as until from daily),
+keys as (
+  select page_id, fetched, 'domain' as kind, array_to_string(l[i:], '.') as name, 1 as level from (
+    select *, string_split(host, '.') as l, unnest(range(1, len(string_split(host, '.')) + 1)) as i from c)
+  union all
+  select page_id, fetched, 'prefix', host || array_to_string(s[1:i], '/') || '/', 2 from (
+    select *, string_split(path, '/') as s, unnest(range(1, len(string_split(path, '/')))) as i from c)
+  union all
+  select page_id, fetched, 'url', host || path || qs, 3 from c),
+best as (
+  select k.page_id, i.action, i.kind, i.name, row_number() over (
+    partition by k.page_id order by level desc, length(k.name) desc, k.name desc) as r
+  from keys k join ival i on i.kind = k.kind and i.name = k.name
+  where i.since <= k.fetched and (i.until is null or k.fetched < i.until))
+select p.page_id, p.fetched, coalesce(b.action, 'allow') as action, b.kind as rule_kind, b.name as rule
+from p left join best b on b.page_id = p.page_id and b.r = 1
+"""
+
+
+@query("op1_url_filters", URLS_SQL)
+def op1(spark, sf_dir):
+    judged = url_filters.judge(captures(spark, sf_dir), list_entries(spark, sf_dir))
+    return judged.select("page_id", "fetched", "action", "rule_kind", "rule")
+
+
 LINES_SQL = r"""
 with ls as (
   select doc_id, p, unnest(l) as line, unnest(range(len(l))) as pos from (
