@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, decontaminate, line_dedup, quality, simhash, token_counts, topk, toxicity, url_filters
+from . import bpe_automaton, decontaminate, line_dedup, quality, simhash, substring_dedup, token_counts, topk, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -183,6 +183,29 @@ def op4(spark, sf_dir):
     return scored.select("doc_id", held_out().alias("held_out"), "score", predicted)
 
 
+PASSAGES_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+wins as (
+  select doc_id, s, array_to_string(w[s : s + 19], ' ') as g from (
+    select doc_id, w, unnest(range(1, len(w) - 18)) as s from d)),
+ranked as (select doc_id, s, row_number() over (partition by g order by doc_id, s) as k from wins),
+gone as (select distinct doc_id, unnest(range(s, s + 20)) as p from ranked where k > 1),
+words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+kept as (
+  select words.doc_id, string_agg(word, ' ' order by words.p) filter (where gone.p is null) as t, count(gone.p) as n
+  from words left join gone on gone.doc_id = words.doc_id and gone.p = words.p group by 1)
+select d.doc_id, len(w) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept on kept.doc_id = d.doc_id
+"""
+
+
+@query("op6_substring_dedup", PASSAGES_SQL)
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = substring_dedup.dedup_substrings(docs)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 TOP_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
