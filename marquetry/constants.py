@@ -15,18 +15,110 @@ DATE_SENTINELS = ("", "not released", "not_released", "coming soon", "coming_soo
 UNRELEASED = ("not released", "coming soon")
 
 # --- fixed values: allowed languages ---
-LANGUAGES = """
-afrikaans albanian amharic arabic armenian assamese azerbaijani bangla basque belarusian bosnian
-bulgarian catalan cherokee chinese_simplified chinese_traditional croatian czech danish dari dutch
-english estonian filipino finnish french galician georgian german greek gujarati hausa hebrew hindi
-hungarian icelandic igbo indonesian irish italian japanese kannada kazakh khmer kinyarwanda konkani
-korean kyrgyz latvian lithuanian luxembourgish macedonian malay malayalam maltese maori marathi
-mongolian nepali norwegian odia persian polish portuguese_brazil portuguese_portugal
-punjabi_gurmukhi punjabi_shahmukhi quechua romanian russian scots serbian sindhi sinhala slovak
-slovenian sorani sotho spanish_latin_america spanish_spain swahili swedish tajik tamil tatar telugu
-thai tigrinya tswana turkish turkmen ukrainian urdu uyghur uzbek valencian vietnamese welsh wolof
-xhosa yoruba zulu
-""".split()
+LANGUAGES = (
+    "afrikaans",
+    "albanian",
+    "amharic",
+    "arabic",
+    "armenian",
+    "assamese",
+    "azerbaijani",
+    "bangla",
+    "basque",
+    "belarusian",
+    "bosnian",
+    "bulgarian",
+    "catalan",
+    "cherokee",
+    "chinese_simplified",
+    "chinese_traditional",
+    "croatian",
+    "czech",
+    "danish",
+    "dari",
+    "dutch",
+    "english",
+    "estonian",
+    "filipino",
+    "finnish",
+    "french",
+    "galician",
+    "georgian",
+    "german",
+    "greek",
+    "gujarati",
+    "hausa",
+    "hebrew",
+    "hindi",
+    "hungarian",
+    "icelandic",
+    "igbo",
+    "indonesian",
+    "irish",
+    "italian",
+    "japanese",
+    "kannada",
+    "kazakh",
+    "khmer",
+    "kinyarwanda",
+    "konkani",
+    "korean",
+    "kyrgyz",
+    "latvian",
+    "lithuanian",
+    "luxembourgish",
+    "macedonian",
+    "malay",
+    "malayalam",
+    "maltese",
+    "maori",
+    "marathi",
+    "mongolian",
+    "nepali",
+    "norwegian",
+    "odia",
+    "persian",
+    "polish",
+    "portuguese_brazil",
+    "portuguese_portugal",
+    "punjabi_gurmukhi",
+    "punjabi_shahmukhi",
+    "quechua",
+    "romanian",
+    "russian",
+    "scots",
+    "serbian",
+    "sindhi",
+    "sinhala",
+    "slovak",
+    "slovenian",
+    "sorani",
+    "sotho",
+    "spanish_latin_america",
+    "spanish_spain",
+    "swahili",
+    "swedish",
+    "tajik",
+    "tamil",
+    "tatar",
+    "telugu",
+    "thai",
+    "tigrinya",
+    "tswana",
+    "turkish",
+    "turkmen",
+    "ukrainian",
+    "urdu",
+    "uyghur",
+    "uzbek",
+    "valencian",
+    "vietnamese",
+    "welsh",
+    "wolof",
+    "xhosa",
+    "yoruba",
+    "zulu",
+)
 
 # --- fixed values: tag spellings ---
 TAG_FIXES = {

@@ -133,6 +133,16 @@ def parse_list_or_empty(col: ColumnLike) -> Column:
     return F.coalesce(_list_literal(col), _empty())
 
 
+def is_no_list(col: ColumnLike) -> Column:
+    """Text that is neither blank nor a list literal."""
+    return (F.trim(_c(col)) != "") & _list_literal(col).isNull()
+
+
+def parse_list_or_single(col: ColumnLike) -> Column:
+    """A list literal as a list; other text as a list of that one text; null and blank text as an empty list."""
+    return F.when(F.coalesce(is_no_list(col), F.lit(False)), F.array(_c(col))).otherwise(parse_list_or_empty(col))
+
+
 def read_list(col: ColumnLike, is_text: bool = True) -> Column:
     """List literal -> list; null or "" -> empty; anything else, unquoted elements included, raises."""
     c = _c(col)

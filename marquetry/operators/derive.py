@@ -122,17 +122,43 @@ UNUSED = (
 _LISTS = ("categories", "developers", "genres", "publishers", "tags")
 _LANGUAGE_LISTS = ("languages_supported", "languages_with_full_audio")
 _LONGS = (
-    "achievements_count dlc_count estimated_owners_boxleiter estimated_gross_revenue_boxleiter peak_ccu "
-    "recommendations release_year required_age steam_negative_reviews steam_positive_reviews steam_total_reviews "
-    "steam_store_movie_count steam_store_screenshot_count"
-).split()
+    "achievements_count",
+    "dlc_count",
+    "estimated_owners_boxleiter",
+    "estimated_gross_revenue_boxleiter",
+    "peak_ccu",
+    "recommendations",
+    "release_year",
+    "required_age",
+    "steam_negative_reviews",
+    "steam_positive_reviews",
+    "steam_total_reviews",
+    "steam_store_movie_count",
+    "steam_store_screenshot_count",
+)
 _DOUBLES = (
-    "average_non_steam_review_score average_time_to_beat estimated_ltarpu playtime_avg playtime_avg_2_weeks "
-    "playtime_median playtime_median_2_weeks price_latest price_original steam_positive_review_ratio"
-).split()
+    "average_non_steam_review_score",
+    "average_time_to_beat",
+    "estimated_ltarpu",
+    "playtime_avg",
+    "playtime_avg_2_weeks",
+    "playtime_median",
+    "playtime_median_2_weeks",
+    "price_latest",
+    "price_original",
+    "steam_positive_review_ratio",
+)
 _BOOLEANS = (
-    "early_access has_demos has_drm runs_on_linux runs_on_mac runs_on_steam_deck runs_on_windows vr_only vr_supported"
-).split()
+    "early_access",
+    "has_demos",
+    "has_drm",
+    "runs_on_linux",
+    "runs_on_mac",
+    "runs_on_steam_deck",
+    "runs_on_windows",
+    "vr_only",
+    "vr_supported",
+)
 _TEXTS = ("controller_support", "gamefaqs_difficulty_rating", "monetization_model", "name")
 
 

@@ -290,31 +290,30 @@ def overlay(df: DataFrame, candidate: str, valid: DataFrame, baseline: DataFrame
 
 
 # --- fixed values: values tried per feature ---
-_FEW, _TERNARY = [0, 1, 2, 3, 4, 5, 10, 20], [-1, 0, 1]
 WHAT_IF_VALUES: dict[str, list[float]] = {
     "average_time_to_beat": [0, 5, 10, 20, 50, 100],
     "categories_count": [0, 1, 2, 3, 4, 5, 10, 15, 20],
-    "controller_support": _TERNARY,
-    "early_access": _TERNARY,
-    "gamefaqs_difficulty_rating": list(range(-1, 9)),
-    "genres_count": list(range(12)),
-    "has_demos": _TERNARY,
+    "controller_support": [-1, 0, 1],
+    "early_access": [-1, 0, 1],
+    "gamefaqs_difficulty_rating": [-1, 0, 1, 2, 3, 4, 5, 6, 7, 8],
+    "genres_count": [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11],
+    "has_demos": [-1, 0, 1],
     "languages_supported_count": [0, 1, 2, 3, 5, 10, 20],
     "languages_with_full_audio_count": [0, 1, 2, 3, 5, 10, 20],
     "monetization_model": [-1, 0, 1, 2],
     "price_original": [0.99, 1.99, 2.99, 4.99, 9.99, 14.99, 19.99, 24.99, 29.99, 49.99, 59.99, 79.99],
-    "release_day_of_month": list(range(1, 32)),
-    "release_month": list(range(1, 13)),
+    "release_day_of_month": [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 26, 27, 28, 29, 30, 31],
+    "release_month": [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12],
     "required_age": [0, 12, 13, 16, 18],
-    "runs_on_linux": _TERNARY,
-    "runs_on_mac": _TERNARY,
-    "runs_on_steam_deck": _TERNARY,
-    "runs_on_windows": _TERNARY,
-    "steam_store_movie_count": _FEW,
-    "steam_store_screenshot_count": [*_FEW, 30, 40, 50],
-    "tags_count": [*_FEW, 30, 37],
-    "vr_only": _TERNARY,
-    "vr_supported": _TERNARY,
+    "runs_on_linux": [-1, 0, 1],
+    "runs_on_mac": [-1, 0, 1],
+    "runs_on_steam_deck": [-1, 0, 1],
+    "runs_on_windows": [-1, 0, 1],
+    "steam_store_movie_count": [0, 1, 2, 3, 4, 5, 10, 20],
+    "steam_store_screenshot_count": [0, 1, 2, 3, 4, 5, 10, 20, 30, 40, 50],
+    "tags_count": [0, 1, 2, 3, 4, 5, 10, 20, 30, 37],
+    "vr_only": [-1, 0, 1],
+    "vr_supported": [-1, 0, 1],
 }
 
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquetry import constants as K
 from marquetry.functions import parsing as P
 from marquetry.plans.quantiles import WIDE_ACCURACY, exact_quantiles, melt
 from marquetry.plans.ranking import dense_index
-from marquetry.plans.skew import bounded, with_scalars
+from marquetry.plans.skew import with_scalars
+from marquetry.sources.writers import checkpoint
 
 # fill policies understood by fill_policy besides constants and callables
 MEDIAN, KEEP, EMPTY_LIST = "median", "keep", "empty_list"
@@ -54,28 +55,69 @@ def _median_row(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 # --- fixed values: fill policies of the catalog's no-null layer ---
-_ZERO, _FALSE, _TRUE = ("value", 0), ("value", False), ("value", True)
 NO_NULL_POLICY: dict[str, object] = {
-    **{c: MEDIAN for c in ("achievements_count", "average_non_steam_review_score", "average_time_to_beat", "dlc_count")},
-    **{c: EMPTY_LIST for c in ("categories", "genres", "languages_supported", "languages_with_full_audio", "tags")},
-    **{c: KEEP for c in ("appid", "controller_support", "developers", "gamefaqs_difficulty_rating", "name", "price_original", "publishers")},
-    **{c: _FALSE for c in ("early_access", "has_demos", "has_drm", "runs_on_linux", "runs_on_mac", "vr_only", "vr_supported")},
-    **{c: _TRUE for c in ("is_released", "runs_on_steam_deck", "runs_on_windows")},
-    **{
-        c: _ZERO
-        for c in (
-            "estimated_gross_revenue_boxleiter estimated_ltarpu estimated_owners_boxleiter peak_ccu playtime_avg "
-            "playtime_avg_2_weeks playtime_median playtime_median_2_weeks price_latest recommendations release_year "
-            "release_month release_day_of_month required_age steam_negative_reviews steam_positive_review_ratio "
-            "steam_positive_reviews steam_store_movie_count steam_store_screenshot_count steam_total_reviews"
-        ).split()
-    },
+    "achievements_count": MEDIAN,
+    "appid": KEEP,
+    "average_non_steam_review_score": MEDIAN,
+    "average_time_to_beat": MEDIAN,
+    "categories": EMPTY_LIST,
+    "controller_support": KEEP,
+    "developers": KEEP,
+    "dlc_count": MEDIAN,
+    "early_access": ("value", False),
+    "estimated_gross_revenue_boxleiter": ("value", 0),
+    "estimated_ltarpu": ("value", 0),
+    "estimated_owners_boxleiter": ("value", 0),
+    "gamefaqs_difficulty_rating": KEEP,
+    "genres": EMPTY_LIST,
+    "has_demos": ("value", False),
+    "has_drm": ("value", False),
+    "is_released": ("value", True),
+    "languages_supported": EMPTY_LIST,
+    "languages_with_full_audio": EMPTY_LIST,
     "monetization_model": ("value", "unknown"),
+    "name": KEEP,
+    "peak_ccu": ("value", 0),
+    "playtime_avg": ("value", 0),
+    "playtime_avg_2_weeks": ("value", 0),
+    "playtime_median": ("value", 0),
+    "playtime_median_2_weeks": ("value", 0),
+    "price_latest": ("value", 0),
+    "price_original": KEEP,
+    "publishers": KEEP,
+    "recommendations": ("value", 0),
+    "release_day_of_month": ("value", 0),
+    "release_month": ("value", 0),
+    "release_year": ("value", 0),
+    "required_age": ("value", 0),
+    "runs_on_linux": ("value", False),
+    "runs_on_mac": ("value", False),
+    "runs_on_steam_deck": ("value", True),
+    "runs_on_windows": ("value", True),
+    "steam_negative_reviews": ("value", 0),
+    "steam_positive_review_ratio": ("value", 0),
+    "steam_positive_reviews": ("value", 0),
+    "steam_store_movie_count": ("value", 0),
+    "steam_store_screenshot_count": ("value", 0),
+    "steam_total_reviews": ("value", 0),
+    "tags": EMPTY_LIST,
+    "vr_only": ("value", False),
+    "vr_supported": ("value", False),
 }
 LABEL_COLUMNS = (
-    "developers early_access has_demos has_drm monetization_model publishers runs_on_linux runs_on_mac "
-    "runs_on_steam_deck runs_on_windows vr_only vr_supported"
-).split()
+    "developers",
+    "early_access",
+    "has_demos",
+    "has_drm",
+    "monetization_model",
+    "publishers",
+    "runs_on_linux",
+    "runs_on_mac",
+    "runs_on_steam_deck",
+    "runs_on_windows",
+    "vr_only",
+    "vr_supported",
+)
 LIST_PREFIXES = {
     "categories": "~category_",
     "genres": "~genre_",
@@ -93,45 +135,37 @@ def controller_code(col: str | Column) -> Column:
     return P.recode(col, K.CONTROLLER_CODES, -1.0)
 
 
-MAX_CODES = 10_000
+HEAVY_CODES = 10_000  # most frequent values whose codes are broadcast
 
 
 def label_codes(df: DataFrame, col: str, order_col: str) -> DataFrame:
     """Distinct values of ``col`` numbered by first appearance along ``order_col``, with row counts."""
-    numbered = dense_index(_first_seen(df, col, order_col), "_first", "code", tie=col)
-    return numbered.select(col, F.col("code").cast("int").alias("code"), "rows")
-
-
-def _first_seen(df: DataFrame, col: str, order_col: str) -> DataFrame:
     known = df.where(F.col(col).isNotNull())
-    return known.groupBy(col).agg(F.min(order_col).alias("_first"), F.count(F.lit(1)).alias("rows"))
-
-
-def _few_codes(df: DataFrame, col: str, order_col: str) -> DataFrame:
-    """The same for at most ``MAX_CODES`` values, which one task may number."""
-    firsts = bounded(_first_seen(df, col, order_col), MAX_CODES, f"values of {col}")
-    code = F.row_number().over(Window.orderBy("_first", col)) - 1
-    return firsts.select(F.col(col).alias("_value"), code.cast("int").alias("_code"))
+    first = known.groupBy(col).agg(F.min(order_col).alias("_first"), F.count(F.lit(1)).alias("rows"))
+    numbered = dense_index(first, "_first", "code", tie=col)
+    return numbered.select(col, F.col("code").cast("int").alias("code"), "rows")
 
 
-def label_encode(df: DataFrame, cols: Sequence[str], order_col: str, many: Sequence[str] = ()) -> DataFrame:
-    """Replace each column by its first-appearance code, null -> -1.
+def label_encode(df: DataFrame, cols: Sequence[str], order_col: str) -> DataFrame:
+    """Replace each column by its first-appearance code, null -> -1. Any number of values is fine.
 
-    Code tables of up to ``MAX_CODES`` values (checked at run time) are broadcast. Columns with more
-    values are named in ``many``: their heaviest values are still broadcast; rows those settle, and
-    rows without a value, take a random-looking salt into the shuffled join with the other codes, so
-    that no task receives a hot value.
+    One long-form pass counts the values of all columns. The codes of the most frequent values are broadcast; rows those
+    settle, and rows without a value, take a random-looking salt into the shuffled join with the other codes, so that no
+    task receives a hot value.
     """
-    base = df
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols])
+    long = df.select(F.col(order_col).alias("_o"), F.explode(pairs).alias("_p")).where("_p.value is not null")
+    found = long.groupBy("_p.column", "_p.value").agg(F.min("_o").alias("_first"), F.count(F.lit(1)).alias("rows"))
+    found = checkpoint(found)
     for c in cols:
-        if c not in many:
-            df = df.join(F.broadcast(_few_codes(base, c, order_col)), F.col(c) == F.col("_value"), "left")
-            df = df.withColumn(c, F.coalesce("_code", F.lit(-1))).drop("_value", "_code")
-            continue
-        codes = label_codes(base, c, order_col).select(F.col(c).alias("_value"), F.col("code").alias("_code"), "rows")
-        heavy = codes.orderBy(F.desc("rows"), "_value").limit(MAX_CODES).select(F.col("_value").alias("_hv"), F.col("_code").alias("_hc"))
-        df = df.join(F.broadcast(heavy), F.col(c) == F.col("_hv"), "left")
-        open_value = F.when(F.col("_hc").isNull(), F.col(c))
+        own = found.where(F.col("column") == c).select("value", "_first", "rows")
+        codes = dense_index(own, "_first", "code", tie="value").select(
+            F.col("value").alias("_value"), F.col("code").cast("int").alias("_code"), "rows"
+        )
+        heavy = codes.orderBy(F.desc("rows"), "_value").limit(HEAVY_CODES).select(F.col("_value").alias("_hv"), F.col("_code").alias("_hc"))
+        text = F.col(f"`{c}`").cast("string")
+        df = df.join(F.broadcast(heavy), text == F.col("_hv"), "left")
+        open_value = F.when(F.col("_hc").isNull(), text)
         salt = F.when(open_value.isNull(), F.pmod(F.xxhash64(order_col), F.lit(4096)) + 1).otherwise(F.lit(0).cast("bigint"))
         df = df.withColumns({"_open": open_value, "_salt": salt})
         light = codes.select("_value", "_code", F.lit(0).cast("bigint").alias("_zero"))
@@ -159,9 +193,13 @@ def vocabulary(df: DataFrame, col: str) -> DataFrame:
     return df.select(F.explode(col).alias("term")).distinct()
 
 
-def multi_hot_sparse(df: DataFrame, col: str, out: str, vocab_size: int = 1 << 18):
-    """Sparse 0/1 vector over the list's vocabulary; returns (frame, fitted model with the terms)."""
-    model = CountVectorizer(inputCol=col, outputCol=out, binary=True, vocabSize=vocab_size).fit(df)
+def multi_hot_sparse(df: DataFrame, col: str, out: str):
+    """Sparse 0/1 vector over the list's whole vocabulary; returns (frame, fitted model with the terms).
+
+    The terms are counted first, so none is left out; the model holds one number per term in the driver.
+    """
+    terms = vocabulary(df, col).where("term is not null").count()
+    model = CountVectorizer(inputCol=col, outputCol=out, binary=True, vocabSize=max(1, terms)).fit(df)
     return model.transform(df).drop(col), model
 
 
@@ -239,11 +277,25 @@ def profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return facts.join(F.broadcast(medians), "column").select("column", "distinct_count", "mode", "mean", "median", "min", "max")
 
 
-def feature_layers(df: DataFrame, key: str = "appid") -> tuple[DataFrame, DataFrame]:
-    """Preprocessed records -> (null-tolerant layer, null-free layer), lists as counts.
+def flag_terms(df: DataFrame, cols: Mapping[str, str] = LIST_PREFIXES) -> dict[str, list[str]]:
+    """The sorted terms of each list column: what becomes flag columns, so its number is that of columns."""
+    have = {c: p for c, p in cols.items() if c in df.columns}
+    pairs = F.flatten(F.array(*[F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda t, c=c: F.struct(F.lit(c).alias("column"), t.alias("term"))) for c in have]))
+    rows = df.select(F.explode(pairs).alias("_p")).select("_p.*").where("term is not null").distinct().collect()
+    return {c: sorted(r["term"] for r in rows if r["column"] == c) for c in have}
 
-    The flag columns of the lists come from ``multi_hot`` / ``multi_hot_sparse``.
-    """
+
+def flag_columns(df: DataFrame, terms: Mapping[str, Sequence[str]], prefixes: Mapping[str, str] = LIST_PREFIXES) -> DataFrame:
+    """One 0/1 column per term of each list, in one projection; the lists are dropped."""
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in terms]
+    flags = [
+        F.coalesce(F.array_contains(c, t), F.lit(False)).cast("int").alias(prefixes[c] + t) for c, own in terms.items() for t in own
+    ]
+    return df.select(*keep, *flags)
+
+
+def feature_layers(df: DataFrame, key: str = "appid", flags: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Preprocessed records -> (null-tolerant layer, null-free layer), lists as counts and, with ``flags``, as flag columns."""
     df = df.withColumns({"release_month": F.month("release_date"), "release_day_of_month": F.dayofmonth("release_date")})
     df = df.drop("release_date")
     lists = [c for c in LIST_PREFIXES if c in df.columns]
@@ -256,11 +308,15 @@ def feature_layers(df: DataFrame, key: str = "appid") -> tuple[DataFrame, DataFr
             "gamefaqs_difficulty_rating": difficulty_code("gamefaqs_difficulty_rating"),
         }
     )
-    allow = label_encode(allow, LABEL_COLUMNS, key, many=("developers", "publishers"))
+    allow = label_encode(allow, LABEL_COLUMNS, key)
     # label codes are never null, so only the other columns need a policy
     policy = {c: (KEEP if c in LABEL_COLUMNS else NO_NULL_POLICY.get(c)) for c in allow.columns}
     missing = [c for c, rule in policy.items() if rule is None]
     if missing:
         raise ValueError(f"no fill policy for {missing}")
     no_na = drop_any_null(list_counts(fill_policy(allow, policy), lists))
-    return list_counts(allow, lists), no_na
+    allow = list_counts(allow, lists)
+    if not flags or not lists:
+        return allow, no_na
+    terms = flag_terms(df)
+    return flag_columns(allow, terms), flag_columns(no_na, terms)

@@ -4,39 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_VOCABULARY = 10_000
+BLOCK = 1_000  # entries that a text is scored against at once
+SALTS = 16  # copies of each block, so that the texts of a block spread over tasks
 
 
-def vocabulary_list(vocab: DataFrame | Sequence[str], limit: int = MAX_VOCABULARY) -> list[str]:
-    """A vocabulary small enough to ride along in the plan; a larger one is refused, never cut."""
+def vocabulary_blocks(df: DataFrame, vocab: DataFrame | Sequence[str], block: int = BLOCK) -> tuple[DataFrame, int]:
+    """The distinct entries as arrays of about ``block`` each (columns ``block``, ``words``), and the number of blocks."""
     if isinstance(vocab, DataFrame):
-        words = [r[0] for r in vocab.select(F.col(vocab.columns[0])).distinct().limit(limit + 1).collect()]
+        words = vocab.select(F.col(f"`{vocab.columns[0]}`").cast("string").alias("word"))
     else:
-        words = list(dict.fromkeys(vocab))
-    words = sorted(w for w in words if w is not None)
-    if len(words) > limit:
-        raise ValueError(f"vocabulary has more than {limit} entries; restrict it, or raise the limit")
-    return words
+        words = df.sparkSession.createDataFrame([(w,) for w in vocab], "word string")
+    words = words.where("word is not null").distinct()
+    blocks = max(1, -(-words.count() // block))
+    dealt = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int").alias("block"))
+    return dealt.agg(F.collect_list("word").alias("words")), blocks
 
 
-def fuzzy_lookup(df: DataFrame, col: str, vocab: DataFrame | Sequence[str], k: int = 1, limit: int = MAX_VOCABULARY) -> DataFrame:
+def fuzzy_lookup(df: DataFrame, col: str, vocab: DataFrame | Sequence[str], k: int = 1, block: int = BLOCK) -> DataFrame:
     """The ``k`` entries with the highest ``1 - levenshtein / longer length``, ties alphabetical.
 
-    Each distinct text is scored once, against the vocabulary held in the row's own task; one row per
-    text and rank (``text``, ``rank``, ``match``, ``score``). Nothing is joined or shuffled beyond the
-    de-duplication of the texts.
+    One row per distinct text and rank (``text``, ``rank``, ``match``, ``score``). The vocabulary may have any size: it is
+    cut into blocks, each distinct text meets each block in an equi-join on the block, keeps the ``k`` best of
+    it inside the row, and the best of all blocks are chosen from those.
     """
-    words = F.array(*[F.lit(w) for w in vocabulary_list(vocab, limit)])
-    texts = df.select(F.col(col).alias("text")).where("text is not null").distinct()
+    words, blocks = vocabulary_blocks(df, vocab, block)
+    salt = F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")
+    texts = df.select(F.col(f"`{col}`").alias("text")).where("text is not null").distinct()
+    texts = texts.select("text", salt.alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    words = words.select("block", "words", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     longest = lambda w: F.greatest(F.length("text"), F.length(w), F.lit(1))
     scored = F.transform(
-        words,
+        "words",
         lambda w: F.struct((F.levenshtein(F.col("text"), w) / longest(w) - 1.0).alias("minus"), w.alias("match")),
     )
-    best = F.slice(F.array_sort(scored), 1, k)
-    return texts.select("text", F.posexplode(best).alias("rank", "_m")).select(
-        "text", (F.col("rank") + 1).alias("rank"), "_m.match", (-F.col("_m.minus")).alias("score")
-    )
+    near = texts.join(words, ["block", "salt"]).select("text", F.explode(F.slice(F.array_sort(scored), 1, k)).alias("_m"))
+    by = Window.partitionBy("text").orderBy("_m.minus", "_m.match")
+    ranked = near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return ranked.select("text", "rank", "_m.match", (-F.col("_m.minus")).alias("score"))

@@ -10,8 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
@@ -20,10 +20,24 @@ from pyspark.sql import functions as F
 
 from marquetry.operators.evaluate import blend, expected_class, normalized, qwk_column, r2_column, what_if_rows
 from marquetry.plans.skew import hash_fraction
+from marquetry.sources.writers import path_exists
 
 
-def assemble(features: Sequence[str], out: str = "features") -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="skip")
+FILLED = "_x_"  # prefix of the helper columns of the assembly
+
+
+def assemble(features: Sequence[str], out: str = "features") -> PipelineModel:
+    """The features as one vector. No row is left out: a null or NaN feature counts as 0, and a flag beside each feature
+    (0 or 1, after the features) tells a missing value from a true zero."""
+    values = [f"coalesce(nanvl(cast(`{c}` as double), null), 0.0) as `{FILLED}{i}`" for i, c in enumerate(features)]
+    flags = [f"cast(nanvl(cast(`{c}` as double), null) is null as double) as `{FILLED}m{i}`" for i, c in enumerate(features)]
+    fill = SQLTransformer(statement=f"SELECT *, {', '.join(values + flags)} FROM __THIS__")
+    names = [f"{FILLED}{i}" for i in range(len(features))] + [f"{FILLED}m{i}" for i in range(len(features))]
+    return PipelineModel([fill, VectorAssembler(inputCols=names, outputCol=out, handleInvalid="error")])
+
+
+def without_helpers(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith(FILLED)])
 
 
 def classifier_specs(label: str, seed: int = 42) -> dict[str, Estimator]:
@@ -48,7 +62,7 @@ def regressor_specs(label: str, seed: int = 42) -> dict[str, Estimator]:
 
 def train_models(df: DataFrame, features: Sequence[str], specs: Mapping[str, Estimator]) -> dict[str, PipelineModel]:
     """Fit each estimator behind the shared feature assembly."""
-    return {name: Pipeline(stages=[assemble(features), est]).fit(df) for name, est in specs.items()}
+    return {name: Pipeline(stages=[*assemble(features).stages, est]).fit(df) for name, est in specs.items()}
 
 
 def probabilities(predicted: DataFrame) -> Column:
@@ -65,13 +79,13 @@ _MODEL_COLUMNS = ("features", "rawPrediction", "probability", "prediction")
 def with_probabilities(df: DataFrame, models: Mapping[str, Model], prefix: str = "p_") -> DataFrame:
     for name, model in models.items():
         out = model.transform(df)
-        df = out.withColumn(prefix + name, probabilities(out)).drop(*_MODEL_COLUMNS)
+        df = without_helpers(out.withColumn(prefix + name, probabilities(out))).drop(*_MODEL_COLUMNS)
     return df
 
 
 def with_predictions(df: DataFrame, models: Mapping[str, Model], prefix: str = "y_") -> DataFrame:
     for name, model in models.items():
-        df = model.transform(df).withColumnRenamed("prediction", prefix + name).drop("features")
+        df = without_helpers(model.transform(df)).withColumnRenamed("prediction", prefix + name).drop("features")
     return df
 
 
@@ -122,9 +136,9 @@ def train_or_load(df: DataFrame, features: Sequence[str], specs: Mapping[str, Es
     """Reuse stored models and train only the missing ones."""
     models = {}
     for name, est in specs.items():
-        try:
+        if path_exists(df.sparkSession, f"{root}/{name}"):  # an error on load rises; nothing stored is overwritten
             models[name] = PipelineModel.load(f"{root}/{name}")
-        except Exception:  # not stored yet; the JVM error class depends on the file system
+        else:
             models.update(train_models(df, features, {name: est}))
             save_models({name: models[name]}, root)
     return models
@@ -160,7 +174,7 @@ def cv_score(
     param_maps: Sequence[dict] | None = None, parallelism: int = 4, penalty: float = 0.1,
 ) -> list[dict]:
     """Mean, deviation and penalised score per parameter map. Folds depend on the key only."""
-    data = _folded(assemble(features).transform(df), key, folds, seed)
+    data = _folded(without_helpers(assemble(features).transform(df)), key, folds, seed)
     maps = list(param_maps or [{}])
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds, parallelism=parallelism, foldCol="_fold")
     fitted = cv.fit(data)
@@ -215,9 +229,23 @@ BOOST_SPACE = {**TREE_SPACE, "stepSize": ("log", 0.01, 0.2), "maxIter": ("int",
 LINEAR_SPACE = {"regParam": ("log", 1e-5, 1e-1), "elasticNetParam": ("float", 0.0, 1.0)}
 
 
+class KappaEvaluator(Evaluator):
+    """Quadratic weighted kappa of the ``prediction`` column, for cross-validation; one aggregate per evaluation."""
+
+    def __init__(self, label: str):
+        super().__init__()
+        self.label = label
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        value = dataset.agg(qwk_column(F.col(self.label), F.col("prediction")).alias("k")).first()["k"]
+        return 0.0 if value is None else float(value)
+
+    def isLargerBetter(self) -> bool:  # noqa: N802
+        return True
+
+
 def kappa_evaluator(label: str) -> Evaluator:
-    """Spark's evaluators lack kappa, so searches over classes use weighted F1 (see ``evaluate_classifiers``)."""
-    return MulticlassClassificationEvaluator(labelCol=label, metricName="f1")
+    return KappaEvaluator(label)
 
 
 def r2_evaluator(label: str) -> Evaluator:
@@ -244,32 +272,50 @@ def feature_power(df: DataFrame, target: str, cols: Sequence[str], key: str, max
 # -- recursive feature elimination --------------------------------------------------
 
 
+GROUPS = 64  # groups of tasks whose matrices are summed before the last step
+
+
 def gram_by_fold(df: DataFrame, cols: Sequence[str], target: str, key: str, folds: int, seed: int) -> dict[int, np.ndarray]:
-    """[1, X, y]' [1, X, y] per fold: summed in each task, then per entry. Size depends on the columns only."""
+    """[1, X, y]' [1, X, y] per fold: summed in each task, then by groups of tasks; one array per fold reaches the driver."""
     names = [*cols, target]
     data = _folded(df, key, folds, seed).select("_fold", *[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(names)]).dropna()
     width = len(names) + 1
 
+    def as_rows(sums):
+        lists = pd.Series([g.ravel().tolist() for g in sums.values()], dtype=object)
+        return pd.DataFrame({"fold": pd.Series(list(sums), dtype="int32"), "gram": lists})
+
     def partial(batches):
         grams: dict[int, np.ndarray] = {}
         for pdf in batches:
             for fold, part in pdf.groupby("_fold"):
                 z = np.column_stack([np.ones(len(part)), part.iloc[:, 1:].to_numpy(dtype=float)])
                 grams[int(fold)] = grams.get(int(fold), 0.0) + z.T @ z
-        yield pd.DataFrame({"fold": list(grams), "gram": [g.ravel().tolist() for g in grams.values()]})
+        yield as_rows(grams)
 
-    flat = data.mapInPandas(partial, "fold int, gram array<double>").select("fold", F.posexplode("gram").alias("i", "v"))
-    sums = flat.groupBy("fold", "i").agg(F.sum("v").alias("v"))
-    out: dict[int, np.ndarray] = {}
-    for fold, i, v in sums.collect():  # folds * (columns + 2)^2 numbers
-        out.setdefault(fold, np.zeros(width * width))[i] = v
-    return {f: g.reshape(width, width) for f, g in out.items()}
+    def combine(batches):
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for fold, gram in zip(pdf["fold"], pdf["gram"]):
+                sums[int(fold)] = sums.get(int(fold), 0.0) + np.asarray(gram)
+        yield as_rows(sums)
+
+    schema = "fold int, gram array<double>"
+    parts = data.mapInPandas(partial, schema)
+    parts = parts.repartition(GROUPS).mapInPandas(combine, schema).repartition(folds, "fold").mapInPandas(combine, schema)
+    return {r["fold"]: np.asarray(r["gram"]).reshape(width, width) for r in parts.collect()}  # one row per fold
 
 
 def _fit(gram: np.ndarray, active: list[int]) -> np.ndarray:
-    idx = [0, *active]
-    beta, *_ = np.linalg.lstsq(gram[np.ix_(idx, idx)], gram[idx, -1], rcond=None)
-    return beta
+    """Least squares on centred and scaled columns, with the coefficients in the units of the data."""
+    n = gram[0, 0]
+    mean, target = gram[0, active] / n, gram[0, -1] / n
+    cross = gram[np.ix_(active, active)] / n - np.outer(mean, mean)
+    scale = np.sqrt(np.maximum(np.diag(cross), 0.0))
+    scale[scale == 0] = 1.0
+    slopes, *_ = np.linalg.lstsq(cross / np.outer(scale, scale), (gram[active, -1] / n - mean * target) / scale, rcond=None)
+    slopes = slopes / scale
+    return np.concatenate([[target - slopes @ mean], slopes])
 
 
 def _r2(gram: np.ndarray, active: list[int], beta: np.ndarray) -> float:

@@ -20,7 +20,7 @@ from marquetry.functions.metrics import level
 from marquetry.functions.pvalues import f_pvalue, t_pvalue
 from marquetry.functions.tails import f_tail, t_two_sided
 from marquetry.plans.quantiles import exact_quantiles
-from marquetry.plans.skew import attach_group_stats, with_scalars
+from marquetry.plans.skew import attach_group_stats, null_safe, with_scalars
 
 
 def adjust_for_group(df: DataFrame, metric: str, group: str, out: str | None = None, max_groups: int | None = None) -> DataFrame:
@@ -48,7 +48,8 @@ def anova(df: DataFrame, num: str, cat: str, by: Sequence[str] = (), p_value: bo
         F.sum("n").alias("_total"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("_mean")
     )
     if by:
-        joined = groups.join(first, list(by))
+        same = null_safe(by, "g", "f")  # a null in ``by`` is a group of its own
+        joined = groups.alias("g").join(first.alias("f"), same).select("g.*", "f._total", "f._mean")
     else:
         joined = with_scalars(groups, first).select("*", "_s._total", "_s._mean")
     sums = joined.groupBy(*by).agg(
@@ -147,7 +148,7 @@ def _solve(row: dict, degree: int) -> dict:
 
 
 def poly_regression(
-    df: DataFrame, x: str, y: str, degree: int | dict[str, int] = 1, by: Sequence[str] = (), max_groups: int | None = 10_000
+    df: DataFrame, x: str, y: str, degree: int | dict[str, int] = 1, by: Sequence[str] = (), max_groups: int | None = None
 ) -> DataFrame:
     """Coefficients (constant first), R squared, p-values and Cohen's f squared per group.
 
@@ -246,7 +247,7 @@ def numeric_factors(df: DataFrame, metric: str, factors: Sequence[Factor]) -> Da
 
 def categorical_factors(
     df: DataFrame, metric: str, factors: Sequence[Factor], year: str | None = "release_year",
-    dropna: bool = True, max_years: int = 10_000,
+    dropna: bool = True, max_years: int | None = None,
 ) -> DataFrame:
     """Analyse every categorical factor in one long-form pass, adjusted for yearly trends if ``year``.
 

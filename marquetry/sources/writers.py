@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,26 +33,37 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate layers: what the cluster names in ``spark.checkpoint.dir``.
+    """Folder for intermediate layers: what the session names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+    A cluster must name one that driver and executors share; only a local session without the setting takes a folder beside
+    its warehouse.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+        return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="marquetry-")
+    own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_layers"
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
-def checkpoint(df: DataFrame, path: str | None = None) -> DataFrame:
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def checkpoint(df: DataFrame, path: str | None = None, folder: str | None = None) -> DataFrame:
     """Materialise ``df`` as Parquet and continue from there.
 
     Cuts the lineage, survives the loss of executors, and later scans prune columns and push filters
-    down. Without a path the snapshot goes to a fresh name in the shared folder.
+    down. Without a path the snapshot goes to a fresh name in ``folder``, or in the shared folder, and is deleted when the
+    application ends; a snapshot at a given path stays.
     """
-    path = path or f"{shared_folder(df.sparkSession)}/layer-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    if path is None:
+        path = f"{(folder or shared_folder(spark)).rstrip('/')}/layer-{uuid.uuid4().hex}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     write(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

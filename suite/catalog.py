@@ -591,7 +591,18 @@ def _(spark, sf):
     over_items("select item_id, cast(code as integer) as release_date from items join (select release_date, row_number() over (order by min(item_id)) - 1 as code from items group by 1) using (release_date)"),
 )
 def _(spark, sf):
-    return G.label_encode(_labelled(spark, sf), ["release_date"], "item_id", many=["release_date"]).select("item_id", "release_date")
+    return G.label_encode(_labelled(spark, sf), ["release_date"], "item_id").select("item_id", "release_date")
+
+
+@query(
+    "g05_label_encode_prices",
+    """select o_orderkey, cast(code as integer) as code from orders join (
+  select o_totalprice, row_number() over (order by min(o_orderkey)) - 1 as code from orders group by 1) using (o_totalprice)""",
+)
+def _(spark, sf):
+    """About as many values as rows."""
+    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("code"))
+    return G.label_encode(rows, ["code"], "o_orderkey").select("o_orderkey", "code")
 
 
 @query("g06_list_counts", over_items("select item_id, len(tags)::int as tags_count from items"))
@@ -628,6 +639,16 @@ def _(spark, sf):
     return hot.groupBy(active.alias("active")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("g09_multi_hot_words", "select doc_id, cast(len(list_distinct(string_split(text, ' '))) as bigint) as active from documents")
+def _(spark, sf):
+    """Every word of every document is a term."""
+    words = table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("words"))
+    hot, _model = G.multi_hot_sparse(words, "words", "hot")
+    text = F.col("hot").cast("string")  # a sparse vector prints as (size,[places],[values])
+    places = F.regexp_extract(text, r"\[([^\]]*)\]", 1)
+    return hot.select("doc_id", F.size(F.split(places, ",")).cast("bigint").alias("active"))
+
+
 @query("g10_drop_leakage", "select o_orderkey, o_orderdate::date as o_orderdate from orders")
 def _(spark, sf):
     rows = table(spark, sf, "orders").withColumn("o_orderdate", F.to_date("o_orderdate"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import functions as F
 
@@ -356,12 +357,26 @@ def _(spark, sf):
 
 @query("l19_blended_scores")
 def _(spark, sf):
-    out = ML.score(_valid(spark, sf), _models(spark, sf), CLASSES)
+    out = ML.score(_matrix(spark, sf), _models(spark, sf), CLASSES)
     return out.select("item_id", "blend_class", r6(L.expected_class(F.col("blend")), "expected"))
 
 
+@query("l19_every_candidate", over_items("select item_id, true as scored from items"))
+def _(spark, sf):
+    """Rows with missing features are scored like any other."""
+    flags = {f"~tag_{t}": F.array_contains("tags", t).cast("int") for t in ("ring", "bolt")}
+    out = ML.score(items(spark, sf).withColumns(flags).select("item_id", *_X), _models(spark, sf), CLASSES)
+    return out.select("item_id", (F.col("blend_class").isNotNull() & F.col("blend").isNotNull()).alias("scored"))
+
+
+@query("l15_kappa_search")
+def _(spark, sf):
+    est = DecisionTreeClassifier(labelCol="label", featuresCol="features", seed=1)
+    return ML.tune(est, {"maxDepth": ("int", 2, 6)}, _matrix(spark, sf), _X, ML.kappa_evaluator("label"), "item_id", n_trials=2, folds=2)
+
+
 @query("l22_what_if")
 def _(spark, sf):
-    rows = _valid(spark, sf).select("item_id", *FEATURES)
+    rows = _matrix(spark, sf).select("item_id", *FEATURES)
     base = G.baseline_row(_matrix(spark, sf).select(FEATURES), modes=["~tag_ring", "~tag_bolt"], medians=["price", "pos", "neg"])
     return ML.what_if(rows, "item_id", _models(spark, sf), CLASSES, tests={"price": [9.99, 19.99, 59.99]}, baseline=base)

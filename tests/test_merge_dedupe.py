@@ -146,5 +146,6 @@ def test_fuzzy_lookup(spark):
     df = spark.createDataFrame([("tags_cout",), ("tags_cout",), ("prise",), (None,)], "t string")
     out = {(r["text"], r["rank"]): r["match"] for r in fuzzy.fuzzy_lookup(df, "t", ["price", "tags_count", "tag"], k=2).collect()}
     assert out[("tags_cout", 1)] == "tags_count" and out[("prise", 1)] == "price" and len(out) == 4
-    with pytest.raises(ValueError, match="more than 2"):
-        fuzzy.vocabulary_list(["a", "b", "c"], limit=2)
+    for block in (1, 2):  # any number of blocks gives the same
+        again = fuzzy.fuzzy_lookup(df, "t", ["price", "tags_count", "tag", None, "tag"], k=2, block=block).collect()
+        assert {(r["text"], r["rank"]): r["match"] for r in again} == out

@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, compare
+from suite.items import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,9 +18,9 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    verdict, _ = compare(spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), SF)
+    verdict, _ = compare(spark, con, name, QUERIES[name], ORACLES.get(name), SF)
     assert verdict.startswith(("ok", "rows only")), verdict
     assert "TYPES" not in verdict, verdict
 
@@ -32,7 +33,7 @@ def test_entry(spark):
 PYTHON_STAGES = ("j04", "j08", "j07", "j09", "j10", "l")
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if not n.startswith("l")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith("l")])
 def test_plan_shape(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
