@@ -64,14 +64,16 @@ class LabelModel:
     """Accuracies of the labellers by expectation-maximisation, and posteriors of vote patterns."""
 
     def __init__(self, patterns: list[str], counts: list[int], rounds: int = 100):
-        self.patterns = patterns
+        self.prior, self.posterior, self.table = 0.5, {}, np.zeros((2, 0, 3))
+        if not patterns:
+            return
         v = np.array([[int(c) for c in p] for p in patterns], int).reshape(len(patterns), -1)
         w = np.array(counts, float)
         m = v.shape[1]
         good, bad = (v == GOOD).sum(1), (v == BAD).sum(1)
         # at the start a bad vote outweighs a good one: most labellers look for one kind of fault
         q = (good + 1.0) / (good + 4.0 * bad + 2.0)
-        self.prior, self.table = 0.5, np.full((2, m, 3), 1e-9)
+        self.table = np.zeros((2, m, 3))
         for _ in range(rounds):
             for y, part in ((0, w * (1 - q)), (1, w * q)):
                 for k in (BAD, GOOD):
@@ -79,8 +81,8 @@ class LabelModel:
                 self.table[y] /= self.table[y].sum(1, keepdims=True)
             self.prior = (float((w * q).sum()) + 1) / (float(w.sum()) + 2)
             # a labeller that abstains says nothing of either class
-            ratio = np.log(self.table[1]) - np.log(self.table[0])
-            odds = np.log(self.prior / (1 - self.prior)) + (ratio[:, BAD] * (v == BAD) + ratio[:, GOOD] * (v == GOOD)).sum(1)
+            bad_odds, good_odds = (np.log(self.table[1, :, k] / self.table[0, :, k]) for k in (BAD, GOOD))
+            odds = np.log(self.prior / (1 - self.prior)) + (bad_odds * (v == BAD) + good_odds * (v == GOOD)).sum(1)
             new = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
             if len(q) and np.abs(new - q).max() < 1e-6:
                 q = new
