@@ -5,8 +5,9 @@ group holding a third of the table becomes the whole job. Here the statistics ar
 aggregated first (map-side combine), and the rows are matched with them in two ways:
 
 * the ``heavy`` largest groups travel by broadcast - at most ``heavy`` rows, whatever
-  the input size - so rows of a large group never move;
-* the remaining groups, each at most ``1 / heavy`` of the table, use a shuffled join.
+  the input size;
+* the remaining groups, each at most ``1 / heavy`` of the table, use a shuffled join, through which
+  the rows of large groups pass under a salt.
 
 When a caller knows how many groups there can be (years in a filtered range, factor
 names, ...) it passes ``max_groups`` and only the broadcast remains; a run-time check
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEAVY_GROUPS = 10_000
+SALTS = 4_096
 
 
 def scalar_row(aggregate: DataFrame) -> Column:
@@ -66,18 +68,22 @@ def attach_group_stats(
     keys = list(keys)
     added = [c for c in stats.columns if c not in keys]
 
-    def match(side: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
-        joined = side.alias("l").join(table.alias("r"), null_safe(keys, "l", "r"), how)
-        if how == "left_anti":
-            return joined
-        return joined.select("l.*", *[F.col(f"r.`{c}`") for c in added])
-
     if max_groups is not None:
-        return match(rows, F.broadcast(bounded(stats, max_groups)))
-    top = stats.orderBy(F.desc(weight), *keys).limit(heavy)
-    light_rows = match(rows, F.broadcast(top.select(keys)), "left_anti")
-    light_stats = match(stats, F.broadcast(top.select(keys)), "left_anti")
-    return match(rows, F.broadcast(top)).unionByName(match(light_rows, light_stats))
+        few = F.broadcast(bounded(stats, max_groups)).alias("r")
+        met = rows.alias("l").join(few, null_safe(keys, "l", "r"))
+        return met.select("l.*", *[F.col(f"r.`{c}`") for c in added])
+    # one pass: rows of heavy groups are settled by broadcast; they go through the shuffled join under a salt, where nothing
+    # waits for them, so that no task receives a heavy group and the rows are read once
+    top = stats.orderBy(F.desc(weight), *keys).limit(heavy).withColumn("_heavy", F.lit(True))
+    first = rows.alias("l").join(F.broadcast(top).alias("r"), null_safe(keys, "l", "r"), "left")
+    first = first.select("l.*", "r._heavy", *[F.col(f"r.`{c}`").alias(f"_h_{c}") for c in added])
+    salt = F.when(F.col("_heavy"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)) + 1).otherwise(F.lit(0))
+    first = first.withColumn("_salt", salt.cast("bigint"))
+    light = stats.withColumn("_salt", F.lit(0).cast("bigint")).withColumn("_light", F.lit(True))
+    met = null_safe([*keys, "_salt"], "l", "r")
+    joined = first.alias("l").join(light.alias("r"), met, "left").where("l._heavy or r._light")
+    values = [F.when(F.col("l._heavy"), F.col(f"l.`_h_{c}`")).otherwise(F.col(f"r.`{c}`")).alias(c) for c in added]
+    return joined.select(*[F.col(f"l.`{c}`") for c in rows.columns], *values)
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, key: str, table_key: str, heavy: int = HEAVY_GROUPS) -> DataFrame:

@@ -18,14 +18,16 @@ LAYERS = {
 }
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, multiline: bool = True) -> DataFrame:
-    """CSV with header. Quoted line breaks need ``multiline``, which makes a file one task;
-    pass ``multiline=False`` for large files without them so that they split."""
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, multiline: bool = False) -> DataFrame:
+    """CSV with header; files split into tasks. Quoted line breaks need ``multiline``, which makes a file one task."""
     return spark.read.csv(path, header=True, schema=schema, multiLine=multiline, quote='"', escape='"')
 
 
 def read_json_list(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """JSON whose root is a list of objects."""
+    """JSON whose root is a list of objects; ``path`` may name many files, each is one task.
+
+    Convert large ones once with ``writers.checkpoint`` before analysing them.
+    """
     return spark.read.json(path, schema=schema, multiLine=True)
 
 

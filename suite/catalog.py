@@ -35,6 +35,17 @@ def _(spark, sf):
     return profile.sample_n(items(spark, sf), 100, seed=7, key="item_id").select("item_id", "price")
 
 
+@query("a09_sample_facts", over_items("select least(count(*), 100) as rows, least(count(*), 100) as distinct_rows, true as members from items"))
+def _(spark, sf):
+    """A sample has the wanted size, no repeats, and only rows of the table."""
+    drawn = profile.sample_n(items(spark, sf), 100, seed=7, key="item_id").select("item_id", "price")
+    met = drawn.join(items(spark, sf).select(F.col("item_id").alias("i"), F.col("price").alias("p")), F.col("item_id") == F.col("i"), "left")
+    return met.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("item_id").alias("distinct_rows"),
+        F.every(F.col("i").isNotNull() & F.col("price").eqNullSafe(F.col("p"))).alias("members"),
+    )
+
+
 @query(
     "a10_flatten_records",
     """select c_custkey, c_nationkey as "home.nation", 'NestedDict[2 keys]' as "home.more",

@@ -22,6 +22,18 @@ def _(spark, sf):
     return L.split(items(spark, sf).select("item_id"), "item_id")
 
 
+@query("l01_split_facts", over_items("select count(*) as rows, true as near_share, true as repeatable from items"))
+def _(spark, sf):
+    """The split keeps every row, marks about a fifth, and does not depend on the partitioning."""
+    rows = items(spark, sf).select("item_id")
+    again = L.split(rows.repartition(7), "item_id").select(F.col("item_id").alias("i"), F.col("is_test").alias("t"))
+    both = L.split(rows, "item_id").join(again, F.col("item_id") == F.col("i"))
+    share = F.count_if("is_test") / F.count(F.lit(1))
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"), F.abs(share - 0.2).between(0.0, 0.05).alias("near_share"), F.every(F.col("is_test") == F.col("t")).alias("repeatable")
+    )
+
+
 @query("l02_stratified_split_counts", over_items("select cast(release_year - 1995 as integer) as stratum, cast(count(*) - 1 - floor(0.8 * (count(*) - 1)) as bigint) as test_rows from items group by 1"))
 def _(spark, sf):
     rows = items(spark, sf).select("item_id", (F.col("release_year") - 1995).alias("stratum"))

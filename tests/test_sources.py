@@ -12,7 +12,7 @@ from marquetry.sources import profile, readers, writers
 def test_csv_with_quotes_and_line_breaks(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text('appid,name,price\n1,"A ""quoted""\nname",9.99\n2,,x\n')
-    out = readers.read_csv(spark, str(path), "appid long, name string, price string").orderBy("appid").collect()
+    out = readers.read_csv(spark, str(path), "appid long, name string, price string", multiline=True).orderBy("appid").collect()
     assert out[0]["name"] == 'A "quoted"\nname' and out[1]["name"] is None and out[1]["price"] == "x"
 
 
