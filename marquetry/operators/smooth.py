@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,21 +92,21 @@ def compare_distributions(
 def kde(df: DataFrame, col: str, points: int, scale_bins: int | None = None) -> DataFrame:
     """Gaussian density (Scott bandwidth) at evenly spaced points over the observed range.
 
-    Equal values are counted first; then every grid point is one sum of the same aggregate, so no rows
-    are paired with the grid. ``scale_bins`` scales to the counts of a histogram with that many bins.
+    Every grid point is one sum of the same aggregate, combined map-side, so no rows are paired with the grid and
+    only one row per task is shuffled. ``scale_bins`` scales to the counts of a histogram with that many bins.
     Fewer than two rows or no variance give no rows.
     """
     rows = df.select(F.col(col).cast("double").alias("x")).where("x is not null")
     s = scalar_row(rows.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.stddev_samp("x").alias("sd")))
-    counts = rows.groupBy("x").agg(F.count(F.lit(1)).alias("c")).withColumn("s", s)
+    valued = rows.withColumn("s", s)
     bandwidth = F.col("s.sd") * F.pow(F.col("s.n").cast("double"), -0.2)
     step = (F.col("s.hi") - F.col("s.lo")) / F.lit(points - 1)
 
     def kernel(i: int) -> Column:
         z = (F.col("s.lo") + step * i - F.col("x")) / bandwidth
-        return F.coalesce(F.sum(F.col("c") * F.exp(z * z * -0.5)), F.lit(0.0)).alias(f"k{i}")
+        return F.coalesce(F.sum(F.exp(z * z * -0.5)), F.lit(0.0)).alias(f"k{i}")
 
-    usable = counts.where((F.col("s.n") >= 2) & (F.col("s.sd") > 0))
+    usable = valued.where((F.col("s.n") >= 2) & (F.col("s.sd") > 0))
     sums = usable.agg(*[kernel(i) for i in range(points)]).select(F.array(*[f"k{i}" for i in range(points)]).alias("k"))
     out = sums.select(F.posexplode("k").alias("i", "k")).withColumn("s", s).where((F.col("s.n") >= 2) & (F.col("s.sd") > 0))
     density = F.col("k") / (F.col("s.n") * bandwidth * F.lit(float(np.sqrt(2 * np.pi))))
@@ -126,13 +127,31 @@ def _windows(x: Column, centers: Sequence[float], half_widths: Sequence[float])
 def triangular_mean(df: DataFrame, val: str, x: str, centers: Sequence[float], half_widths: Sequence[float]) -> DataFrame:
     """Mean around each centre, weights falling linearly to 0 at the window's edge; null without weight.
 
-    Rows are first reduced to one (sum, count) per distinct ``x``.
+    The axis is cut at all centres and window edges. Rows are reduced to sums per piece in one map-side aggregate; the weight is
+    linear within a piece, so each window's mean follows from the sums of its pieces. No row is copied into windows.
     """
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(val).cast("double").alias("v")).dropna()
-    sums = rows.groupBy("x").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("c"))
-    hits = sums.select("x", "v", "c", F.explode(_windows(F.col("x"), centers, half_widths)).alias("g"))
-    w = F.lit(1.0) - F.abs(F.col("x") - F.col("g.center")) / F.col("g.half")
-    return hits.groupBy(F.col("g.center").alias("center")).agg(F.try_divide(F.sum(w * F.col("v")), F.sum(w * F.col("c"))).alias("mean"))
+    pairs = list(zip(map(float, centers), map(float, half_widths)))
+    edges = sorted({e for c, h in pairs for e in (c - h, c, c + h)})
+    if len(edges) < 2:
+        edges = [*edges, float("inf")]
+    cut = Bucketizer(splits=[float("-inf"), *edges, *([float("inf")] if edges[-1] != float("inf") else [])], inputCol="x", outputCol="piece")
+    sums = cut.transform(rows).groupBy("piece").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("v").alias("sv"), F.sum(F.col("x") * F.col("v")).alias("sxv")
+    )
+    at = F.col("piece").cast("int")  # piece i lies between edges i - 1 and i
+    marks = F.array(*[F.lit(e) for e in edges])
+    placed = sums.where((at > 0) & (at < len(edges))).select(
+        "n", "sx", "sv", "sxv", F.get(marks, at - 1).alias("lo"), F.get(marks, at).alias("hi")
+    )
+    grid = F.array(*[F.struct(F.lit(c).alias("center"), F.lit(h).alias("half")) for c, h in pairs])
+    inside = F.filter(grid, lambda g: (F.col("lo") >= g["center"] - g["half"]) & (F.col("hi") <= g["center"] + g["half"]))
+    hits = placed.select("*", F.explode(inside).alias("g"))  # pieces times windows, whatever the number of rows
+    slope = F.when(F.col("lo") >= F.col("g.center"), -1.0).otherwise(1.0) / F.col("g.half")
+    weigh = lambda one, with_x: F.sum(F.col(one) - slope * F.col("g.center") * F.col(one) + slope * F.col(with_x))
+    totals = hits.groupBy(F.col("g.center").alias("center")).agg(weigh("sv", "sxv").alias("top"), weigh("n", "sx").alias("weight"))
+    weight = F.when(F.abs("weight") > 1e-12, F.col("weight"))
+    return totals.select("center", F.try_divide(F.col("top"), weight).alias("mean"))
 
 
 def sliding_curve(
