@@ -19,11 +19,12 @@ import unicodedata
 
 from pyspark.sql import DataFrame
 
-from .common import add_columns
+from .common import add_columns, kept
 
-WORDS = 300_000  # encoded words a task keeps; beyond that it starts anew
+CHUNKS = 300_000  # encoded pieces between blanks that a worker keeps; beyond that it starts anew
+WORDS = 100_000  # encoded words likewise
 LONGEST = 64
-ARCS = 300_000
+ARCS = 200_000
 END = "\x00"  # stands for the word end inside labels; no byte symbol uses it
 CLASS = "\ue000"  # a place holder in patterns
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # Unicode White_Space
@@ -194,7 +195,7 @@ class WordEncoder:
         ids = self.chunk_ids(chunk)
         found = " ".join(map(str, ids)), len(ids), " ".join([self.names[i] for i in ids])
         if len(chunk) <= LONGEST:
-            if len(self.chunks) >= WORDS:
+            if len(self.chunks) >= CHUNKS:
                 self.chunks.clear()
             self.chunks[chunk] = found
         return found
@@ -222,15 +223,9 @@ class WordEncoder:
         return " ".join([self.names[i] for i in ids])
 
 
-_ENCODERS: dict = {}
-
-
 def _encoder(spec: str) -> WordEncoder:
     """One encoder per Python worker: the automaton is compiled once and its words serve the next task as well."""
-    if spec not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[spec] = WordEncoder(spec)
-    return _ENCODERS[spec]
+    return kept(("bpe", hash(spec)), lambda: WordEncoder(spec))
 
 
 def encode_texts(

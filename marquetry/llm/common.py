@@ -6,6 +6,7 @@ columns are passed through or ignored, never read; input rows are never dropped,
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -24,6 +25,38 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+_KEPT: dict = {}
+_USED: set = set()
+
+
+def kept(key, build: Callable):
+    """A large object that a Python worker keeps for its next task, such as a compiled vocabulary with what it has met.
+
+    A worker keeps only what its current pass asks for, so the memory of passes does not add up.
+    """
+    _USED.add(key)
+    if key not in _KEPT:
+        _release()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
+def _release() -> None:
+    gone = [k for k in _KEPT if k not in _USED]
+    for k in gone:
+        del _KEPT[k]
+    if gone:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
+def _start(make: Callable):
+    _USED.clear()
+    fn = make()
+    _release()
+    return fn
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -56,7 +89,7 @@ def add_columns(
     out_schema = pa.schema([f for f in fields if f.name != keep_where])
 
     def run(batches):
-        fn = make()
+        fn = _start(make)
         for batch in slices(batches):
             got = fn(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs])
             made = [g if isinstance(g, pa.Array) else pa.array(g, f.type) for g, f in zip(got, fields)]
@@ -79,7 +112,7 @@ def explode_rows(
     fields = arrow_fields(schema)
 
     def run(batches):
-        fn = make()
+        fn = _start(make)
         for batch in slices(batches):
             got = fn(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs])
             made = [g if isinstance(g, pa.Array) else pa.array(g, f.type) for g, f in zip(got, fields)]

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, fresh
+from .common import add_columns, fresh, kept
 
 BAD, NONE, GOOD = 0, 1, 2
 SAMPLE = 6_000  # documents that train the scorer, chosen by hash
@@ -106,27 +106,27 @@ def shape(word: str) -> str:
     return f"{out[:8]}{min(3, len(word) // 4)}"
 
 
-_SHAPES: dict[str, int] = {}
+WORDS = 200_000  # words whose bucket a worker keeps; beyond that it starts anew
 
 
-def _bucket(word: str) -> int:
-    found = _SHAPES.get(word)
-    if found is None:
-        if len(_SHAPES) > 300_000:
-            _SHAPES.clear()
+class Buckets(dict):
+    """Feature of a word's shape, worked out when the word is first met."""
+
+    def __missing__(self, word: str) -> int:
         found = crc32(shape(word).encode()) % (BUCKETS - 2)
         if len(word) < 64:
-            _SHAPES[word] = found
-    return found
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = found
+        return found
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str | None, buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features: share of each word shape, share of words equal to the word before, and a constant."""
     words = (text or "").split()
     if not words:
         return np.array([BUCKETS - 1]), np.array([1.0])
-    known = _SHAPES
-    counts = np.bincount([known.get(w) or _bucket(w) for w in words], minlength=BUCKETS - 2)
+    counts = np.bincount(list(map(buckets.__getitem__, words)), minlength=BUCKETS - 2)
     at = np.flatnonzero(counts)
     same = sum(map(eq, words, words[1:])) / len(words)
     return np.append(at, [BUCKETS - 2, BUCKETS - 1]), np.append(np.sqrt(counts[at] / len(words)), [np.sqrt(same), 1.0])
@@ -166,8 +166,10 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tuple[
     chosen = texts.where(F.pmod(F.xxhash64("text", F.lit("quality")), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def describe():
+        buckets = kept("quality", Buckets)
+
         def rows(texts):
-            got = [features(t) for t in texts]
+            got = [features(t, buckets) for t in texts]
             known = model.posterior
             patterns = ["".join(map(str, votes(t))) for t in texts]
             return [g[0].tolist() for g in got], [g[1].tolist() for g in got], [known[p] for p in patterns]
@@ -183,8 +185,10 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out: str
     """``docs`` with the probability of good quality as ``out``; null and empty texts are scored as texts without words."""
 
     def make():
+        buckets = kept("quality", Buckets)
+
         def rows(texts):
-            got = [features(t) for t in texts]
+            got = [features(t, buckets) for t in texts]
             return ([float(1 / (1 + np.exp(-np.clip(weights[a] @ x, -30, 30)))) for a, x in got],)
 
         return rows

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns
+from .common import add_columns, kept
 
 SPACE = "▁"  # how the vocabulary writes a blank
 UNITS = 400_000  # tables a task keeps; beyond that it starts anew
@@ -173,16 +173,9 @@ def prefix_token_counts(
     return add_columns(docs, [text_col], make, f"`{n_bytes}` bigint, `{n_tokens}` bigint, `{steps}` binary")
 
 
-_COUNTERS: dict = {}
-
-
 def _counter(pieces: list[tuple[str, float]]) -> PrefixCounter:
     """One counter per Python worker, so that its tables serve the next task as well."""
-    key = len(pieces), hash(tuple(pieces))
-    if key not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[key] = PrefixCounter(pieces)
-    return _COUNTERS[key]
+    return kept(("token counts", hash(tuple(pieces))), lambda: PrefixCounter(pieces))
 
 
 def over_budget(budget: int, n_tokens: str = "n_tokens") -> Column:
