@@ -11,7 +11,7 @@ from marquetry import constants as K
 from marquetry.functions import metrics as M
 from marquetry.functions import parsing as P
 from marquetry.operators.filters import below_quantile, keep_top_n
-from marquetry.plans.quantiles import exact_quantiles, melt, mode_by
+from marquetry.plans.quantiles import exact_quantiles, melt
 from marquetry.plans.skew import attach_group_stats, null_safe, with_scalars
 
 
@@ -175,17 +175,20 @@ def common_values(
         F.round("_left", 6).alias("start"), F.round(F.col("_left") + F.col("_seg.width"), 6).alias("end"), x.alias("price"), score, owners
     )
 
-    top = count_by(binned, ["start", "end"]).orderBy(F.desc("count"), "start").limit(top_n)
+    # one aggregate over (bin, price) gives the counts and the modes
+    prices = binned.groupBy("start", "end", "price").agg(F.count(F.lit(1)).alias("_c"))
+    most = F.min_by("price", F.struct(-F.col("_c"), F.col("price")))
+    bins = prices.groupBy("start", "end").agg(F.sum("_c").alias("count"), most.alias("mode_price"))
+    top = bins.orderBy(F.desc("count"), "start").limit(top_n)
     kept = binned.join(F.broadcast(top.select("start")), "start", "left_semi")
-    modes = mode_by(kept, "price", ["start"], "mode_price")
     # both medians in one pass; bins and columns are known to be few
     medians = exact_quantiles(melt(kept, [score, owners], ["start"]), "value", {"median": 0.5}, ["start", "column"], max_groups=2 * top_n)
     wide = medians.groupBy("start").agg(
         F.max(F.when(F.col("column") == score, F.col("median"))).alias("median_score"),
         F.max(F.when(F.col("column") == owners, F.col("median"))).alias("median_owners"),
     )
-    # every side has at most top_n rows
-    out = top.join(F.broadcast(modes), "start").join(F.broadcast(wide), "start", "left")
+    # both sides have at most top_n rows
+    out = top.join(F.broadcast(wide), "start", "left")
     share = F.col("count") / F.col("_s.n")
     return with_scalars(out, scope).select(
         F.format_string("$%.2f (%.2f - %.2f)", "mode_price", "start", "end").alias("label"),

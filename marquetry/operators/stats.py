@@ -266,8 +266,8 @@ def categorical_factors(
         n = len(factors)
         per_year = long.groupBy("factor", year).agg(F.avg("y").alias("_m"), F.stddev_samp("y").alias("_sd"), F.count(F.lit(1)).alias("_w"))
         overall = long.groupBy("factor").agg(F.avg("y").alias("_om"), F.stddev_samp("y").alias("_osd"), F.count(F.lit(1)).alias("_ow"))
-        # max_years years per factor at most, checked at run time
-        long = attach_group_stats(long, per_year, ["factor", year], "_w", max_years * n)
+        # a stated number of years per factor is checked at run time
+        long = attach_group_stats(long, per_year, ["factor", year], "_w", max_years and max_years * n)
         long = attach_group_stats(long, overall, ["factor"], "_ow", n)
         z = F.try_divide(F.col("y") - F.col("_m"), F.col("_sd"))
         long = long.select("factor", "label", (z * F.col("_osd") + F.col("_om")).alias("y"))

@@ -77,3 +77,15 @@ def test_dense_index_is_a_gapless_order(spark):
     df = spark.createDataFrame([(v,) for v in values], "v bigint").repartition(6)
     out = [r["i"] for r in dense_index(df, "v", "i").orderBy("v").collect()]
     assert out == list(range(len(values)))
+
+
+def test_group_stats_meet_hot_and_rare_and_null_keys(spark):
+    rows = [(i, "hot" if i % 2 else (None if i % 10 == 0 else f"k{i}")) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, k string").repartition(5)
+    sizes = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    for heavy in (1, 5, 1000):
+        got = attach_group_stats(df, sizes, ["k"], "n", heavy=heavy).collect()
+        assert len(got) == 400 and set(got[0].asDict()) == {"id", "k", "n"}
+        assert {(r["k"], r["n"]) for r in got} >= {("hot", 200), (None, 40), ("k2", 1)}
+    some = attach_group_stats(df, sizes.where("k = 'hot' or k = 'k2'"), ["k"], "n", heavy=1).collect()
+    assert sorted({(r["k"], r["n"]) for r in some}) == [("hot", 200), ("k2", 1)] and len(some) == 201

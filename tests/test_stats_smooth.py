@@ -155,3 +155,19 @@ def test_shares_sum_to_one(spark):
     df = spark.createDataFrame([(2000 + i % 3, ["a", "b", "c", "d"][: 1 + i % 4]) for i in range(40)], "y int, tags array<string>")
     sums = reports.category_share_long(df, "y", "tags", 3).groupBy("y").agg(F.sum("share").alias("s")).collect()
     assert [r["s"] for r in sums] == pytest.approx([1.0] * 3)
+
+
+def test_anova_keeps_the_null_group(spark):
+    rows = [(k, c, float(i % 5 + (c == "b"))) for k in (1, None) for c in "ab" for i in range(6)]
+    got = stats.anova(spark.createDataFrame(rows, "k int, c string, y double"), "y", "c", by=["k"], p_value=False).collect()
+    assert sorted((r["k"] is None, r["n"], r["groups"]) for r in got) == [(False, 12, 2), (True, 12, 2)]
+
+
+def test_triangular_mean_against_brute_force(spark):
+    xs = [(0.0, 1.0), (0.5, 2.0), (1.0, 4.0), (1.5, 8.0), (2.0, 16.0), (7.0, 3.0)]
+    centers, halves = [0.0, 1.0, 1.2, 6.5], [1.0, 1.0, 0.9, 1.0]
+    df = spark.createDataFrame([(x, v) for x, v in xs] + [(None, 1.0), (1.0, None)], "x double, v double")
+    got = {r["center"]: r["mean"] for r in smooth.triangular_mean(df, "v", "x", centers, halves).collect()}
+    for c, h in zip(centers, halves):
+        w = [(max(0.0, 1 - abs(x - c) / h), v) for x, v in xs]
+        assert got[c] == pytest.approx(sum(a * v for a, v in w) / sum(a for a, _ in w))
