@@ -132,8 +132,8 @@ def _(spark, sf):
     return readers.load(spark, root, "preprocessed").select("appid", "steam_total_reviews")
 
 
-def layers(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Layers of the catalog; columns that its sources did not bring are there without values."""
+def complete(spark, sf) -> DataFrame:
+    """The cleaned catalog with all its columns; those that the sources did not bring are there without values."""
     rows = preprocessed(spark, sf)
     kinds = {G.EMPTY_LIST: "array<string>", G.MEDIAN: "double", G.KEEP: "string"}
     of_value = {bool: "boolean", int: "double", str: "string"}
@@ -147,7 +147,11 @@ def layers(spark, sf) -> tuple[DataFrame, DataFrame]:
     makers = {c: F.array(F.lit("someone")) for c in ("developers", "publishers")}
     calendar = ("release_month", "release_day_of_month")
     rows = rows.withColumns({c: v for c, v in {**absent, **makers}.items() if c not in calendar})
-    return G.feature_layers(rows.drop("is_released"))
+    return rows.drop("is_released")
+
+
+def layers(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return G.feature_layers(stored(spark, sf, "complete", lambda: complete(spark, sf)))
 
 
 @query("g09_layer_flags", over_items(
