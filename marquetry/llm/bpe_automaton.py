@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 
 from .common import add_columns, kept
 
-CHUNKS = 300_000  # encoded pieces between blanks that a worker keeps; beyond that it starts anew
-WORDS = 100_000  # encoded words likewise
+CHUNKS = 150_000  # encoded pieces between blanks that a worker keeps; beyond that it starts anew
+WORDS = 30_000  # encoded words likewise
 LONGEST = 64
-ARCS = 200_000
+ARCS = 120_000
 END = "\x00"  # stands for the word end inside labels; no byte symbol uses it
 CLASS = "\ue000"  # a place holder in patterns
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # Unicode White_Space

@@ -109,52 +109,43 @@ def find_overlap(
     blocks = max(1, -(-(total[0] or 0) // block_bytes))
     state = fresh(docs, "_spans"), fresh(docs, "_items")
     out = docs.withColumn(state[0], F.lit(None).cast("array<bigint>")).withColumn(state[1], F.lit(None).cast("array<string>"))
+    names = [f"{prefix}{n}" for n in ("n_words", "n_hit", "items", "spans")]
+    carried = f"`{state[0]}` array<bigint>, `{state[1]}` array<string>"
+    result = f"`{names[0]}` bigint, `{names[1]}` bigint, `{names[2]}` array<string>, `{names[3]}` array<array<bigint>>"
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == block)
         # bounded: about block_bytes of text
         held = spark.sparkContext.broadcast([tuple(r) for r in mine.toLocalIterator()])
-        out = _one_block(out, held, text_col, state, window)
-    names = [f"{prefix}{n}" for n in ("n_words", "n_hit", "items", "spans")]
-
-    def make():
-        def finish(texts, found, items):
-            words, hits, listed, offsets = [], [], [], []
-            for text, flat, own in zip(texts, found, items):
-                norm = normalise(text)
-                words.append(max(0, norm.count(" ") - 1))
-                runs = merge(flat)
-                hits.append(sum(b - a for a, b in runs))
-                listed.append(sorted(own or ()))
-                offsets.append(original(text, runs) if spans else [])
-            return words, hits, listed, offsets
-
-        return finish
-
-    ddl = f"`{names[0]}` bigint, `{names[1]}` bigint, `{names[2]}` array<string>, `{names[3]}` array<array<bigint>>"
-    return add_columns(out, [text_col, *state], make, ddl, state)
+        last = block == blocks - 1  # the last pass also gives the result
+        make = _one_block(held, window, last, spans)
+        out = add_columns(out, [text_col, *state], make, result if last else carried, state if last else ())
+    return out
 
 
-def _one_block(docs, held, text_col, state, window):
+def _one_block(held, window, last, spans):
     def make():
         auto = build(held.value, window)
 
         def step(texts, found, items):
-            if auto is None:
-                return found, items
+            words, hits, offsets = [], [], []
             for i, text in enumerate(texts):
                 norm = normalise(text)
-                if not norm:
-                    continue
-                ranges, own = scan(auto, norm)
+                ranges, own = scan(auto, norm) if auto and norm else ((), ())
                 if ranges:
                     flat = [x for span in word_spans(norm, ranges) for x in span]
                     found[i] = (found[i] or []) + flat
                     items[i] = sorted({*(items[i] or ()), *(x for x in own if x is not None)})
-            return found, items
+                if last:
+                    runs = merge(found[i])
+                    words.append(max(0, norm.count(" ") - 1))
+                    hits.append(sum(b - a for a, b in runs))
+                    items[i] = items[i] or []
+                    offsets.append(original(text, runs) if spans else [])
+            return (words, hits, items, offsets) if last else (found, items)
 
         return step
 
-    return add_columns(docs, [text_col, *state], make, f"`{state[0]}` array<bigint>, `{state[1]}` array<string>")
+    return make
 
 
 def merge(flat: list[int] | None) -> list[tuple[int, int]]:
