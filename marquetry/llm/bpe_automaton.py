@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame
 
 from .common import add_columns, kept
 
-CHUNKS = 150_000  # encoded pieces between blanks that a worker keeps; beyond that it starts anew
-WORDS = 30_000  # encoded words likewise
+CHUNKS = 400_000  # encoded pieces between blanks that a worker keeps; beyond that it starts anew
+WORDS = 60_000  # encoded words likewise
 LONGEST = 64
 ARCS = 120_000
 END = "\x00"  # stands for the word end inside labels; no byte symbol uses it
 CLASS = "\ue000"  # a place holder in patterns
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # Unicode White_Space
+BEYOND_LATIN = re.compile("[^\x00-\u012f\u0131-\u02ff]")  # U+0130 becomes two signs in lower case
 PYTHON_ONLY_SPACE = re.compile("[\x1c-\x1f]")  # str.split() takes these as well
 
 
@@ -186,12 +187,21 @@ class WordEncoder:
 
     def chunk_ids(self, chunk: str) -> list[int]:
         """Token ids of a piece of text without white space and special strings."""
-        chunk = unicodedata.normalize("NFC", chunk)
-        lower = chunk.lower() if chunk.isascii() else chunk.translate(self.lower)
-        return [i for word in self.pre(lower) for i in self.encode_word(word)]
+        if BEYOND_LATIN.search(chunk):
+            chunk = unicodedata.normalize("NFC", chunk).translate(self.lower)
+        else:
+            chunk = chunk.lower()
+            if chunk.isalpha():
+                return self.encode_word(chunk)
+        return [i for word in self.pre(chunk) for i in self.encode_word(word)]
 
     def chunk(self, chunk: str) -> tuple[str, int, str]:
         """Ids as text, their number, and the labels as text."""
+        if chunk[-1] in ".,;:!?" and chunk[-2:-1].isalpha() and not BEYOND_LATIN.search(chunk):
+            # a sign after a letter is always a word of its own, so the two parts are looked up apart
+            a = self.chunks.get(chunk[:-1]) or self.chunk(chunk[:-1])
+            b = self.chunks.get(chunk[-1]) or self.chunk(chunk[-1])
+            return f"{a[0]} {b[0]}", a[1] + b[1], f"{a[2]} {b[2]}"
         ids = self.chunk_ids(chunk)
         found = " ".join(map(str, ids)), len(ids), " ".join([self.names[i] for i in ids])
         if len(chunk) <= LONGEST:
@@ -209,6 +219,8 @@ class WordEncoder:
         return self.pieces_plain(text)
 
     def pieces_plain(self, text: str) -> list[tuple[str, int, str]]:
+        if not BEYOND_LATIN.search(text):
+            text = text.lower()  # up to U+02FF normalisation changes nothing, and lower-casing goes sign by sign
         split = self.not_white(text) if PYTHON_ONLY_SPACE.search(text) else text.split()
         known, chunk = self.chunks, self.chunk
         return [known.get(c) or chunk(c) for c in split]
