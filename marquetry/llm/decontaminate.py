@@ -35,7 +35,7 @@ def normalise(text: str | None) -> str:
 
 
 def windows_of(text: str | None, size: int) -> set[str]:
-    words = normalise(text).split()
+    words = WORD.findall(lower_az(text or ""))  # only ASCII signs part words, here as in documents
     if not words:
         return set()
     return {f" {' '.join(words[i : i + size])} " for i in range(max(1, len(words) - size + 1))}

@@ -134,6 +134,18 @@ def test_decontamination(spark, edge, none, block):
     assert decontaminate.find_overlap(edge, items.limit(0), prefix="b_").where("b_n_hit > 0").count() == 0
 
 
+def test_decontamination_white_space_inside_words(spark):
+    signs = "\x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+    items = [(i, f"Let n{c}= 5 and{c}so on") for i, c in enumerate(signs)]
+    items.append((90, " ".join(f"long{i}\xa0x\u3000y" for i in range(20))))
+    docs = [(i, f"before, {t} after") for i, t in items]
+    docs += [(200 + i, re.sub(f"[{signs}]", " ", t)) for i, t in items]  # plain blanks: other words
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontaminate.find_overlap(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert rows(got, "doc_id", "n_words", "n_hit", "items") == brute_overlap(docs, items)
+    assert {r.doc_id for r in got.where("n_hit > 0").collect()} == {i for i, _ in items}
+
+
 ALPHABET = "aaabbcdeehilnorstuvw   \n\n\t..,-'’éßŒΣσçİ1234567890<|>/w\x1c 　▁漢字😀é#$%&A_()[]\x00"
 
 
