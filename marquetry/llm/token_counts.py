@@ -121,10 +121,13 @@ class PrefixCounter:
     def table(self, unit: str) -> bytes:
         found = self.units.get(unit)
         if found is None:
-            # a last sign that merges with nothing before it is counted by itself
-            if len(unit) > 1 and unit[-2:] not in self.inside:
-                before = self.units.get(unit[:-1]) or self.table(unit[:-1])
-                return before + (self.units.get(unit[-1]) or self.table(unit[-1]))
+            # last signs that merge with nothing before them are counted by themselves
+            end = len(unit)
+            while end > 1 and unit[end - 2 : end] not in self.inside:
+                end -= 1
+            if end < len(unit):
+                known = self.units
+                return b"".join([known.get(u) or self.table(u) for u in (unit[:end], *unit[end:])])
             counts = self.counts(unit)
             found = array("b", map(sub, counts, [0, *counts])).tobytes()
             if len(unit) <= LONGEST:

@@ -175,6 +175,21 @@ def test_prefix_counts_equal_the_library():
             )
 
 
+def test_prefix_counts_of_long_units_without_pairs():
+    import numpy as np
+    import sentencepiece
+
+    path = str(public_tokenizers.path("piece_bpe_32k.model"))
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    counter = token_counts.PrefixCounter(token_counts.read_pieces(path))
+    for sign in ("あ", "\U0001f600", "\xa0", "あいう", "ไท", "한글"):
+        for text in (sign * 100_000, "the" + sign * 100_000 + "ing", sign * 700 + "ation" + sign * 100_000):
+            counts = np.cumsum(counter.steps(text), dtype=int)
+            assert len(counts) == len(text)
+            for p in (1, 2, 50, 702, 2_000, len(text)):
+                assert counts[p - 1] == len(library.encode(text[:p]))
+
+
 def test_token_counts_on_a_table(edge, none):
     import sentencepiece
 
