@@ -22,7 +22,7 @@ from marquetry.sources.writers import checkpoint
 
 from .common import add_columns, explode_rows
 
-PER_CLASS = 6_000  # labelled documents of each class that a model is fitted on, at most; chosen by hash
+PER_CLASS = 6_000  # labelled documents of each class that a model is fitted on, at most; chosen by hash and weighted by their class
 STEM = range(3, 11)  # lengths of word starts that may become entries
 SUPPORT = 3  # toxic documents an entry needs
 SIGNIFICANT = 20.0  # log-likelihood ratio an entry needs
@@ -156,15 +156,17 @@ def fit(
     """A model from the documents that ``labels`` marks 1 or 0; other and null labels are ignored.
 
     Without toxic rows the lexicon is empty and every score is the same. Of a document with differing labels the
-    toxic one counts.
+    toxic one counts. Of a class with more than ``per_class`` documents those chosen stand for all: each has the weight
+    of as many as it was chosen from, so the base rate is that of all labels.
     """
-    marked = (
+    marked = checkpoint(
         labels.where(F.col(f"`{label_col}`").isin(0, 1) & F.col(f"`{id_col}`").isNotNull())
         .groupBy(F.col(f"`{id_col}`").alias("_id"))
         .agg(F.max(f"`{label_col}`").cast("int").alias("_y"))
     )
     pick = lambda y: marked.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
     chosen = checkpoint(pick(1).unionByName(pick(0)))
+    stands_for = {y: n / min(n, per_class) for y, n in marked.groupBy("_y").count().collect()}
     # at most 2 x per_class ids are broadcast
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     own = texts.join(F.broadcast(chosen), "_id").select("_text", "_y")
@@ -175,7 +177,7 @@ def fit(
     own = checkpoint(add_columns(own, ["_text"], folding, "folded string", ["_text"]))
     sizes = dict(own.groupBy("_y").count().collect())
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    base = log((toxic + 1) / (clean + 1))
+    base = log((toxic * stands_for.get(1, 1) + 1) / (clean * stands_for.get(0, 1) + 1))
     if not toxic or not clean:
         return Model({}, [], [base])
 
@@ -188,7 +190,7 @@ def fit(
 
     measured = add_columns(own, ["folded"], measure, "measures array<double>", ["folded"])
     rows = sorted((r["_y"], *r["measures"]) for r in measured.collect())  # at most 2 x per_class
-    return Model(weights, exceptions, _logistic(np.array(rows, float)))
+    return Model(weights, exceptions, _logistic(np.array(rows, float), np.array([stands_for[r[0]] for r in rows])))
 
 
 def _counted(own: DataFrame, make_counts) -> DataFrame:
@@ -255,14 +257,14 @@ def _exceptions(own: DataFrame, weights: dict[str, float]) -> list[str]:
     return [r["term"] for r in rows.orderBy(F.desc("clean"), "term").limit(PHRASES).collect()]
 
 
-def _logistic(rows: np.ndarray, rounds: int = 100, decay: float = 1e-4) -> list[float]:
-    """Coefficients, constant first, by Newton steps of bounded length."""
+def _logistic(rows: np.ndarray, counts: np.ndarray, rounds: int = 100, decay: float = 1e-4) -> list[float]:
+    """Coefficients, constant first, by Newton steps of bounded length; a row counts as ``counts`` rows."""
     y, x = rows[:, 0], np.column_stack([np.ones(len(rows)), rows[:, 1:]])
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) / len(y) + decay * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x / len(y) + decay * np.eye(len(w))
+        grad = x.T @ (counts * (p - y)) / counts.sum() + decay * w
+        hess = (x * (counts * p * (1 - p))[:, None]).T @ x / counts.sum() + decay * np.eye(len(w))
         w -= np.clip(np.linalg.solve(hess, grad), -1, 1)
     return w.tolist()
 

@@ -133,6 +133,17 @@ def test_toxicity_folding_exceptions_and_edges(spark, edge, none):
     assert 0 <= nothing.score(None) == nothing.score("trash") <= 1
 
 
+def test_toxicity_bound_keeps_the_base_rate(spark):
+    rows = [(i, f"left{i} {'trash' if i % 5 else 'plain'} right{i} of a house", 1) for i in range(100)]
+    rows += [(1000 + i, f"left{i} {'plain' if i % 10 else 'trash'} right{i} of a house", 0) for i in range(1000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    one, whole = (toxicity.fit(docs, labels, per_class=n).score("some trash right of a house") for n in (100, 10_000))
+    assert abs(whole - 80 / 180) < 0.1 and abs(one - whole) < 0.15
+    nothing = [toxicity.fit(docs, labels.where("toxic = 0"), per_class=n).score("x") for n in (100, 10_000)]
+    assert nothing[0] == pytest.approx(nothing[1])
+
+
 def test_quality_accuracy(spark):
     got = QUERIES["op8_quality"](spark, SF.replace("0.01", "0.1")).toPandas()
     both = got.merge(pd.read_parquet(f"{SF.replace('0.01', '0.1')}/labels.parquet"), on="doc_id")
