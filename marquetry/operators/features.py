@@ -12,7 +12,7 @@ from marquetry import constants as K
 from marquetry.functions import parsing as P
 from marquetry.plans.quantiles import WIDE_ACCURACY, exact_quantiles, melt
 from marquetry.plans.ranking import dense_index
-from marquetry.plans.skew import with_scalars
+from marquetry.plans.skew import lookup_join, with_scalars
 from marquetry.sources.writers import checkpoint
 
 # fill policies understood by fill_policy besides constants and callables
@@ -196,13 +196,33 @@ def vocabulary(df: DataFrame, col: str) -> DataFrame:
 def multi_hot_sparse(df: DataFrame, col: str, out: str):
     """Sparse 0/1 vector over the list's whole vocabulary; returns (frame, fitted model with the terms).
 
-    The terms are counted first, so none is left out; the model holds one number per term in the driver.
+    The terms are counted first, so none is left out; the model holds every term in the driver, so this is for lists with
+    a bounded vocabulary, such as tags. ``multi_hot_places`` takes any.
     """
     terms = vocabulary(df, col).where("term is not null").count()
     model = CountVectorizer(inputCol=col, outputCol=out, binary=True, vocabSize=max(1, terms)).fit(df)
     return model.transform(df).drop(col), model
 
 
+def multi_hot_places(df: DataFrame, col: str, out: str) -> tuple[DataFrame, DataFrame]:
+    """The sorted places of a list's terms in its whole vocabulary, of any size; returns (frame, table of term and code).
+
+    The places are the ones of a sparse 0/1 vector. Null terms have none, a null list has null. Rows are numbered and
+    stored first, so ids need not exist or differ; the vocabulary stays a distributed table, which the pairs of row and
+    term meet in a join safe for hot terms.
+    """
+    rows = checkpoint(df.withColumn("_row", F.monotonically_increasing_id()))
+    pairs = rows.select("_row", F.explode(F.array_distinct(col)).alias("_term")).where("_term is not null")
+    terms = pairs.select(F.col("_term").alias("term")).distinct().withColumn("_order", F.xxhash64("term"))
+    codes = checkpoint(dense_index(checkpoint(terms), "_order", "code", tie="term").select("term", "code"))
+    met = lookup_join(pairs, codes, "_term", "term")
+    places = met.groupBy("_row").agg(F.sort_array(F.collect_list("code")).alias("_places"))
+    own = rows.withColumn("_known", F.col(f"`{col}`").isNotNull()).drop(col)
+    none = F.array().cast("array<bigint>")
+    filled = own.join(places, "_row", "left").withColumn(out, F.when(F.col("_known"), F.coalesce("_places", none)))
+    return filled.drop("_row", "_known", "_places"), codes
+
+
 def multi_hot(df: DataFrame, col: str, prefix: str, terms: Sequence[str]) -> DataFrame:
     """One 0/1 column per term, in one projection; the list column is dropped."""
     keep = [F.col(f"`{c}`") for c in df.columns if c != col]

@@ -654,10 +654,8 @@ def _(spark, sf):
 def _(spark, sf):
     """Every word of every document is a term."""
     words = table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("words"))
-    hot, _model = G.multi_hot_sparse(words, "words", "hot")
-    text = F.col("hot").cast("string")  # a sparse vector prints as (size,[places],[values])
-    places = F.regexp_extract(text, r"\[([^\]]*)\]", 1)
-    return hot.select("doc_id", F.size(F.split(places, ",")).cast("bigint").alias("active"))
+    hot, _codes = G.multi_hot_places(words, "words", "hot")
+    return hot.select("doc_id", F.array_size("hot").cast("bigint").alias("active"))
 
 
 @query("g10_drop_leakage", "select o_orderkey, o_orderdate::date as o_orderdate from orders")

@@ -40,6 +40,18 @@ def test_multi_hot_keeps_every_term(spark):
     assert [r["v"].numNonzeros() for r in hot.orderBy("id").collect()] == [2, 1, 0]
 
 
+def test_multi_hot_places_need_no_vocabulary_in_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(features, "CountVectorizer", None)
+    lists = [(1, ["a", "b", "a"]), (1, ["c", None, "x\ny", ""]), (None, []), (2, None), (3, [f"w{i}" for i in range(3_000)] + ["a"])]
+    df = spark.createDataFrame(lists, "id int, t array<string>").repartition(3)
+    hot, codes = features.multi_hot_places(df, "t", "v")
+    names = {r["code"]: r["term"] for r in codes.collect()}
+    assert sorted(names) == list(range(len(names))) and hot.columns == ["id", "v"]
+    got = [(r["id"], r["v"] if r["v"] is None else sorted(names[p] for p in r["v"])) for r in hot.collect()]
+    want = [(i, t if t is None else sorted({x for x in t if x is not None})) for i, t in lists]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_rows_with_missing_features_are_scored(spark):
     rows = [(i, float(i % 7), float(i % 3), i % 2) for i in range(60)]
     train = spark.createDataFrame(rows, "id int, x double, `~y` double, label int")
