@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, decontaminate, line_dedup, quality, simhash, substring_dedup, token_counts, topk, toxicity, url_filters
+from . import bpe_automaton, decontaminate, lexical, line_dedup, mixing, prefix_trie, quality, simhash, substring_dedup
+from . import token_counts, topk, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -261,3 +262,119 @@ def op5(spark, sf_dir):
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         F.coalesce(decontaminate.contaminated("n_hit", "n_words"), F.lit(False)).alias("contaminated"),
     )
+
+
+RANKED_SQL = r"""
+with bench as (select item_id, unnest(regexp_extract_all(translate(text,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from (select distinct item_id, text from benchmark)),
+items as (select item_id, term, count(*) as times from bench group by 1, 2),
+words as (select doc_id, unnest(regexp_extract_all(translate(text,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+tfs as (select doc_id, term, count(*) as tf from words group by 1, 2),
+lens as (select doc_id, cast(sum(tf) as bigint) as n from tfs group by 1),
+tot as (select count(*) as nn, cast(sum(n) as bigint) as l from lens),
+dfs as (select term, count(*) as df from tfs group by 1),
+ws as (select term, cast(floor(1000 * ln((2 * nn + 2)::double / (2 * df + 1)::double)) as bigint) as w from dfs, tot),
+ms as (select doc_id, 100 - 75 + (75 * n * nn) // l as m from lens, tot),
+scored as (
+  select item_id, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+  from items join tfs using (term) join ws using (term) join ms using (doc_id) group by 1, 2),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 10
+"""
+
+
+@query("op11_lexical", RANKED_SQL)
+def op11(spark, sf_dir):
+    return lexical.rank(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+TRIE_SQL = r"""
+with t as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first,
+      md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as i,
+    coalesce(role, '') as role, coalesce(text, '') as text
+  from conversations where conv_id is not null),
+convs as (
+  select conv_id, conv_id - conv_id % 100 as base, (4294967295 - list_reduce(
+    list_concat([4294967295::bigint], flatten(list_transform(string_split(conv_id::varchar, ''), lambda s:
+      [ord(s)::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint]))),
+    lambda a, b: xor(xor(a, b) >> 1, 3988292384::bigint * (xor(a, b) & 1)))) % 6 as h
+  from (select distinct conv_id from t)),
+r as (
+  select c.conv_id, 0 as part, t.i, role, text from convs c join t on t.conv_id = c.base and t.i <= c.h
+  union all select t.conv_id, 1, t.i, role, text from t join convs c on t.conv_id = c.conv_id and t.i > c.h),
+k as (select *, row_number() over (partition by conv_id order by part, i) as d from r),
+l as (select conv_id, list(md5(length(role) || ':' || role || text) order by d) as ds from k group by 1),
+m as (
+  select conv_id, d, md5(array_to_string(ds[1:d], ' ')) as node, d = len(ds) as is_end from (
+    select *, unnest(range(1, len(ds) + 1)) as d from l)
+  union all select c.conv_id, 0, '', l.ds is null from convs c left join l using (conv_id)),
+n as (
+  select node, min(conv_id) as conv_id, min(d) as depth, count(*) as n_convs,
+    string_agg(conv_id::varchar, ',' order by conv_id) filter (where is_end) as ends
+  from m group by node),
+e as (
+  select n.*, p.conv_id as parent_conv_id, p.node as parent, coalesce(length(k.text), 0) as chars
+  from n left join m on m.conv_id = n.conv_id and m.d = n.depth - 1 left join n p on p.node = m.node
+  left join k on k.conv_id = n.conv_id and k.d = n.depth),
+kids as (select parent, count(*) as n_children from e where parent is not null group by 1),
+sums as (
+  select m.node, count(*) filter (where kids.parent is null) as n_leaves, sum((e.n_convs - 1) * e.chars) as saved
+  from e join m on m.conv_id = e.conv_id and m.d <= e.depth left join kids on kids.parent = e.node group by 1)
+select e.conv_id, e.depth, e.parent_conv_id, e.n_convs, coalesce(n_children, 0) as n_children, n_leaves,
+  cast(saved as bigint) as saved_tokens, sha256(coalesce(ends, '')) as ends_sha256
+from e join sums using (node) left join kids on kids.parent = e.node
+"""
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def op12(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+MIX_SQL = r"""
+with d as (
+  select *, row_number() over (partition by doc_id, source, size) - 1 as copy from (
+    select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents)),
+s as (
+  select source, row_number() over (order by source nulls last) - 1 as rank, cast(sum(size) as bigint) as source_size
+  from d group by source),
+w as (
+  select *, [5, 2, 1][rank % 3 + 1] as weight, 2 * source_size as most, (2 * source_size)::double / [5, 2, 1][rank % 3 + 1] as ratio
+  from s),
+r as (
+  select *, (1.5::double * sum(source_size) over () - coalesce(sum(most) over before, 0)::double)
+    / (sum(weight) over () - coalesce(sum(weight) over before, 0))::double as level
+  from w window before as (order by ratio, rank rows between unbounded preceding and 1 preceding)),
+t as (
+  select *, least(most::double, coalesce((select arg_min(level, (ratio, rank)) from r where ratio > level) * weight, most::double)) as target
+  from r),
+goal as (
+  select source, source_size, rank, target, cast(floor(target + 0.5) as bigint) as want,
+    case when source_size = 0 then 0 else cast(floor(target + 0.5) as bigint) // source_size end as full from t),
+b as (
+  select doc_id, copy, size, rank, pass, f, rest, block, least(512, size - 512 * block) as words,
+    ('0x' || substr(md5(concat_ws('-', '17', pass, coalesce(doc_id::varchar, ''), copy, block)), 1, 15))::bigint as key
+  from (
+    select *, unnest(range((size + 511) // 512)) as block from (
+      select d.*, g.rank, g.full as f, g.want - g.full * g.source_size as rest,
+        unnest(range(g.full + case when g.want > g.full * g.source_size then 1 else 0 end)) as pass
+      from d join goal g on g.source is not distinct from d.source))),
+c as (
+  select *, coalesce(sum(words) over (partition by rank, pass order by key, doc_id, size, copy, block
+    rows between unbounded preceding and 1 preceding), 0) as sofar from b),
+took as (
+  select doc_id, copy, size, rank, sum(case when pass < f then words else greatest(least(words, rest - sofar), 0) end) as taken
+  from c group by 1, 2, 3, 4)
+select d.doc_id, d.size, g.source_size, g.target, cast(coalesce(took.taken, 0) as bigint) as taken
+from d join goal g on g.source is not distinct from d.source
+left join took on took.doc_id is not distinct from d.doc_id and took.copy = d.copy and took.size = d.size and took.rank = g.rank
+"""
+
+
+@query("op13_mixing", MIX_SQL)
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = mixing.words_taken(*mixing.mix(docs))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
