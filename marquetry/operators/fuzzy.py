@@ -1,46 +1,140 @@
-"""Closest entries of a vocabulary for misspelt names."""
+"""Closest entries of a vocabulary for misspelt names, found through shared rare character grams.
+
+An edit changes at most ``q`` grams of length ``q``. So an entry within ``d`` edits of a text shares a gram with it even if
+only the ``q * d + 1`` rarest grams of both are compared. Texts are looked up in rounds of growing distance: a round finds
+*every* entry whose distance is at most a given share of the longer length, so a text with ``k`` of them is settled
+for good. What no round settles is far from the whole vocabulary and is scored against all of it, block by block.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquetry.sources.writers import checkpoint
+
 BLOCK = 1_000  # entries that a text is scored against at once
 SALTS = 16  # copies of each block, so that the texts of a block spread over tasks
+# gram length and greatest distance in percent of the longer length; a shared gram is sure while q * percent < 100
+ROUNDS = ((3, 12), (3, 20), (3, 30), (2, 45))
 
 
-def vocabulary_blocks(df: DataFrame, vocab: DataFrame | Sequence[str], block: int = BLOCK) -> tuple[DataFrame, int]:
-    """The distinct entries as arrays of about ``block`` each (columns ``block``, ``words``), and the number of blocks."""
-    if isinstance(vocab, DataFrame):
-        words = vocab.select(F.col(f"`{vocab.columns[0]}`").cast("string").alias("word"))
-    else:
-        words = df.sparkSession.createDataFrame([(w,) for w in vocab], "word string")
-    words = words.where("word is not null").distinct()
+def _strings(df: DataFrame, col: str, number: str, name: str) -> DataFrame:
+    """The distinct strings of a column, numbered and stored (the numbers hold for the stored rows only)."""
+    rows = df.select(F.col(f"`{col}`").cast("string").alias(name)).where(F.col(name).isNotNull()).distinct()
+    return checkpoint(rows.withColumn(number, F.monotonically_increasing_id()))
+
+
+def _grams(rows: DataFrame, number: str, name: str, q: int, percent: int) -> DataFrame:
+    """``number``, ``gram``, ``nth`` (repeats of a gram are grams of their own), ``length``, and ``need``: how many of its rarest
+    grams a string must show so that every string within ``percent`` is met."""
+    padded = F.concat(F.lit("\x01" * (q - 1)), F.col(name), F.lit("\x02" * (q - 1)))
+    length = F.length(name)
+    cut = F.transform(F.sequence(F.lit(1), F.length("_padded") - (q - 1)), lambda i: F.substring(F.col("_padded"), i, F.lit(q)))
+    # the longer of two strings within d edits has at most length * 100 / (100 - percent) signs
+    need = F.floor(F.floor(length * 100 / (100 - percent)) * percent / 100) * q + 1
+    rows = rows.select(number, length.alias("length"), need.alias("need"), padded.alias("_padded"))
+    counted = rows.select(number, "length", "need", F.explode(cut).alias("gram")).groupBy(number, "length", "need", "gram").count()
+    return counted.select(number, "length", "need", "gram", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("nth"))
+
+
+def _rarest(grams: DataFrame, frequency: DataFrame, number: str) -> DataFrame:
+    """Grams that the vocabulary does not have come first and meet nothing."""
+    known = grams.join(frequency, ["gram", "nth"], "left").fillna(0, ["f"])
+    order = Window.partitionBy(number).orderBy("f", "gram", "nth")
+    return known.withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("need")).drop("at", "need")
+
+
+def candidate_pairs(texts: DataFrame, words: DataFrame, q: int, percent: int) -> DataFrame:
+    """``text_no``, ``word_no`` of every pair (``text_no``, ``text``; ``word_no``, ``word``) that may lie within ``percent``.
+
+    Pairs within it are never missed; ``q * percent`` must stay below 100.
+    """
+    if q * percent >= 100:
+        raise ValueError("q * percent must be below 100")
+    grams = _grams(words, "word_no", "word", q, percent)
+    frequency = grams.groupBy("gram", "nth").agg(F.count(F.lit(1)).alias("f"))
+    shown = _rarest(grams, frequency, "word_no").drop("f").withColumnRenamed("length", "word_length")
+    asked = _rarest(_grams(texts, "text_no", "text", q, percent), frequency, "text_no").where("f > 0").drop("f")
+    far = F.abs(F.col("length") - F.col("word_length")) * 100 <= F.greatest("length", "word_length") * percent
+    return asked.join(shown, ["gram", "nth"]).where(far).select("text_no", "word_no").distinct()
+
+
+def _measured(distance: Column) -> Column:
+    """Distance over the longer length, the order in which matches are ranked."""
+    return distance / F.greatest(F.length("text"), F.length("word"), F.lit(1)) - 1.0
+
+
+def _best(pairs: DataFrame, k: int) -> DataFrame:
+    by = Window.partitionBy("text_no").orderBy("minus", "word")
+    return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
+def near_within(texts: DataFrame, words: DataFrame, q: int, percent: int) -> DataFrame:
+    """All pairs within ``percent``: ``text_no``, ``text``, ``word``, ``minus`` (the score, less is better)."""
+    pairs = candidate_pairs(texts, words, q, percent).join(texts, "text_no").join(words, "word_no")
+    limit = F.floor(F.greatest(F.length("text"), F.length("word")) * percent / 100).cast("int")
+    # with a limit, -1 stands for more
+    d = F.expr("levenshtein(text, word, _limit)")
+    met = pairs.withColumn("_limit", limit).withColumn("_d", d).where("_d >= 0")
+    return met.select("text_no", "text", "word", _measured(F.col("_d")).alias("minus"))
+
+
+def vocabulary_blocks(words: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int]:
+    """The entries as arrays of about ``block`` each (columns ``block``, ``words``), and the number of blocks."""
     blocks = max(1, -(-words.count() // block))
     dealt = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int").alias("block"))
     return dealt.agg(F.collect_list("word").alias("words")), blocks
 
 
-def fuzzy_lookup(df: DataFrame, col: str, vocab: DataFrame | Sequence[str], k: int = 1, block: int = BLOCK) -> DataFrame:
-    """The ``k`` entries with the highest ``1 - levenshtein / longer length``, ties alphabetical.
-
-    One row per distinct text and rank (``text``, ``rank``, ``match``, ``score``). The vocabulary may have any size: it is
-    cut into blocks, each distinct text meets each block in an equi-join on the block, keeps the ``k`` best of
-    it inside the row, and the best of all blocks are chosen from those.
-    """
-    words, blocks = vocabulary_blocks(df, vocab, block)
+def scan(texts: DataFrame, words: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """``texts`` against all of ``words``: each text meets each block in an equi-join and keeps the ``k`` best of it in the row."""
+    held, blocks = vocabulary_blocks(words, block)
     salt = F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")
-    texts = df.select(F.col(f"`{col}`").alias("text")).where("text is not null").distinct()
-    texts = texts.select("text", salt.alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    words = words.select("block", "words", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    texts = texts.select("text_no", "text", salt.alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    held = held.select("block", "words", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     longest = lambda w: F.greatest(F.length("text"), F.length(w), F.lit(1))
     scored = F.transform(
         "words",
-        lambda w: F.struct((F.levenshtein(F.col("text"), w) / longest(w) - 1.0).alias("minus"), w.alias("match")),
+        lambda w: F.struct((F.levenshtein(F.col("text"), w) / longest(w) - 1.0).alias("minus"), w.alias("word")),
     )
-    near = texts.join(words, ["block", "salt"]).select("text", F.explode(F.slice(F.array_sort(scored), 1, k)).alias("_m"))
-    by = Window.partitionBy("text").orderBy("_m.minus", "_m.match")
-    ranked = near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-    return ranked.select("text", "rank", "_m.match", (-F.col("_m.minus")).alias("score"))
+    near = texts.join(held, ["block", "salt"]).select("text_no", "text", F.explode(F.slice(F.array_sort(scored), 1, k)).alias("_m"))
+    return near.select("text_no", "text", "_m.word", "_m.minus")
+
+
+def fuzzy_lookup(
+    df: DataFrame,
+    col: str,
+    vocab: DataFrame | Sequence[str],
+    k: int = 1,
+    block: int = BLOCK,
+    rounds: Sequence[tuple[int, int]] = ROUNDS,
+) -> DataFrame:
+    """The ``k`` entries with the highest ``1 - levenshtein / longer length``, ties alphabetical.
+
+    One row per distinct text and rank (``text``, ``rank``, ``match``, ``score``). Vocabulary and texts may have any size. Null
+    texts and entries take no part, repeated ones count once; with fewer than ``k`` entries all are returned.
+    Without ``rounds`` every text is scored against the whole vocabulary.
+    """
+    if isinstance(vocab, DataFrame):
+        words = _strings(vocab, vocab.columns[0], "word_no", "word")
+    else:
+        words = _strings(df.sparkSession.createDataFrame([(w,) for w in vocab], "word string"), "word", "word_no", "word")
+    open_ = _strings(df, col, "text_no", "text")
+    found = []
+    for q, percent in rounds:
+        # a layer per round: what it settled is not asked again
+        best = checkpoint(_best(near_within(open_, words, q, percent), k))
+        settled = best.where(F.col("rank") == k).select("text_no")
+        found.append(best.join(settled, "text_no", "left_semi"))
+        open_ = checkpoint(open_.join(settled, "text_no", "left_anti"))
+        if not open_.head(1):
+            break
+    else:
+        found.append(_best(scan(open_, words, k, block), k))
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out.select("text", "rank", F.col("word").alias("match"), (-F.col("minus")).alias("score"))

@@ -73,17 +73,17 @@ def read_csv_export(spark, sf):
     return readers.read_csv(spark, f"{exports(spark, sf)}/set2.csv", schema)
 
 
-def read_list_export(spark, sf):
+def read_list_export(spark, sf, split=False):
     schema = (
         "appid long, name string, release_date string, developer string, publisher string, categories string, genres string, "
         "positive_ratings long, negative_ratings long, average_playtime double, median_playtime double, owners string, price double"
     )
-    return readers.read_json_list(spark, f"{exports(spark, sf)}/set5.json", schema)
+    return readers.read_json_list(spark, f"{exports(spark, sf)}/set5.json", schema, split)
 
 
-def read_dict_export(spark, sf):
+def read_dict_export(spark, sf, split=False):
     schema = T.StructType.fromDDL("early_access string, title string, tag_list string, vr_only string, vr_supported string")
-    return readers.read_json_dict(spark, f"{exports(spark, sf)}/set8.json", schema, key_col="game_id")
+    return readers.read_json_dict(spark, f"{exports(spark, sf)}/set8.json", schema, key_col="game_id", split=split)
 
 
 @query("a01_csv_export", over_items("""select cast(item_id as varchar) as app_id, 'The "' || item_id || '", a title' as title, strftime(release_date, '%Y-%m-%d') as date_release, price from items"""))
@@ -101,6 +101,16 @@ def _(spark, sf):
     return read_dict_export(spark, sf).select("game_id", "tag_list", "vr_only")
 
 
+@query("a02_json_list_split", over_items("select item_id as appid, array_to_string(tags, ';') as genres, pos as positive_ratings, price from items where item_id % 5 <> 0"))
+def _(spark, sf):
+    return read_list_export(spark, sf, split=True).select("appid", "genres", "positive_ratings", "price")
+
+
+@query("a03_json_dict_split", over_items("select cast(item_id as varchar) as game_id, array_to_string(tags, ',') as tag_list, 'True' as vr_only from items where item_id % 4 <> 0"))
+def _(spark, sf):
+    return read_dict_export(spark, sf, split=True).select("game_id", "tag_list", "vr_only")
+
+
 def merged(spark, sf) -> DataFrame:
     sources = {"set2": read_csv_export(spark, sf), "set5": read_list_export(spark, sf), "set8": read_dict_export(spark, sf)}
     return catalog.merge_catalog(sources)

@@ -383,6 +383,19 @@ def _(spark, sf):
     return fuzzy.fuzzy_lookup(parts, "p_name", words, k=2).select("text", "rank", "match", r6("score"))
 
 
+@query(
+    "d11_fuzzy_misspelt",
+    """with v as (select distinct c_name as match from customer),
+t as (select distinct substr(c_name, 1, 4) || '0' || substr(c_name, 6, 3) || substr(c_name, 10) as text from customer),
+s as (select text, match, 1 - levenshtein(text, match) / cast(greatest(len(text), len(match), 1) as double) as score from t, v)
+select text, cast(k as integer) as rank, match, round(score, 6) as score from (select *, row_number() over (partition by text order by score desc, match) as k from s) where k <= 3""",
+)
+def _(spark, sf):
+    names = table(spark, sf, "customer").select("c_name")
+    text = F.concat(F.substring("c_name", 1, 4), F.lit("0"), F.substring("c_name", 6, 3), F.substring("c_name", 10, 100))
+    return fuzzy.fuzzy_lookup(names.select(text.alias("text")), "text", names, k=3).select("text", "rank", "match", r6("score"))
+
+
 # -- duplicates ---------------------------------------------------------------------
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -149,3 +151,34 @@ def test_fuzzy_lookup(spark):
     for block in (1, 2):  # any number of blocks gives the same
         again = fuzzy.fuzzy_lookup(df, "t", ["price", "tags_count", "tag", None, "tag"], k=2, block=block).collect()
         assert {(r["text"], r["rank"]): r["match"] for r in again} == out
+
+
+def test_fuzzy_rounds_equal_the_scan_of_all_pairs(spark):
+    rng = random.Random(11)
+    parts = "ba be co da el fi gro han ist ka lu mo ne or pra qu ris sto tul um é".split()
+    words = sorted({"".join(rng.choice(parts) for _ in range(rng.randrange(1, 6))) for _ in range(2_000)}) + ["", "a", "aaaaaaaaaaaa", "aaaaaa"]
+    texts = ["", "zzzz", "aaaaaaaa", "x" * 300, None]
+    for word in rng.sample(words, 150):
+        for _ in range(rng.randrange(3)):
+            i = rng.randrange(len(word) + 1)
+            word = word[:i] + rng.choice(["", "x", "a"]) + word[i + rng.randrange(2) :]
+        texts.append(word)
+    df = spark.createDataFrame([(t,) for t in texts], "t string").unionAll(spark.createDataFrame([(t,) for t in texts[:40]], "t string"))
+    vocab = spark.createDataFrame([(w, 1) for w in words], "word string, text int")
+    for k in (1, 4):
+        got = sorted(tuple(r) for r in fuzzy.fuzzy_lookup(df, "t", vocab, k).collect())
+        assert got == sorted(tuple(r) for r in fuzzy.fuzzy_lookup(df, "t", vocab, k, rounds=()).collect())
+        assert len(got) == k * len({t for t in texts if t is not None})
+
+
+def test_few_pairs_are_measured(spark):
+    """Misspelt by one letter: the first round finds them and measures under one in a hundred of all pairs."""
+    rng = random.Random(2)
+    parts = [a + b for a in "bcdfghklmnprst" for b in "aeiou"]
+    words = sorted({"".join(rng.choice(parts) for _ in range(5)) for _ in range(4_000)})
+    texts = [w[:3] + w[4:] for w in rng.sample(words, 300)]
+    words = fuzzy._strings(spark.createDataFrame([(w,) for w in words], "w string"), "w", "word_no", "word")
+    texts = fuzzy._strings(spark.createDataFrame([(t,) for t in texts], "t string"), "t", "text_no", "text")
+    assert fuzzy.candidate_pairs(texts, words, *fuzzy.ROUNDS[0]).count() < 0.01 * texts.count() * words.count()
+    with pytest.raises(ValueError):
+        fuzzy.candidate_pairs(texts, words, 3, 40)

@@ -25,6 +25,49 @@ def test_json_list_and_dict(spark, tmp_path):
     assert {r["appid"]: (r["name"], r["keys"]) for r in out.collect()} == {"10": ("x", ["a"]), "20": ("y", [])}
 
 
+TRICKY = ['}', '{', '"', '\\', '\\"}', '],{"sid": 9}', 'é}\n{', '\\\\', '', '}}]', 'plain text', '\U0001f600"}']
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_one_json_document_is_read_by_many_tasks(spark, tmp_path, indent):
+    """Quotes, escapes and braces in strings, nested objects; splits of 3,000 bytes cut records anywhere."""
+    rows = [
+        {"sid": i, "name": TRICKY[i % len(TRICKY)] * (1 + i % 5), "tags": [TRICKY[(i + j) % len(TRICKY)] for j in range(i % 4)], "more": {"a": {"b}": i}}}
+        for i in range(700)
+    ]
+    (tmp_path / "l.json").write_text(json.dumps(rows, indent=indent, ensure_ascii=False))
+    members = {f'{r["sid"]}"}}': r for r in rows} | {"none": None} | {"last": None}
+    (tmp_path / "d.json").write_text(json.dumps(members, indent=indent) + "\n")
+    ddl = "sid long, name string, tags array<string>, more struct<a: map<string,long>>"
+    schema, before = T.StructType.fromDDL(ddl), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        assert spark.read.text(str(tmp_path / "l.json"), lineSep="}").rdd.getNumPartitions() >= 8
+        some = readers.read_json_list(spark, str(tmp_path / "l.json"), ddl, split=True)
+        pairs = readers.read_json_dict(spark, str(tmp_path / "d.json"), schema, split=True)
+        got, got_pairs = (sorted(map(str, x.collect())) for x in (some, pairs))
+        inferred = readers.read_json_list(spark, str(tmp_path / "l.json"), split=True)
+        assert inferred.count() == 700 and {"sid", "name", "tags", "more"} == set(inferred.columns)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted(map(str, readers.read_json_list(spark, str(tmp_path / "l.json"), ddl).collect()))
+    assert got_pairs == sorted(map(str, readers.read_json_dict(spark, str(tmp_path / "d.json"), schema).collect()))
+    assert len(got_pairs) == 702
+
+
+def test_small_documents_and_broken_ones(spark, tmp_path):
+    for k, text in enumerate(["[]", " [ ]\n", '[{"sid": 1}]', '\n[{"sid": 2},\n{}]\n']):
+        (tmp_path / f"{k}.json").write_text(text)
+    got = readers.read_json_list(spark, str(tmp_path), "sid long", split=True)
+    assert sorted((r["sid"] for r in got.collect()), key=str) == [1, 2, None]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "x.json").write_text("{}")
+    assert readers.read_json_dict(spark, str(tmp_path / "d"), T.StructType.fromDDL("a int"), split=True).collect() == []
+    (tmp_path / "bad.json").write_text('[{"sid": 1}, {"sid": ')
+    with pytest.raises(Exception, match="cut short"):
+        readers.read_json_list(spark, str(tmp_path / "bad.json"), "sid long", split=True).collect()
+
+
 def test_layers_and_null_check(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, "b")], "appid long, name string")
     writers.write(df, str(tmp_path / "preprocessed"))
