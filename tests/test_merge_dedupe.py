@@ -182,3 +182,18 @@ def test_few_pairs_are_measured(spark):
     assert fuzzy.candidate_pairs(texts, words, *fuzzy.ROUNDS[0]).count() < 0.01 * texts.count() * words.count()
     with pytest.raises(ValueError):
         fuzzy.candidate_pairs(texts, words, 3, 40)
+
+
+@pytest.mark.parametrize("limit", [2_000, None])
+def test_band_join_with_windows_of_all_widths(spark, limit):
+    """One window over the whole axis and 1,000 narrow ones: pairs tested stay within three times the result."""
+    rng = random.Random(7)
+    xs = [rng.uniform(-1e4, 1e4) for _ in range(3_000)] + [0.0, 5e-324, 1e300, 1e308, -1e308, 4.0, 4.0, float("nan")]
+    grid = [(rng.uniform(-1e4, 1e4), rng.choice([1.0, 3.0, 20.0, 55.0])) for _ in range(1_000)]
+    grid += [(0.0, 2e4), (0.0, 0.0), (4.0, 0.0), (1e300, 1e290), (1e308, 1e307), (7.0, -1.0), (None, 1.0), (1.0, None)]
+    rows = spark.createDataFrame([(x, i) for i, x in enumerate(xs)], "x double, c long")
+    g = spark.createDataFrame([(c, w, k) for k, (c, w) in enumerate(grid)], "c double, w double, k int")
+    want = sorted((i, k) for i, x in enumerate(xs) for k, (c, w) in enumerate(grid) if None not in (c, w) and c - w <= x <= c + w)
+    got = merge.band_join(rows.withColumnRenamed("c", "i"), g, "x", "c", "w", max_grid=limit)
+    assert sorted((r["i"], r["k"]) for r in got.collect()) == want
+    assert merge.band_candidates(rows, g, "x", "c", "w", limit).count() < 3 * len(want)
