@@ -21,6 +21,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HEAVY_GROUPS = 10_000
 SALTS = 4_096
@@ -73,12 +74,12 @@ def attach_group_stats(
         met = rows.alias("l").join(few, null_safe(keys, "l", "r"))
         return met.select("l.*", *[F.col(f"r.`{c}`") for c in added])
     # one pass: rows of heavy groups are settled by broadcast; they go through the shuffled join under a salt, where nothing
-    # waits for them, so that no task receives a heavy group and the rows are read once
+    # waits for them, so that no task receives a heavy group and the rows are read once; adaptive execution splits what a
+    # row repeated very often brings into one salt
     top = stats.orderBy(F.desc(weight), *keys).limit(heavy).withColumn("_heavy", F.lit(True))
     first = rows.alias("l").join(F.broadcast(top).alias("r"), null_safe(keys, "l", "r"), "left")
     first = first.select("l.*", "r._heavy", *[F.col(f"r.`{c}`").alias(f"_h_{c}") for c in added])
-    salt = F.when(F.col("_heavy"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)) + 1).otherwise(F.lit(0))
-    first = first.withColumn("_salt", salt.cast("bigint"))
+    first = first.withColumn("_salt", F.when(F.col("_heavy"), salt_of(rows, SALTS) + 1).otherwise(F.lit(0)).cast("bigint"))
     light = stats.withColumn("_salt", F.lit(0).cast("bigint")).withColumn("_light", F.lit(True))
     met = null_safe([*keys, "_salt"], "l", "r")
     joined = first.alias("l").join(light.alias("r"), met, "left").where("l._heavy or r._light")
@@ -106,6 +107,20 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str, table_key: str, hea
     return by_broadcast.unionByName(by_shuffle).unionByName(unkeyed, allowMissingColumns=True)
 
 
+def salt_of(df: DataFrame, salts: int | Column) -> Column:
+    """A number below ``salts`` from the content of a row of ``df``.
+
+    It does not depend on the order in which rows arrive, so a task that runs again after an executor was lost deals its rows as
+    before. Rows that are alike get the same number.
+    """
+
+    def hashable(field: T.StructField) -> Column:
+        col = F.col(f"`{field.name}`")
+        return F.to_json(F.struct(col)) if "map<" in field.dataType.simpleString() else col
+
+    return F.pmod(F.xxhash64(*[hashable(f) for f in df.schema.fields]), salts if isinstance(salts, Column) else F.lit(salts))
+
+
 def hash_fraction(seed: int, *cols: Column) -> Column:
     """Uniform [0, 1) value that depends only on the given columns and the seed."""
     return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))

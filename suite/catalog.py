@@ -285,6 +285,21 @@ def _(spark, sf):
     return _shown(merge.merge_sources(_master(spark, sf), _incoming(spark, sf), "item_id", {"tags": merge.union_lists}))
 
 
+@query(
+    "d01_merge_repeated_keys",
+    """with m as (select case when c_nationkey < 8 then 0 else c_nationkey end as k, c_custkey as id, c_acctbal as balance from customer),
+s as (select case when s_nationkey < 8 then 0 else s_nationkey + 2 end as k, s_suppkey as sid, s_acctbal as balance from supplier)
+select coalesce(m.k, s.k) as k, id, case when m.balance is null or m.balance = 0 then s.balance else m.balance end as balance, sid
+from m full join s on m.k = s.k""",
+)
+def _(spark, sf):
+    """A third of the rows of both sides share one key."""
+    hot = lambda k, other: F.when(F.col(k) < 8, 0).otherwise(other).alias("k")
+    m = table(spark, sf, "customer").select(hot("c_nationkey", F.col("c_nationkey")), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
+    s = table(spark, sf, "supplier").select(hot("s_nationkey", F.col("s_nationkey") + 2), F.col("s_suppkey").alias("sid"), F.col("s_acctbal").alias("balance"))
+    return merge.merge_sources(m, s, "k", block=64)
+
+
 @query("d02_is_empty", over_items("select item_id, price is null or price = 0 as no_price, len(tags) = 0 as no_tags, pos is null or pos = 0 as no_pos, not (model = 'F') as not_flagged from items"))
 def _(spark, sf):
     rows = items(spark, sf).withColumn("flag", F.col("model") == "F")
@@ -360,6 +375,18 @@ def _(spark, sf):
     return hits.groupBy("center").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 2).alias("total"))
 
 
+@query("d08_band_join_mixed_widths", over_items(
+    "select center, count(*) as n, round(sum(price), 2) as total from items, g where price between center - half and center + half group by 1",
+    g="select cast(range * 5 as double) as center, case when range % 10 = 0 then 1000.0 else 0.25 + range % 3 end as half from range(100)",
+))
+def _(spark, sf):
+    """Ten windows over the whole axis among ninety narrow ones."""
+    half = F.when(F.col("id") % 10 == 0, 1000.0).otherwise(F.col("id") % 3 + 0.25)
+    grid = spark.range(100).select((F.col("id") * 5).cast("double").alias("center"), half.alias("half"))
+    hits = merge.band_join(items(spark, sf).select("item_id", "price"), grid, "price", "center", "half", max_grid=100)
+    return hits.groupBy("center").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 2).alias("total"))
+
+
 @query("d09_union_rows", "select c_custkey as id, c_acctbal as balance from customer union all select s_suppkey, s_acctbal from supplier")
 def _(spark, sf):
     a = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))

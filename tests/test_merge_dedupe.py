@@ -197,3 +197,24 @@ def test_band_join_with_windows_of_all_widths(spark, limit):
     got = merge.band_join(rows.withColumnRenamed("c", "i"), g, "x", "c", "w", max_grid=limit)
     assert sorted((r["i"], r["k"]) for r in got.collect()) == want
     assert merge.band_candidates(rows, g, "x", "c", "w", limit).count() < 3 * len(want)
+
+
+@pytest.mark.parametrize("block", [10, 4096])
+def test_repeated_keys_pair_in_blocks(spark, block):
+    """A key in a third of both sides, one that only a side has, null keys, rows alike."""
+    left = [(7 if i % 3 == 0 else None if i % 50 == 1 else i % 40, f"a{i % 200}") for i in range(600)] + [(-1, "x")] * 30 + [(-2, f"{i}") for i in range(90)]
+    right = [(7 if i % 3 == 0 else None if i % 50 == 1 else i % 60, f"b{i}") for i in range(300)] + [(-3, "y")] * 25
+    master, incoming = (spark.createDataFrame(r, f"k int, {c} string").repartition(4) for r, c in ((left, "a"), (right, "b")))
+    got = sorted(map(str, merge.merge_sources(master, incoming, "k", block=block).collect()))
+    want = [(k, a, b) for k, a in left if k is not None for j, b in right if j == k]
+    keys = {k for k, _ in left} & {k for k, _ in right} - {None}
+    want += [(k, a, None) for k, a in left if k not in keys] + [(k, None, b) for k, b in right if k not in keys]
+    assert got == sorted(f"Row(k={k!r}, a={a!r}, b={b!r})" for k, a, b in want)
+
+
+def test_no_block_of_a_hot_key_is_large(spark):
+    left = spark.range(20_000).select(F.when(F.col("id") % 10 < 3, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("a"))
+    right = spark.range(2_000).select(F.when(F.col("id") % 10 < 3, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("b"))
+    blocks = merge.paired(left, right, "k", block=200).where("m.k = 0").groupBy("m._at__m", "m._at__s").count().collect()
+    sizes = [r["count"] for r in blocks]
+    assert sum(sizes) == 6_000 * 600 and len(sizes) == 30 * 3 and max(sizes) < 2 * sum(sizes) / len(sizes)

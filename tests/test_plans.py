@@ -89,3 +89,14 @@ def test_group_stats_meet_hot_and_rare_and_null_keys(spark):
         assert {(r["k"], r["n"]) for r in got} >= {("hot", 200), (None, 40), ("k2", 1)}
     some = attach_group_stats(df, sizes.where("k = 'hot' or k = 'k2'"), ["k"], "n", heavy=1).collect()
     assert sorted({(r["k"], r["n"]) for r in some}) == [("hot", 200), ("k2", 1)] and len(some) == 201
+
+
+def test_salts_depend_on_rows_not_on_their_order(spark):
+    """A map task that runs again over rows in another order deals them as before."""
+    from marquetry.plans.skew import salt_of
+
+    df = spark.range(500).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"), F.create_map(F.lit("a"), "id").alias("m"))
+    once, again = (
+        {r["v"]: r["s"] for r in x.select("v", salt_of(df, 64).alias("s")).collect()} for x in (df, df.repartition(7).orderBy(F.desc("v")))
+    )
+    assert once == again and len(set(once.values())) > 50
