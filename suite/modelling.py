@@ -12,6 +12,7 @@ from marquetry.operators import evaluate as L
 from marquetry.operators import features as G
 from marquetry.operators import models as ML
 from marquetry.operators import stats as J
+from marquetry.operators import stumps
 from suite.items import items, joined, over_items, query, r6, stored
 
 # -- splits and samples -------------------------------------------------------------
@@ -348,6 +349,13 @@ def _(spark, sf):
     return ML.tune(est, {"maxDepth": ("int", 2, 6)}, _matrix(spark, sf), _X, ML.r2_evaluator("owners"), "item_id", n_trials=3, folds=3)
 
 
+@query("l15_halving_search")
+def _(spark, sf):
+    est = DecisionTreeRegressor(labelCol="owners", featuresCol="features", seed=1)
+    space = {"maxDepth": ("int", 1, 6), "minInstancesPerNode": ("int", 1, 20)}
+    return ML.halving(est, space, _matrix(spark, sf), _X, "owners", "item_id", n_trials=9)
+
+
 @query("l16_feature_screen", over_items(
     " union all ".join(f"select '{c}' as feature, round(regr_r2(owners, {c}), 6) as r2 from m" for c in ("price", "pos", "neg")),
     m="select owners, price, pos, neg from items where price is not null and owners is not null and ratio is not null",
@@ -358,7 +366,7 @@ def _(spark, sf):
 
 @query("l16_feature_power")
 def _(spark, sf):
-    return ML.feature_power(_matrix(spark, sf), "owners", ["price", "pos"], "item_id", max_iter=3, folds=3)
+    return stumps.feature_power(_matrix(spark, sf), "owners", ["price", "pos", "neg", "year"], "item_id", folds=3)
 
 
 @query("l17_recursive_elimination")
