@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -133,15 +135,47 @@ def load_models(names: Sequence[str], root: str) -> dict[str, PipelineModel]:
     return {n: PipelineModel.load(f"{root}/{n}") for n in names}
 
 
+def _described(est: Estimator) -> str:
+    """Class and parameters, those of inner estimators included, without the ids of instances."""
+    values = {p.name: v for p, v in est.extractParamMap().items()}
+    shown = {n: _described(v) if isinstance(v, Estimator) else repr(v) for n, v in values.items()}
+    return f"{type(est).__name__}({', '.join(f'{n}={shown[n]}' for n in sorted(shown))})"
+
+
+def rows_digest(df: DataFrame, cols: Sequence[str]) -> str:
+    """A digest of the rows' values and how often they occur, whatever their order: one aggregate of hashes."""
+    names = sorted(cols)
+    hashed = [F.xxhash64(F.lit(i), *[F.col(f"`{c}`") for c in names], *[F.col(f"`{c}`").isNull() for c in names]) for i in (1, 2)]
+    row = df.agg(F.count(F.lit(1)), *[F.sum(h.cast("decimal(38,0)")) for h in hashed]).first()
+    kinds = [(c, df.schema[c].dataType.simpleString()) for c in names]
+    return hashlib.sha256(repr((kinds, tuple(map(str, row)))).encode()).hexdigest()
+
+
+def model_key(df: DataFrame, features: Sequence[str], est: Estimator, digest: str | None = None) -> str:
+    """Names a fitted model by what it follows from: training rows, features in order, estimator and parameters."""
+    label = est.getOrDefault("labelCol") if est.hasParam("labelCol") else None
+    digest = digest or rows_digest(df, [*features, *([label] if label in df.columns else [])])
+    return hashlib.sha256(repr((digest, list(features), _described(est))).encode()).hexdigest()[:32]
+
+
 def train_or_load(df: DataFrame, features: Sequence[str], specs: Mapping[str, Estimator], root: str) -> dict[str, PipelineModel]:
-    """Reuse stored models and train only the missing ones."""
-    models = {}
+    """Fitted models, stored below ``root/name/<key>``; those whose rows, features and parameters are known are loaded.
+
+    A model is written beside its place and moved there when it is complete, so a run that broke off leaves none. Models
+    of other data or parameters stay until they are deleted.
+    """
+    spark, models, digests = df.sparkSession, {}, {}
     for name, est in specs.items():
-        if path_exists(df.sparkSession, f"{root}/{name}"):  # an error on load rises; nothing stored is overwritten
-            models[name] = PipelineModel.load(f"{root}/{name}")
-        else:
-            models.update(train_models(df, features, {name: est}))
-            save_models({name: models[name]}, root)
+        label = est.getOrDefault("labelCol") if est.hasParam("labelCol") else None
+        if label not in digests:
+            digests[label] = rows_digest(df, [*features, *([label] if label in df.columns else [])])
+        path = f"{root}/{name}/{model_key(df, features, est, digests[label])}"
+        if not path_exists(spark, path):  # an error on load rises; nothing stored is overwritten
+            aside = f"{path}-{uuid.uuid4().hex}"
+            train_models(df, features, {name: est})[name].write().save(aside)
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).rename(spark._jvm.org.apache.hadoop.fs.Path(aside), at)
+        models[name] = PipelineModel.load(path)
     return models
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 from marquetry.operators import catalog
 from marquetry.operators import derive as D
 from marquetry.operators import features as G
-from marquetry.sources import readers, writers
+from marquetry.sources import readers, resume, writers
 from suite.catalog import AS_OF, raw_catalog
 from suite.items import items, over_items, query, stored
 
@@ -134,6 +136,40 @@ def preprocessed(spark, sf) -> DataFrame:
     return stored(spark, sf, "preprocessed", lambda: D.preprocess(raw_catalog(spark, sf), AS_OF)[0])
 
 
+def _priced(spark, inputs):
+    return inputs["orders"].select("o_orderkey", "o_custkey", (F.col("o_totalprice") / 1000).alias("price")).where("price >= 50")
+
+
+def _spent(spark, inputs):
+    return inputs["priced"].groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 3).alias("spent"))
+
+
+@query(
+    "a07_resumed_build",
+    """select o_custkey, n, spent, c_mktsegment from (
+  select o_custkey, count(*) as n, round(sum(o_totalprice / 1000), 3) as spent from orders where o_totalprice / 1000 >= 50 group by 1)
+join customer on c_custkey = o_custkey""",
+)
+def _(spark, sf):
+    """Four layers, built and then resumed; the rows are those of the second build, which makes nothing."""
+    steps = [
+        resume.Step("orders", lambda s, _: s.read.parquet(f"{sf}/orders.parquet"), sources=[f"{sf}/orders.parquet"], version=sf),
+        resume.Step("priced", _priced, after=["orders"]),
+        resume.Step("spent", _spent, after=["priced"]),
+        resume.Step(
+            "named",
+            lambda s, layers: layers["spent"].join(s.read.parquet(f"{sf}/customer.parquet"), F.col("o_custkey") == F.col("c_custkey")),
+            sources=[f"{sf}/customer.parquet"], after=["spent"], version=sf,
+        ),
+    ]
+    root = f"{writers.shared_folder(spark)}/resumed-{spark.sparkContext.applicationId}-{zlib.crc32(sf.encode())}"
+    resume.build(spark, root, steps)
+    again = resume.build(spark, root, steps)
+    if again.made:
+        raise AssertionError(f"made again: {again.made}")
+    return again.layers["named"].select("o_custkey", "n", "spent", "c_mktsegment")
+
+
 @query("a04_named_layer", over_items("select item_id as appid, pos * 100 + neg * 100 as steam_total_reviews from items"))
 def _(spark, sf):
     """A layer is written under its name, loaded back, and its columns pruned at the scan."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
 from pyspark.sql import functions as F
 
 from marquetry.operators import evaluate as L
@@ -13,6 +13,7 @@ from marquetry.operators import features as G
 from marquetry.operators import models as ML
 from marquetry.operators import stats as J
 from marquetry.operators import stumps
+from marquetry.sources import writers
 from suite.items import items, joined, over_items, query, r6, stored
 
 # -- splits and samples -------------------------------------------------------------
@@ -336,6 +337,19 @@ def _(spark, sf):
     return table_.select("model", r6("r2"))
 
 
+@query("l09_stored_model", over_items("""select item_id, round(a + b * pos, 2) as fitted
+from m, (select regr_intercept(owners, pos) as a, regr_slope(owners, pos) as b from m)""",
+    m="select item_id, owners, pos from items where price is not null and owners is not null and ratio is not null"))
+def _(spark, sf):
+    """A straight line, trained and stored; the model that predicts is the one loaded for the same rows in another order."""
+    root = f"{writers.shared_folder(spark)}/models-{spark.sparkContext.applicationId}"
+    spec = {"line": LinearRegression(labelCol="owners", featuresCol="features", tol=1e-12)}
+    rows = _matrix(spark, sf)
+    ML.train_or_load(rows, ["pos"], spec, root)
+    loaded = ML.train_or_load(rows.repartition(7, "item_id"), ["pos"], spec, root)
+    return ML.with_predictions(rows, loaded).select("item_id", F.round("y_line", 2).alias("fitted"))
+
+
 @query("l14_cross_validated_score")
 def _(spark, sf):
     est = DecisionTreeRegressor(labelCol="owners", featuresCol="features", maxDepth=4, seed=1)

@@ -192,12 +192,29 @@ def test_single_feature_screen(regression):
     assert out[:2] == ["a", "c"]
 
 
-def test_models_are_stored_and_reused(spark, regression, tmp_path):
-    spec = {"lr": LinearRegression(labelCol="y", featuresCol="features")}
-    first = models.train_or_load(regression, ["a", "c"], spec, str(tmp_path))
-    again = models.train_or_load(regression.limit(0), ["a", "c"], spec, str(tmp_path))
-    assert again["lr"].stages[-1].coefficients == first["lr"].stages[-1].coefficients
-    assert set(models.load_models(["lr"], str(tmp_path))) == {"lr"}
+def test_models_are_stored_and_reused(spark, regression, tmp_path, monkeypatch):
+    """Order of rows does not matter; other rows, features or parameters train again."""
+    trained, train = [], models.train_models
+    monkeypatch.setattr(models, "train_models", lambda df, cols, specs: trained.append(list(specs)) or train(df, cols, specs))
+
+    def fitted(df=regression, cols=("a", "c"), **params):
+        spec = {"lr": LinearRegression(labelCol="y", featuresCol="features", **params)}
+        return models.train_or_load(df, list(cols), spec, str(tmp_path))["lr"].stages[-1].coefficients
+
+    first = fitted()
+    assert fitted(regression.repartition(5).withColumn("other", F.lit(1))) == first and len(trained) == 1
+    fitted(regression.unionAll(regression.limit(1)))
+    fitted(regression.withColumn("y", F.col("y") + 1))
+    fitted(cols=("c", "a"))
+    fitted(regParam=0.5)
+    assert len(trained) == 5
+    assert fitted(regParam=0.5) == fitted(regression.orderBy("y"), regParam=0.5) and len(trained) == 5
+
+
+def test_models_are_saved_and_loaded_by_name(spark, regression, tmp_path):
+    made = models.train_models(regression, ["a", "c"], {"lr": LinearRegression(labelCol="y", featuresCol="features")})
+    models.save_models(made, str(tmp_path))
+    assert models.load_models(["lr"], str(tmp_path))["lr"].stages[-1].coefficients == made["lr"].stages[-1].coefficients
 
 
 def test_search_table_is_ordered(regression):
