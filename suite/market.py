@@ -500,6 +500,75 @@ def _(spark, sf):
     return I.rank_factors(J.factor_battery(items(spark, sf), "ratio", *_factors()))
 
 
+def battery_titles(spark, sf):
+    """Items as catalog titles, with every column that the catalog's own battery reads."""
+    k = F.col("item_id")
+    words = lambda n: F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: i.cast("string"))).otherwise(F.array())
+    pick = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), n.cast("int"))
+    return items(spark, sf).select(
+        "release_year", "tags", F.col("ratio").alias("steam_positive_review_ratio"), (F.col("total_reviews") * 3).alias("steam_total_reviews"),
+        (k % 120).alias("achievements_count"), F.when(k % 4 != 0, F.col("owners") / 3).alias("average_time_to_beat"),
+        words((k % 25).cast("int")).alias("languages_supported"), words(((k + F.col("pos")) % 22).cast("int")).alias("languages_with_full_audio"),
+        F.col("price").alias("price_original"), (F.col("pos") % 6).alias("steam_store_movie_count"),
+        (F.col("neg") * 3 + k % 7).alias("steam_store_screenshot_count"), pick(["full", "partial", None, "none", "odd"], k % 5).alias("controller_support"),
+        F.when(k % 3 == 0, F.col("pos") > 2).alias("early_access"), pick(["Easy", "Tough", None, "Simple", "Odd"], (k + F.col("pos")) % 5).alias("gamefaqs_difficulty_rating"),
+        (F.col("pos") > F.col("neg")).alias("has_demos"), (k % 2 == 0).alias("runs_on_linux"), (F.col("neg") > 3).alias("runs_on_mac"),
+        F.lit(True).alias("runs_on_steam_deck"), (F.col("owners") > 100).alias("runs_on_windows"), (F.col("model") == "P").alias("vr_supported"),
+    )
+
+
+_BATTERY = {
+    "c": """select item_id as k, release_year as yr, ratio as y, item_id % 120 as ach, case when item_id % 4 <> 0 then owners / 3 end as ttb, item_id % 25 as langs,
+  (item_id + pos) % 22 as audio, price, pos % 6 as movies, neg * 3 + item_id % 7 as shots, len(tags) as tags, total_reviews * 3 >= 10 and ratio > 0 as rated,
+  ['3. Full', '2. Partial', 'unknown', '1. None', null][item_id % 5 + 1] as ctrl, case when item_id % 3 = 0 then (pos > 2)::varchar else 'unknown' end as early,
+  ['Easy', 'Tough', 'unknown', 'Simple', null][(item_id + pos) % 5 + 1] as hard, pos > neg as demos, item_id % 2 = 0 as linux, neg > 3 as mac,
+  owners > 100 as win, model = 'P' as vr from items""",
+    "nums": """select 'achievements_count' as factor, 2 as deg, 0.0 as lo, 1.0 as hi, cast(ach as double) as x, y from c where ach > 0 and ach < 100
+  union all select 'average_time_to_beat', 1, 0.01, 0.99, ttb, y from c
+  union all select 'languages_supported_count', 1, 0.0, 1.0, langs, y from c where rated and langs < 20
+  union all select 'languages_with_full_audio_count', 2, 0.0, 1.0, audio, y from c where audio > 0 and audio < 20
+  union all select 'price_original', 1, 0.01, 0.99, price, y from c where rated and price > 0
+  union all select 'steam_store_movie_count', 1, 0.01, 0.99, movies, y from c
+  union all select 'steam_store_screenshot_count', 2, 0.0, 0.99, shots, y from c
+  union all select 'tags_count', 1, 0.0, 1.0, tags, y from c""",
+    "known": "select * from nums where x is not null and y is not null",
+    "ends": """select factor, case any_value(lo) when 0.01 then quantile_cont(x, 0.01) else min(x) end as a,
+  case any_value(hi) when 0.99 then quantile_cont(x, 0.99) else max(x) end as b from known group by 1""",
+    "kept": "select known.* from known join ends using (factor) where x between a and b",
+    "z": "select k.factor, deg, (x - mx) / sx as z, y - my as y from kept k join (select factor, avg(x) mx, stddev_pop(x) sx, avg(y) my from kept group by 1) using (factor)",
+    "m": """select factor, any_value(deg) deg, count(*) s0, sum(z) s1, sum(z*z) s2, sum(z*z*z) s3, sum(z*z*z*z) s4, sum(y) t0, sum(z*y) t1, sum(z*z*y) t2, sum(y*y) yy,
+  regr_r2(y, z) r1 from z group by 1""",
+    "d": "select *, s0*(s2*s4-s3*s3) - s1*(s1*s4-s3*s2) + s2*(s1*s3-s2*s2) as det from m",
+    "b": _NORMAL["b"],
+    "cats": " union all ".join(
+        f"select '{name}' as factor, yr, cast({col} as varchar) as label, y from c"
+        for name, col in {"controller_support": "ctrl", "early_access": "early", "gamefaqs_difficulty_rating": "hard", "has_demos": "demos",
+                          "runs_on_linux": "linux", "runs_on_mac": "mac", "runs_on_windows": "win", "vr_supported": "vr"}.items()
+    ),
+    "adj": """select factor, label, (y - avg(y) over g) / nullif(stddev_samp(y) over g, 0) * stddev_samp(y) over f + avg(y) over f as a
+  from cats where label is not null and y is not null window g as (partition by factor, yr), f as (partition by factor)""",
+    "groups": "select factor, label, count(a) n, avg(a) m, sum(a * a) - count(a) * avg(a) * avg(a) ss from adj where a is not null group by 1, 2",
+    "anova": """select factor, cast(sum(n) as bigint) n, sum(n * (m - om) * (m - om)) ssb, sum(ss) ssw from groups
+  join (select factor, avg(a) om from adj group by 1) using (factor) group by 1 having count(*) >= 2""",
+    "found": """select factor, s0 as n, round(case deg when 1 then r1 else 1 - (yy - b0*t0 - b1*t1 - b2*t2) / (yy - t0*t0/s0) end, 3) as variance_explained from b
+  union all select factor, n, round(ssb / (ssb + ssw), 3) from anova""",
+}
+
+
+@query(
+    "j09_i25_catalog_battery",
+    over_items(
+        """select factor, n, variance_explained, case when variance_explained >= 0.05 then 'significant' when variance_explained >= 0.01 then 'small but noticeable' else 'none' end as tier
+from found""",
+        **_BATTERY,
+    ),
+)
+def _(spark, sf):
+    """The catalog's 17 factors with their own row filters, trims and degrees (a factor with one group has no result)."""
+    ranked = I.rank_factors(J.factor_battery(battery_titles(spark, sf), "steam_positive_review_ratio", *J.catalog_factors()))
+    return ranked.select("factor", "n", "variance_explained", "tier")
+
+
 @query(
     "j10_quadratic_trend",
     over_items(
