@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquetry import constants as K
@@ -146,33 +147,45 @@ def label_codes(df: DataFrame, col: str, order_col: str) -> DataFrame:
     return numbered.select(col, F.col("code").cast("int").alias("code"), "rows")
 
 
-def label_encode(df: DataFrame, cols: Sequence[str], order_col: str) -> DataFrame:
+def label_encode(df: DataFrame, cols: Sequence[str], order_col: str, heavy: int = HEAVY_CODES) -> DataFrame:
     """Replace each column by its first-appearance code, null -> -1. Any number of values is fine.
 
-    One long-form pass counts the values of all columns. The codes of the most frequent values are broadcast; rows those
-    settle, and rows without a value, take a random-looking salt into the shuffled join with the other codes, so that no
-    task receives a hot value.
+    One long-form pass finds the values of all columns. The codes of columns with at most ``heavy`` values are broadcast, and
+    the rows stay where they are. Of the other columns the ``heavy`` most frequent values are, so no task receives a hot
+    value; what is open then is looked up in long form (row, column, value) for all those columns together: three exchanges,
+    however many they are.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols])
-    long = df.select(F.col(order_col).alias("_o"), F.explode(pairs).alias("_p")).where("_p.value is not null")
+    long = df.select(F.col(f"`{order_col}`").alias("_o"), F.explode(pairs).alias("_p")).where("_p.value is not null")
     found = long.groupBy("_p.column", "_p.value").agg(F.min("_o").alias("_first"), F.count(F.lit(1)).alias("rows"))
     found = checkpoint(found)
+    sizes = {r["column"]: r["count"] for r in found.groupBy("column").count().collect()}
+    many = [c for c in cols if sizes.get(c, 0) > heavy]
+    by = Window.partitionBy("column").orderBy("_first", "value")
+    few = found.where(~F.col("column").isin(*many)).withColumn("code", F.row_number().over(by) - 1)
+    codes = {c: few.where(F.col("column") == c) for c in cols if c not in many}
+    large = {}
+    for c in many:
+        own = found.where(F.col("column") == c).select("column", "value", "_first", "rows")
+        large[c] = checkpoint(dense_index(own, "_first", "code", tie="value"))
+        codes[c] = large[c].orderBy(F.desc("rows"), "value").limit(heavy)
+    frame = checkpoint(df.withColumn("_row", F.monotonically_increasing_id())) if many else df
     for c in cols:
-        own = found.where(F.col("column") == c).select("value", "_first", "rows")
-        codes = dense_index(own, "_first", "code", tie="value").select(
-            F.col("value").alias("_value"), F.col("code").cast("int").alias("_code"), "rows"
-        )
-        heavy = codes.orderBy(F.desc("rows"), "_value").limit(HEAVY_CODES).select(F.col("_value").alias("_hv"), F.col("_code").alias("_hc"))
-        text = F.col(f"`{c}`").cast("string")
-        df = df.join(F.broadcast(heavy), text == F.col("_hv"), "left")
-        open_value = F.when(F.col("_hc").isNull(), text)
-        salt = F.when(open_value.isNull(), F.pmod(F.xxhash64(order_col), F.lit(4096)) + 1).otherwise(F.lit(0).cast("bigint"))
-        df = df.withColumns({"_open": open_value, "_salt": salt})
-        light = codes.select("_value", "_code", F.lit(0).cast("bigint").alias("_zero"))
-        df = df.join(light, (F.col("_open") == F.col("_value")) & (F.col("_salt") == F.col("_zero")), "left")
-        df = df.withColumn(c, F.coalesce("_hc", "_code", F.lit(-1)))
-        df = df.drop("_hv", "_hc", "_open", "_salt", "_value", "_code", "_zero")
-    return df
+        known = codes[c].select(F.col("value").alias("_value"), F.col("code").cast("int").alias("_code"))
+        frame = frame.join(F.broadcast(known), F.col(f"`{c}`").cast("string") == F.col("_value"), "left")
+        frame = frame.withColumnRenamed("_code", f"_code_{c}").drop("_value")
+    if many:
+        open_ = F.array_compact(F.array(*[
+            F.when(F.col(f"`_code_{c}`").isNull(), F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"))) for c in many
+        ]))
+        asked = frame.select("_row", F.explode(open_).alias("_p")).select("_row", "_p.*").where("value is not null")
+        table = reduce(DataFrame.unionByName, [large[c].select("column", "value", F.col("code").cast("int").alias("_code")) for c in many])
+        met = asked.join(table, ["column", "value"]).groupBy("_row")
+        met = met.agg(*[F.max(F.when(F.col("column") == c, F.col("_code"))).alias(f"_late_{i}") for i, c in enumerate(many)])
+        frame = frame.join(met, "_row", "left").drop("_row")
+    late = {c: [F.col(f"_late_{i}")] for i, c in enumerate(many)}
+    coded = {c: F.coalesce(F.col(f"`_code_{c}`"), *late.get(c, []), F.lit(-1)) for c in cols}
+    return frame.select(*[coded[c].alias(c) if c in coded else F.col(f"`{c}`") for c in df.columns])
 
 
 def list_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -221,3 +221,20 @@ def test_search_table_is_ordered(regression):
     est = LinearRegression(labelCol="y", featuresCol="features")
     table = models.tune(est, models.LINEAR_SPACE, regression, ["a", "c"], models.r2_evaluator("y"), "id", n_trials=2, folds=2).collect()
     assert len(table) == 2 and table[0]["score"] >= table[1]["score"]
+
+
+@pytest.mark.parametrize("heavy", [3, 10_000])
+def test_label_codes_of_any_number_of_values(spark, heavy):
+    """Codes by first appearance, whether values are broadcast or looked up in long form."""
+    rows = [(i, f"v{(i * 7) % 40}" if i % 5 else None, i % 3, f"w{i % 50}" if i < 150 else "w1", None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, `a b` string, b int, c string, d string").repartition(5)
+    got = features.label_encode(df, ["a b", "b", "c", "d"], "id", heavy=heavy)
+    assert got.columns == df.columns
+
+    def codes(at):
+        seen = {}
+        return [-1 if r[at] is None else seen.setdefault(r[at], len(seen)) for r in rows]
+
+    assert [tuple(r) for r in got.orderBy("id").collect()] == list(zip(range(400), *[codes(at) for at in range(1, 5)]))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") <= (0 if heavy > 50 else 2)
