@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquetry.plans.skew import scalar_row
+from marquetry.sources.writers import checkpoint
 
 BUCKETS = 256
 
@@ -31,3 +34,21 @@ def dense_index(df: DataFrame, order_col: str, out: str, tie: str | None = None,
     numbered = placed.withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
     joined = numbered.join(F.broadcast(sizes), F.col("_bucket") == F.col("_ob"))
     return joined.withColumn(out, F.col("_offset") + F.col("_rn") - 1).drop("_bucket", "_ob", "_offset", "_rn")
+
+
+def place_rows(df: DataFrame, order: Sequence[Column], out: str = "place") -> DataFrame:
+    """``df`` in a global order with the place of each row in it (from 1), so the order outlives the frame.
+
+    Rows are split by range of the order, sorted in each part, and offset by the parts before: no task sees all rows. End
+    ``order`` with a column that settles ties; rows that tie to the end take their places in any order.
+    """
+    stored = checkpoint(df)  # ranges are sampled first, so the rows are read twice
+    placed = checkpoint(stored.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per part from here on
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(F.col("_part").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    met = placed.withColumn("_own", own).join(F.broadcast(parts), F.col("_part") == F.col("_of"))
+    met = met.withColumn(out, F.col("_before") + F.col("_own"))
+    return met.select(*[f"`{c}`" for c in df.columns if c != out], out).orderBy(out)

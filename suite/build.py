@@ -93,6 +93,16 @@ def _(spark, sf):
     return read_csv_export(spark, sf).select("app_id", "title", "date_release", F.col("price_final").cast("double").alias("price"))
 
 
+@query("a06_written_csv", over_items("select item_id, 'a \"' || item_id || '\", b' as title, price, array_to_string(tags, '|') as tags, model from items"))
+def _(spark, sf):
+    """Lists and quotes through a CSV sink in folders by model, and back."""
+    title = F.concat(F.lit('a "'), F.col("item_id").cast("string"), F.lit('", b'))
+    path = f"{exports(spark, sf)}/written.csv"
+    writers.write(items(spark, sf).select("item_id", title.alias("title"), "price", "tags", "model"), path, fmt="csv", partition_by=["model"])
+    back = readers.read_csv(spark, path, "item_id long, title string, price double, tags string, model string")
+    return back.withColumn("tags", F.array_join(F.from_json("tags", "array<string>"), "|"))
+
+
 @query("a02_json_list_export", over_items("select item_id as appid, array_to_string(tags, ';') as genres, pos as positive_ratings, price from items where item_id % 5 <> 0"))
 def _(spark, sf):
     return read_list_export(spark, sf).select("appid", "genres", "positive_ratings", "price")

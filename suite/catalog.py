@@ -632,6 +632,15 @@ def _labelled(spark, sf):
     return items(spark, sf).withColumn("factor", F.when(F.col("price").isNotNull(), F.col("factor"))).select("item_id", "factor", "release_date", "price")
 
 
+@query(
+    "g04_controller_codes",
+    over_items("select item_id, case item_id % 4 when 0 then 1.0::double when 1 then 0.5::double when 2 then 0.0::double else -1.0::double end as code from items"),
+)
+def _(spark, sf):
+    text = F.get(F.array(F.lit("full"), F.lit("partial"), F.lit("none"), F.lit(None)), (F.col("item_id") % 4).cast("int"))
+    return items(spark, sf).select("item_id", text.alias("controller_support")).select("item_id", G.controller_code("controller_support").alias("code"))
+
+
 @query("g05_label_encode", _LABEL)
 def _(spark, sf):
     return G.label_encode(_labelled(spark, sf), ["factor"], "item_id").select("item_id", "factor")

@@ -10,7 +10,9 @@ from marquetry.operators import filters as H
 from marquetry.operators import reports as I
 from marquetry.operators import smooth as S
 from marquetry.operators import stats as J
+from marquetry.plans import ranking
 from marquetry.plans.quantiles import exact_quantiles, mode_by
+from marquetry.plans.skew import with_scalars
 from suite.items import MODELS, YEARS, items, joined, over_items, query, r6, table
 
 # -- filters ------------------------------------------------------------------------
@@ -651,3 +653,47 @@ def _(spark, sf):
 @query("m08_mode_per_year", over_items("select release_year, total_reviews as mode from (select release_year, total_reviews, row_number() over (partition by release_year order by count(*) desc, total_reviews) as k from items where total_reviews is not null group by 1, 2) where k = 1"))
 def _(spark, sf):
     return mode_by(items(spark, sf), "total_reviews", ["release_year"])
+
+
+@query(
+    "m01_global_sort",
+    over_items("select item_id, price, row_number() over (order by price desc nulls last, model, item_id) as place from items"),
+)
+def _(spark, sf):
+    order = [F.desc_nulls_last("price"), F.asc("model"), F.asc("item_id")]
+    return ranking.place_rows(items(spark, sf).select("item_id", "price", "model"), order).drop("model")
+
+
+@query(
+    "k05_piecewise_grid",
+    over_items(
+        "select round(point, 6) as point, count(price) as below from g left join (select price from items where price is not null) on price <= point + 1e-9 group by 1",
+        g="""select i * 5.0 / 30 as point from range(30) t(i) union all select 5 + i * 20.0 / 30 from range(30) t(i)
+  union all select 25 + i * 475.0 / 29 from range(30) t(i)""",
+    ),
+)
+def _(spark, sf):
+    """Prices at or below each point of the three-segment grid."""
+    grid = S.price_grid(0.0, 500.0)
+    at = sum((F.when(F.col("price") > point + 1e-9, 1).otherwise(0) for point in grid), F.lit(0))
+    counts = items(spark, sf).where("price is not null").groupBy(at.alias("first")).agg(F.count(F.lit(1)).alias("n"))
+    points = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("point")) for i, p in enumerate(grid)]))
+    rows = spark.range(1).select(points.alias("g")).select("g.*")
+    rows = with_scalars(rows, counts.agg(F.map_from_entries(F.collect_list(F.struct("first", "n"))).alias("m")))
+    totals = F.col("_s.m")
+    below = F.aggregate(F.sequence(F.lit(0), F.col("i")), F.lit(0).cast("bigint"), lambda a, k: a + F.coalesce(F.try_element_at(totals, k), F.lit(0).cast("bigint")))
+    return rows.select(F.round("point", 6).alias("point"), below.alias("below"))
+
+
+@query(
+    "k05_step_bins",
+    over_items(
+        """select lo, count(*) as n from (select case when price < 5 then floor(price / 0.5) * 0.5 when price < 25 then 5 + floor((price - 5) / 2.5) * 2.5
+  else 25 + floor((price - 25) / 25) * 25 end as lo from items where price is not null and price < 500) group by 1"""
+    ),
+)
+def _(spark, sf):
+    """Left-closed bins of piecewise-constant width."""
+    edges = S.step_edges([(0, 5, 0.5), (5, 25, 2.5), (25, 500, 25)])
+    lo = F.element_at(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col("price")), -1)
+    return items(spark, sf).where("price < 500").select(lo.alias("lo")).groupBy("lo").agg(F.count(F.lit(1)).alias("n"))

@@ -100,3 +100,14 @@ def test_salts_depend_on_rows_not_on_their_order(spark):
         {r["v"]: r["s"] for r in x.select("v", salt_of(df, 64).alias("s")).collect()} for x in (df, df.repartition(7).orderBy(F.desc("v")))
     )
     assert once == again and len(set(once.values())) > 50
+
+
+def test_places_in_a_global_order(spark):
+    from marquetry.plans.ranking import place_rows
+
+    rows = [(i, (i * 37) % 11 if i % 4 else None, f"t{i % 3}") for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, v int, place string").repartition(6)
+    out = place_rows(df, [F.desc_nulls_last("v"), F.asc("id")]).collect()
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert [(r["id"], r["place"]) for r in out] == [(r[0], k + 1) for k, r in enumerate(want)]
+    assert place_rows(df.limit(0), [F.asc("id")]).collect() == []
