@@ -25,6 +25,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def others(df: DataFrame, names: Iterable[str]) -> list[str]:
+    """The columns of ``df`` that are not among ``names`` (compared without case)."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
 _KEPT: dict = {}
 _USED: set = set()
 
@@ -82,8 +88,8 @@ def add_columns(
     ``drop`` leaves columns out; ``keep_where`` names a boolean output that selects the rows and is dropped.
     """
     new = T.StructType.fromDDL(outputs)
-    own = {f.name for f in new.fields}
-    passed = [f for f in df.schema.fields if f.name not in own and f.name not in drop]
+    gone = {f.name for f in new.fields} | set(drop)
+    passed = [df.schema[c] for c in others(df, gone)]
     shown = T.StructType(passed + [f for f in new.fields if f.name != keep_where])
     fields, names = arrow_fields(new), [f.name for f in passed]
     out_schema = pa.schema([f for f in fields if f.name != keep_where])

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, explode_rows, fresh
+from .common import add_columns, explode_rows, fresh, others
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -104,7 +104,7 @@ def dedup_lines(
 
     return add_columns(
         joined, [text_col, drop_col], make, f"`{text_col}` string, `{n_lines}` bigint, `{n_dropped}` bigint", [drop_col]
-    ).select(*[f"`{c}`" for c in docs.columns if c not in (n_lines, n_dropped)], f"`{n_lines}`", f"`{n_dropped}`")
+    ).select(*[f"`{c}`" for c in others(docs, (n_lines, n_dropped))], f"`{n_lines}`", f"`{n_dropped}`")
 
 
 def sha256(text: str | None) -> str:

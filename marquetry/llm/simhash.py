@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from marquetry.sources.writers import checkpoint
 
-from .common import add_columns
+from .common import add_columns, fresh
 from .components import connected
 
 SEED = 42
@@ -247,4 +247,5 @@ def drop_near_duplicates(
     # an id that is the smallest of one component by another of its rows stays
     own = found.where(F.col(id_col) == F.col("component")).select(F.col(id_col).alias("_kept")).distinct()
     gone = gone.join(own, F.col("_gone") == F.col("_kept"), "left_anti")
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    out = fresh(docs, "_gone")
+    return docs.join(gone.withColumnRenamed("_gone", out), F.col(f"`{id_col}`") == F.col(out), "left_anti")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from marquetry.sources.writers import checkpoint
 
-from .common import add_columns, fresh, slices
+from .common import add_columns, fresh, others, slices
 
 ANCHOR = 8
 CHUNK = 1 << 18  # runs or windows that are sorted at once
@@ -295,4 +295,4 @@ def dedup_substrings(
 
     ddl = f"`{text_col}` string, `{n_words}` bigint, `{n_removed}` bigint"
     out = add_columns(joined.drop(doc, side_col), [text_col, list_col], make, ddl, [list_col])
-    return out.select(*[f"`{c}`" for c in docs.columns if c not in (n_words, n_removed)], f"`{n_words}`", f"`{n_removed}`")
+    return out.select(*[f"`{c}`" for c in others(docs, (n_words, n_removed))], f"`{n_words}`", f"`{n_removed}`")

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh, others
+
 KINDS = ("domain", "prefix", "url")  # from the least to the most specific
 FOREVER = "9999-12-31"
 
@@ -78,7 +80,7 @@ def judge(
     gives one row, repeated ones too; other columns pass, but for columns named like the three outputs.
     """
     outputs = ("action", "rule_kind", "rule")
-    rows = captures.select(*[f"`{c}`" for c in captures.columns if c not in outputs])
+    rows = captures.select(*[f"`{c}`" for c in others(captures, outputs)])
     url, day = F.col(f"`{url_col}`"), F.col(f"`{time_col}`").cast("date")
     cases = captures.select(url.alias("_url"), day.alias("_day")).where("_url is not null and _day is not null").distinct()
     keyed = cases.select("_url", "_day", F.explode(keys_of(F.col("_url"))).alias("_key"))
@@ -86,12 +88,14 @@ def judge(
     held = keyed.join(validity(entries), ["kind", "name"]).where("since <= _day and _day < until")
     order = F.struct(F.array_position(F.lit(list(KINDS)), F.col("kind")), F.length("name"), F.col("name"))
     best = held.groupBy("_url", "_day").agg(F.max_by(F.struct("action", "kind", "name"), order).alias("_best"))
-    found = rows.join(best, (url == F.col("_url")) & (day == F.col("_day")), "left")
+    names = {c: fresh(rows, c) for c in ("_url", "_day", "_best")}
+    best = best.select(*[F.col(c).alias(n) for c, n in names.items()])
+    found = rows.join(best, (url == F.col(names["_url"])) & (day == F.col(names["_day"])), "left")
     return found.select(
         *[f"`{c}`" for c in rows.columns],
-        F.coalesce("_best.action", F.lit(default)).alias("action"),
-        F.col("_best.kind").alias("rule_kind"),
-        F.col("_best.name").alias("rule"),
+        F.coalesce(F.col(names["_best"])["action"], F.lit(default)).alias("action"),
+        F.col(names["_best"])["kind"].alias("rule_kind"),
+        F.col(names["_best"])["name"].alias("rule"),
     )
 
 
