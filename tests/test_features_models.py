@@ -63,12 +63,13 @@ def test_rows_with_missing_features_are_scored(spark):
 
 
 def test_a_failing_load_overwrites_nothing(spark, regression, tmp_path):
-    (tmp_path / "lr").mkdir()
-    (tmp_path / "lr" / "keep").write_text("x")
     spec = {"lr": LinearRegression(labelCol="y", featuresCol="features")}
+    place = tmp_path / "lr" / models.model_key(regression, ["a", "c"], spec["lr"])
+    place.mkdir(parents=True)
+    (place / "keep").write_text("x")
     with pytest.raises(Exception):  # noqa: B017
         models.train_or_load(regression, ["a", "c"], spec, str(tmp_path))
-    assert (tmp_path / "lr" / "keep").read_text() == "x"
+    assert (place / "keep").read_text() == "x"
 
 
 def test_search_by_kappa(spark):
