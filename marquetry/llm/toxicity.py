@@ -15,7 +15,7 @@ from math import log, log1p
 
 import ahocorasick
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquetry.sources.writers import checkpoint
@@ -23,11 +23,9 @@ from marquetry.sources.writers import checkpoint
 from .common import add_columns, explode_rows
 
 PER_CLASS = 6_000  # labelled documents of each class that a model is fitted on, at most; chosen by hash and weighted by their class
-STEM = range(3, 11)  # lengths of word starts that may become entries
+STEM = range(3, 11)  # lengths of word starts that may become entries; whole words of any length may, too
 SUPPORT = 3  # toxic documents an entry needs
 SIGNIFICANT = 20.0  # log-likelihood ratio an entry needs
-ENTRIES = 2_000  # of the lexicon, strongest first
-PHRASES = 1_000  # exception phrases
 RATIO = 3.0  # times the share of clean documents that have an entry, at least
 MEASURES = 3
 
@@ -70,25 +68,23 @@ def entries_of(folded: str) -> Counter:
     """The candidate entries in a text and how often each occurs: word starts, and whole words with their end."""
     out: Counter = Counter()
     for word, n in Counter(folded.split()).items():
-        if len(word) <= 40:
-            out[f" {word} "] += n
+        out[f" {word} "] += n
         for size in STEM:
             if size < len(word):
                 out[f" {word[:size]}"] += n
     return out
 
 
-def significance(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
+def significance(toxic: Column, clean: Column, all_toxic: int, all_clean: int) -> Column:
     """Log-likelihood ratio of a document count in two classes; zero if the toxic share is not the higher one."""
-    if toxic * all_clean <= clean * all_toxic:
-        return 0.0
-    total, n = toxic + clean, all_toxic + all_clean
-    g = 0.0
-    for seen, of in ((toxic, all_toxic), (clean, all_clean)):
-        for k, p in ((seen, total / n), (of - seen, 1 - total / n)):
-            if k:
-                g += 2 * k * log(k / (of * p))
-    return g
+    share = (toxic + clean) / F.lit(float(all_toxic + all_clean))
+
+    def part(k: Column, p: Column) -> Column:
+        return F.when(k > 0, 2 * k * F.ln(k / p)).otherwise(0.0)
+
+    g = part(toxic, all_toxic * share) + part(all_toxic - toxic, all_toxic * (1 - share))
+    g += part(clean, all_clean * share) + part(all_clean - clean, all_clean * (1 - share))
+    return F.when(toxic * all_clean > clean * all_toxic, g).otherwise(0.0)
 
 
 class Matcher:
@@ -114,9 +110,14 @@ class Matcher:
                 spared.append((start, end))
             elif start not in best or best[start][0] < end:
                 best[start] = end, weight
-        return [
-            (a, b, w) for a, (b, w) in sorted(best.items()) if not any(x <= a and b <= y for x, y in spared)
-        ]
+        spared.sort(reverse=True)
+        out, reach = [], -1
+        for start, (end, weight) in sorted(best.items()):
+            while spared and spared[-1][0] <= start:
+                reach = max(reach, spared.pop()[1])
+            if end > reach:
+                out.append((start, end, weight))
+        return out
 
     def measures(self, folded: str) -> tuple[float, ...]:
         """Logs of the summed weights, of the summed weights per hundred words and, if there are any, of the length."""
@@ -216,35 +217,37 @@ def _counted(own: DataFrame, make_counts) -> DataFrame:
 
 
 def _lexicon(own: DataFrame, toxic: int, clean: int) -> dict[str, float]:
+    """Every candidate that passes the tests of support, ratio and significance, unless a shorter start says as much.
+
+    No number of entries is set; only terms of the at most 2 x ``per_class`` sampled documents can pass.
+    """
     counts = _counted(own, lambda: entries_of).where(F.col("toxic") >= SUPPORT)
     ratio = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1))
-    # a bounded number reaches the driver, those most typical of toxic documents first
-    surplus = F.col("toxic") / toxic - F.col("clean") / clean
-    strong = counts.where(ratio >= RATIO).orderBy(F.desc(surplus), "term").limit(20 * ENTRIES).collect()
+    rated = counts.withColumn("g", significance(F.col("toxic"), F.col("clean"), toxic, clean))
+    strong = rated.where((ratio >= RATIO) & (F.col("g") >= SIGNIFICANT)).collect()
     words = dict(own.groupBy("_y").agg(F.sum(F.size(F.split(F.trim("folded"), " +")))).collect())
-    rated = [(significance(r["toxic"], r["clean"], toxic, clean), r) for r in strong]
-    rated = sorted(((g, r) for g, r in rated if g >= SIGNIFICANT), key=lambda x: (-x[0], len(x[1]["term"]), x[1]["term"]))
     weights: dict[str, float] = {}
-    for _, r in rated:
+    for r in sorted(strong, key=lambda r: (-round(r["g"], 9), len(r["term"]), r["term"])):
         rates = (r["toxic_times"] + 0.5) / words[1], (r["clean_times"] + 0.5) / words[0]
         weight = log(rates[0] / rates[1])
         # a longer start adds nothing to a stronger shorter one unless it is more telling
-        shorter = max((weights.get(r["term"][:n], 0.0) for n in range(2, len(r["term"]))), default=0.0)
-        if len(weights) < ENTRIES and weight > max(0.5, shorter + 0.5):
+        shorter = max(weights.get(r["term"][: n + 1], 0.0) if n + 1 < len(r["term"]) else 0.0 for n in STEM)
+        if weight > max(0.5, shorter + 0.5):
             weights[r["term"]] = weight
     return weights
 
 
 def phrases_of(matcher: Matcher, folded: str) -> Counter:
-    """Each matched word together with the word before it, and with the word after it."""
+    """Each matched word together with the word before it, and with the word after it, one blank between them."""
     out: Counter = Counter()
     for start, _, _ in matcher.hits(folded):
-        before = folded[:start].rsplit(None, 1)[-1:] if start else []
-        rest = folded[start:].split(None, 2)[:2]
-        if before and folded[:start].endswith(before[0]):
-            out[f" {before[0]} {rest[0]} "] += 1
-        if len(rest) == 2 and folded[start:].startswith(f" {rest[0]} {rest[1]} "):
-            out[f" {rest[0]} {rest[1]} "] += 1
+        stop = folded.index(" ", start + 1)
+        before = folded.rfind(" ", 0, start)
+        after = folded.find(" ", stop + 1)
+        if 0 <= before < start - 1:
+            out[folded[before : stop + 1]] += 1
+        if after > stop + 1:
+            out[folded[start : after + 1]] += 1
     return out
 
 
@@ -254,18 +257,31 @@ def _exceptions(own: DataFrame, weights: dict[str, float]) -> list[str]:
         return lambda folded: phrases_of(matcher, folded)
 
     rows = _counted(own, make).where((F.col("toxic") == 0) & (F.col("clean") >= SUPPORT))
-    return [r["term"] for r in rows.orderBy(F.desc("clean"), "term").limit(PHRASES).collect()]
+    return sorted(r["term"] for r in rows.select("term").collect())  # of at most ``per_class`` documents
 
 
 def _logistic(rows: np.ndarray, counts: np.ndarray, rounds: int = 100, decay: float = 1e-4) -> list[float]:
-    """Coefficients, constant first, by Newton steps of bounded length; a row counts as ``counts`` rows."""
+    """Coefficients, constant first; a row counts as ``counts`` rows. Newton steps, halved until the loss falls."""
     y, x = rows[:, 0], np.column_stack([np.ones(len(rows)), rows[:, 1:]])
+    share = counts / counts.sum()
+
+    def loss(w: np.ndarray) -> float:
+        odds = x @ w
+        return float(share @ (np.logaddexp(0, odds) - y * odds) + decay * w @ w / 2)
+
     w = np.zeros(x.shape[1])
+    now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (counts * (p - y)) / counts.sum() + decay * w
-        hess = (x * (counts * p * (1 - p))[:, None]).T @ x / counts.sum() + decay * np.eye(len(w))
-        w -= np.clip(np.linalg.solve(hess, grad), -1, 1)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        grad = x.T @ (share * (p - y)) + decay * w
+        hess = (x * (share * p * (1 - p))[:, None]).T @ x + decay * np.eye(len(w))
+        step, slope = np.linalg.solve(hess, grad), 1.0
+        while slope > 1e-9 and loss(w - slope * step) > now - 1e-4 * slope * float(grad @ step):
+            slope /= 2
+        if slope <= 1e-9 or np.abs(grad).max() < 1e-12:
+            break
+        w = w - slope * step
+        now = loss(w)
     return w.tolist()
 
 
