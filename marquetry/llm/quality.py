@@ -23,6 +23,7 @@ BAD, NONE, GOOD = 0, 1, 2
 SAMPLE = 6_000  # documents that train the scorer, chosen by hash
 BUCKETS = 1 << 12
 FEW = 20  # words below which shares say little
+CHUNK = 500  # words within which distinct ones are counted, so that the measure does not fall with the length
 SYMBOLS = b"#$%&*|!~^_=<>@+\\{}[]"
 UPPER = bytes(range(65, 91))
 RUNS = re.compile(rb"[#$%&*|!~^_=<>@+?]{2,}|\s\|\s")
@@ -45,7 +46,7 @@ def votes(text: str | None) -> list[int]:
     lengths = list(map(len, words))
     short, mean = sum([x <= 3 for x in lengths]) / n, sum(lengths) / n
     runs = len(RUNS.findall(raw)) / n
-    kinds = len(set(words)) / min(n, 5_000)
+    kinds = sum([len(set(words[i : i + CHUNK])) for i in range(0, n, CHUNK)]) / n
     long_enough = n >= FEW
     return [
         NONE,
@@ -103,7 +104,7 @@ def shape(word: str) -> str:
     out = word
     for pattern, sign in SHAPE:
         out = pattern.sub(sign, out)
-    return f"{out[:8]}{min(3, len(word) // 4)}"
+    return f"{out}{min(3, len(word) // 4)}"
 
 
 WORDS = 200_000  # words whose bucket a worker keeps; beyond that it starts anew
@@ -151,7 +152,11 @@ def train(rows: list[tuple[list[int], list[float], float]], rounds: int = 300, d
 
 
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tuple[LabelModel, np.ndarray]:
-    """Label model over all ``docs`` and the scorer from ``sample`` of them (the smallest hashes of text)."""
+    """Label model over all ``docs`` and the scorer from about ``sample`` of their texts, chosen by hash.
+
+    Equal texts are chosen together and train the scorer once, so copies - be they a third of all rows - neither
+    outweigh other texts nor reach the driver; the expected number of rows that do is at most ``sample``.
+    """
     texts = docs.select(F.col(f"`{text_col}`").alias("text"))
 
     def vote():
@@ -177,7 +182,7 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tuple[
         return rows
 
     described = add_columns(chosen, ["text"], describe, "at array<int>, x array<double>, y double", ["text"])
-    rows = sorted((tuple(r["at"]), tuple(r["x"]), r["y"]) for r in described.distinct().limit(2 * sample).collect())
+    rows = sorted((tuple(r["at"]), tuple(r["x"]), r["y"]) for r in described.distinct().collect())
     return model, train(rows)
 
 
