@@ -14,6 +14,7 @@ from marquetry.operators import models as ML
 from marquetry.operators import stats as J
 from marquetry.operators import stumps
 from marquetry.sources import writers
+from suite.catalog import _OWNERS
 from suite.items import items, joined, over_items, query, r6, stored
 
 # -- splits and samples -------------------------------------------------------------
@@ -221,7 +222,20 @@ def _(spark, sf):
     return items(spark, sf).select("item_id", step_round(F.col("item_id") * 7, STEP_ROUNDING).alias("rounded"))
 
 
-@query("l20_class_labels")
+_EDGES = (0, 50, 100, 250, 500, 1000, 2500, 5000)
+_LABEL_PARTS = ", ".join(
+    f"'>= ' || k[{i}] || 'k'" if i == len(_EDGES) else f"case when r[{i}] = 0 then '< ' || k[{i + 1}] || 'k' else k[{i}] || 'k - ' || k[{i + 1}] || 'k' end"
+    for i in range(1, len(_EDGES) + 1)
+)
+
+
+@query("l20_class_labels", over_items(
+    f"select item_id, array_to_string([{_LABEL_PARTS}], '|') as labels from labelled",
+    b=f"select item_id, release_year + 20 as y, price / 10 as p, unnest([{', '.join(map(str, _EDGES))}]) as t from items where price is not null",
+    estimated=f"select item_id, t, cast({_OWNERS.format(first='<=')} as bigint) as o from b",
+    rounded=f"select item_id, t, cast({_STEP} as bigint) as r from estimated",
+    labelled="select item_id, list(r order by t) as r, list(cast(cast(round_even(r / 1000.0, 0) as bigint) as varchar) order by t) as k from rounded group by 1",
+))
 def _(spark, sf):
     rows = items(spark, sf).where("price is not null").select("item_id", (F.col("release_year") + 20).alias("year"), (F.col("price") / 10).alias("p"))
     return L.class_labels(rows, "year", "p").select("item_id", joined("labels", "labels"))
