@@ -1,9 +1,9 @@
 """Closest entries of a vocabulary for misspelt names, found through shared rare character grams.
 
-An edit changes at most ``q`` grams of length ``q``. So an entry within ``d`` edits of a text shares a gram with it even if
-only the ``q * d + 1`` rarest grams of both are compared. Texts are looked up in rounds of growing distance: a round finds
-*every* entry whose distance is at most a given share of the longer length, so a text with ``k`` of them is settled
-for good. What no round settles is far from the whole vocabulary and is scored against all of it, block by block.
+An edit changes only the grams of length ``q`` that lie over it. So an entry within ``d`` edits of a text shares a gram with it
+even if only as many of the rarest grams of both are compared as ``d`` edits cannot change. Texts are looked up in rounds of
+growing distance: a round finds *every* entry whose distance is at most a given share of the longer length, so a text with
+``k`` of them is settled for good. What no round settles is far from the whole vocabulary and is scored against all of it, block by block.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from marquetry.sources.writers import checkpoint
 
 BLOCK = 1_000  # entries that a text is scored against at once
+CARRIED = 64  # signs of a string that travels with its grams
 SALTS = 16  # copies of each block, so that the texts of a block spread over tasks
 # gram length and greatest distance in percent of the longer length; a shared gram is sure while q * percent < 100
-ROUNDS = ((3, 12), (3, 20), (3, 30), (2, 45))
+ROUNDS = ((5, 12), (5, 19), (3, 30), (2, 45))
 
 
 def _strings(df: DataFrame, col: str, number: str, name: str) -> DataFrame:
@@ -27,39 +28,84 @@ def _strings(df: DataFrame, col: str, number: str, name: str) -> DataFrame:
     return checkpoint(rows.withColumn(number, F.monotonically_increasing_id()))
 
 
-def _grams(rows: DataFrame, number: str, name: str, q: int, percent: int) -> DataFrame:
-    """``number``, ``gram``, ``nth`` (repeats of a gram are grams of their own), ``length``, and ``need``: how many of its rarest
-    grams a string must show so that every string within ``percent`` is met."""
+def _limits(percent: int) -> Column:
+    """The distances that are asked for between a string and those of the other side (``lengths``) that may lie within ``percent``."""
+    longer = lambda n: F.greatest(F.col("length"), n)
+    near = F.filter("lengths", lambda n: F.abs(F.col("length") - n) * 100 <= longer(n) * percent)
+    return F.array_distinct(F.transform(near, lambda n: F.floor(longer(n) * percent / 100).cast("int")))
+
+
+def _grams(rows: DataFrame, number: str, name: str, q: int, lengths: Column, percent: int) -> DataFrame:
+    """``number``, ``length``, ``gram``, ``at`` (its place), for strings that have a partner by length; ``limits`` as above."""
     padded = F.concat(F.lit("\x01" * (q - 1)), F.col(name), F.lit("\x02" * (q - 1)))
-    length = F.length(name)
-    cut = F.transform(F.sequence(F.lit(1), F.length("_padded") - (q - 1)), lambda i: F.substring(F.col("_padded"), i, F.lit(q)))
-    # the longer of two strings within d edits has at most length * 100 / (100 - percent) signs
-    need = F.floor(F.floor(length * 100 / (100 - percent)) * percent / 100) * q + 1
-    rows = rows.select(number, length.alias("length"), need.alias("need"), padded.alias("_padded"))
-    counted = rows.select(number, "length", "need", F.explode(cut).alias("gram")).groupBy(number, "length", "need", "gram").count()
-    return counted.select(number, "length", "need", "gram", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("nth"))
+    cut = F.transform(
+        F.sequence(F.lit(1), F.length("_padded") - (q - 1)),
+        lambda i: F.struct(F.substring(F.col("_padded"), i, F.lit(q)).alias("gram"), i.alias("at")),
+    )
+    rows = rows.select(number, F.length(name).alias("length"), lengths.alias("lengths"), padded.alias("_padded"))
+    rows = rows.withColumn("limits", _limits(percent)).where(F.size("limits") > 0)
+    return rows.select(number, "length", "limits", F.explode(cut).alias("_g")).select(number, "length", "limits", "_g.*")
+
+
+def _rarest(grams: DataFrame, frequency: DataFrame, number: str, q: int) -> DataFrame:
+    """Per string and ``limit`` its rarest grams: as many as no ``limit`` edits can change all of, or else all.
+
+    An edit changes the grams that lie over it, so the edits needed are counted along the string; grams that only one side
+    has come first: they cost edits and meet nothing.
+    """
+    known = grams.join(frequency, "gram")
+    held = known.groupBy(number, "length", "limits").agg(F.array_sort(F.collect_list(F.struct("f", "gram", "at"))).alias("_s"))
+    held = held.withColumn("_along", F.array_sort(F.transform("_s", lambda x, i: F.struct(x["at"].alias("at"), i.alias("nth")))))
+    held = held.select(number, "length", F.explode("limits").alias("limit"), "_s", "_along")
+
+    def edits(last: Column) -> Column:
+        """Edits that the grams up to number ``last`` take at least if none of them stays."""
+        start = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n"))
+        met = lambda a, x: (x["nth"] <= last) & (x["at"] > a["upto"])
+        step = lambda a, x: F.when(met(a, x), F.struct((x["at"] + (q - 1)).alias("upto"), (a["n"] + 1).alias("n"))).otherwise(a)
+        return F.aggregate("_along", start, step)["n"]
+
+    def halved(a: Column, _: Column) -> Column:
+        middle = F.floor((a["low"] + a["high"]) / 2).cast("int")
+        enough = edits(middle) > F.col("limit")
+        low, high = F.when(enough, a["low"]).otherwise(F.least(middle + 1, a["high"])), F.when(enough, middle).otherwise(a["high"])
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    whole = F.struct(F.lit(0).alias("low"), (F.size("_s") - 1).alias("high"))
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size("_s"))).cast("int"))
+    held = held.withColumn("_last", F.get("_s", F.aggregate(rounds, whole, halved)["high"]))
+    upto = lambda x: (x["f"] < F.col("_last.f")) | ((x["f"] == F.col("_last.f")) & (x["gram"] <= F.col("_last.gram")))
+    shown = F.filter("_s", lambda x: (x["f"] > 0) & upto(x))
+    return held.select(number, "length", "limit", F.explode(shown).alias("_g")).select(number, "length", "limit", "_g.gram", "_g.at")
 
 
-def _rarest(grams: DataFrame, frequency: DataFrame, number: str) -> DataFrame:
-    """Grams that the vocabulary does not have come first and meet nothing."""
-    known = grams.join(frequency, ["gram", "nth"], "left").fillna(0, ["f"])
-    order = Window.partitionBy(number).orderBy("f", "gram", "nth")
-    return known.withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("need")).drop("at", "need")
+def _carried(grams: DataFrame, rows: DataFrame, number: str, name: str) -> DataFrame:
+    """The strings beside their grams, so that a pair is measured where it is found; long ones (null here) are fetched later."""
+    return grams.join(rows.select(number, F.when(F.length(name) <= CARRIED, F.col(name)).alias(f"_{name}")), number)
 
 
 def candidate_pairs(texts: DataFrame, words: DataFrame, q: int, percent: int) -> DataFrame:
     """``text_no``, ``word_no`` of every pair (``text_no``, ``text``; ``word_no``, ``word``) that may lie within ``percent``.
 
-    Pairs within it are never missed; ``q * percent`` must stay below 100.
+    Pairs within it are never missed; ``q * percent`` must stay below 100. A gram that stays moves by no more places than
+    there are edits.
     """
     if q * percent >= 100:
         raise ValueError("q * percent must be below 100")
-    grams = _grams(words, "word_no", "word", q, percent)
-    frequency = grams.groupBy("gram", "nth").agg(F.count(F.lit(1)).alias("f"))
-    shown = _rarest(grams, frequency, "word_no").drop("f").withColumnRenamed("length", "word_length")
-    asked = _rarest(_grams(texts, "text_no", "text", q, percent), frequency, "text_no").where("f > 0").drop("f")
-    far = F.abs(F.col("length") - F.col("word_length")) * 100 <= F.greatest("length", "word_length") * percent
-    return asked.join(shown, ["gram", "nth"]).where(far).select("text_no", "word_no").distinct()
+    lengths = {n: rows.agg(F.collect_set(F.length(n)).alias("l")).select("l").scalar() for rows, n in ((texts, "text"), (words, "word"))}
+    asked = _grams(texts, "text_no", "text", q, lengths["word"], percent)
+    shown = _grams(words, "word_no", "word", q, lengths["text"], percent)
+    # any one order serves both sides; the pairs that a gram makes are these
+    seen = asked.select("gram", F.lit(1).alias("_t"), F.lit(0).alias("_w")).unionAll(shown.select("gram", F.lit(0).alias("_t"), F.lit(1).alias("_w")))
+    frequency = seen.groupBy("gram").agg((F.sum("_t").cast("double") * F.sum("_w")).alias("f"))
+    asked = _carried(_rarest(asked, frequency, "text_no", q), texts, "text_no", "text")
+    shown = _carried(_rarest(shown, frequency, "word_no", q), words, "word_no", "word")
+    shown = shown.withColumnsRenamed({"length": "word_length", "at": "word_at"})
+    longer = F.greatest("length", "word_length")
+    far = (F.abs(F.col("length") - F.col("word_length")) * 100 <= longer * percent) & (F.floor(longer * percent / 100) == F.col("limit"))
+    met = asked.join(shown, ["gram", "limit"]).where((F.abs(F.col("at") - F.col("word_at")) <= F.col("limit")) & far)
+    near = F.expr("levenshtein(_text, _word, limit)") >= 0
+    return met.where(F.coalesce(near, F.lit(True))).select("text_no", "word_no").distinct()
 
 
 def _measured(distance: Column) -> Column:

@@ -184,6 +184,30 @@ def test_few_pairs_are_measured(spark):
         fuzzy.candidate_pairs(texts, words, 3, 40)
 
 
+def test_few_pairs_are_measured_where_names_share_their_stem(spark):
+    """All misspelt in the same stem, told apart by digits: the grams of the stem cost edits and meet nothing."""
+    names = [f"Customer#{i * 37:09d}" for i in range(2_000)]
+    df = spark.createDataFrame([(n[:4] + "0" + n[5:8] + n[9:],) for n in names[::10]], "t string")
+    vocab = spark.createDataFrame([(n,) for n in names], "w string")
+    words, texts = fuzzy._strings(vocab, "w", "word_no", "word"), fuzzy._strings(df, "t", "text_no", "text")
+    assert fuzzy.candidate_pairs(texts, words, *fuzzy.ROUNDS[1]).count() < 0.02 * texts.count() * words.count()
+    got = sorted(tuple(r) for r in fuzzy.fuzzy_lookup(df, "t", vocab, 2).collect())
+    assert got == sorted(tuple(r) for r in fuzzy.fuzzy_lookup(df, "t", vocab, 2, rounds=()).collect())
+
+
+def test_fuzzy_candidates_miss_no_pair(spark):
+    """Repeated letters, unequal lengths, strings too long to travel with their grams; every round on its own."""
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(14))) for _ in range(150)} | {"ab" * 40, "ab" * 38 + "c", "a" * 70})
+    texts = sorted({w[:i] + rng.choice(["", "b", "aa"]) + w[i + rng.randrange(2) :] for w in words for i in [rng.randrange(len(w) + 1)]})
+    w = fuzzy._strings(spark.createDataFrame([(x,) for x in words], "w string"), "w", "word_no", "word")
+    t = fuzzy._strings(spark.createDataFrame([(x,) for x in texts], "t string"), "t", "text_no", "text")
+    for q, percent in fuzzy.ROUNDS:
+        got = {(r["text"], r["word"]) for r in fuzzy.near_within(t, w, q, percent).collect()}
+        pairs = t.crossJoin(w).where(f"levenshtein(text, word) <= floor(greatest(length(text), length(word)) * {percent} / 100)")
+        assert got == {(r["text"], r["word"]) for r in pairs.collect()}
+
+
 @pytest.mark.parametrize("limit", [2_000, None])
 def test_band_join_with_windows_of_all_widths(spark, limit):
     """One window over the whole axis and 1,000 narrow ones: pairs tested stay within three times the result."""
