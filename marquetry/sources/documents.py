@@ -4,7 +4,7 @@ Spark's text source cuts a file at every ``}`` and gives each split to its own t
 piece can be judged alone but for one bit: whether it starts inside a string. Every piece is therefore summed up for both
 cases (does it end in a string, how does the nesting change), sums run along each split, and the splits of a file are
 chained by their totals - one row per split. A record ends where a ``}`` outside strings brings the nesting back
-to the root. Pieces between two such ends are put together again, wherever the splits were.
+to the root. Pieces between two such ends are put together again, wherever the splits were; a piece between two ends is a record already.
 """
 
 from __future__ import annotations
@@ -56,10 +56,12 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     not ``closed``, unless it is empty. Files are UTF-8 and not compressed; order is not kept.
     """
     along = Window.partitionBy(*SPLIT).orderBy("id")
-    sofar = along.rowsBetween(Window.unboundedPreceding, 0)
-    judged = _judged(_pieces(spark, path))
-    inside = F.coalesce(F.sum("odd").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
-    judged = judged.withColumn("inside", inside.cast("int"))
+    sofar, earlier = along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(Window.unboundedPreceding, -1)
+    length = F.octet_length("value") + F.lit(1).cast("bigint")
+    pieces = checkpoint(_judged(_pieces(spark, path)).withColumn("bytes", length))
+    # all that is sorted and summed goes without the text, which is met again at the end
+    inside = F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2
+    judged = pieces.drop("value").withColumn("inside", inside.cast("int"))
     # nesting along the split, if the split starts outside (0) or inside (1) a string
     for start in (0, 1):
         step = F.when(F.col("inside") == start, F.col("from_out")).otherwise(F.col("from_in"))
@@ -67,8 +69,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     judged = checkpoint(judged.drop("_step0", "_step1", "from_out", "from_in"))
 
     last = F.max_by(F.struct("nest0", "nest1"), "id").alias("s")
-    length = F.sum(F.octet_length("value") + F.lit(1).cast("bigint")).alias("bytes")
-    splits = judged.groupBy(*SPLIT, "size").agg(F.sum("odd").alias("odd"), length, F.max("id").alias("last"), last)
+    splits = judged.groupBy(*SPLIT, "size").agg(F.sum("odd").alias("odd"), F.sum("bytes").alias("bytes"), F.max("id").alias("last"), last)
     # with a brace after every piece the file would be too long: what follows the last one ends at the end of the file
     whole = Window.partitionBy("file")
     bare = (F.sum("bytes").over(whole) > F.col("size")) & (F.col("block") == F.max("block").over(whole))
@@ -79,13 +80,18 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     met = judged.join(splits, SPLIT)
     nest = F.col("base") + F.when(F.col("start") == 0, F.col("nest0")).otherwise(F.col("nest1"))
     ends_out = (F.col("inside") + F.col("start") + F.col("odd")) % 2 == 0
-    ended = met.select(*SPLIT, "id", "value", (ends_out & (nest == 1) & (F.col("id") != F.col("tail"))).cast("bigint").alias("ends"))
-    before = F.coalesce(F.sum("ends").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ended = checkpoint(ended.withColumn("record", before))
+    ended = met.select(*SPLIT, "id", (ends_out & (nest == 1) & (F.col("id") != F.col("tail"))).cast("bigint").alias("ends"))
+    # a piece that ends a record right after the end of another is that record
+    alone = (F.col("ends") == 1) & F.coalesce(F.lag("ends").over(along) == 1, F.lit(False))
+    ended = checkpoint(ended.select("*", F.coalesce(F.sum("ends").over(earlier), F.lit(0)).alias("record"), alone.alias("alone")))
 
     firsts = _chained(ended.groupBy(*SPLIT).agg(F.sum("ends").alias("n")), "n", "first").select(*SPLIT, "first")
+    texts = pieces.select(*SPLIT, "id", "value")
+    single = texts.join(ended.where("alone").select(*SPLIT, "id"), [*SPLIT, "id"]).select(F.concat("value", F.lit("}")).alias("text"), F.lit(True).alias("closed"))
+    parts = ended.where("not alone").join(firsts, SPLIT).select(*SPLIT, "id", "ends", (F.col("record") + F.col("first")).alias("record"))
     piece = F.struct("block", "id", "value")
-    whole = ended.join(firsts, SPLIT).groupBy("file", (F.col("record") + F.col("first")).alias("record"))
+    whole = texts.join(parts, [*SPLIT, "id"]).groupBy("file", "record")
     whole = whole.agg(F.array_sort(F.collect_list(piece)).alias("pieces"), (F.max("ends") == 1).alias("closed"))
     text = F.array_join(F.col("pieces.value"), "}")
-    return whole.select(F.when(F.col("closed"), F.concat(text, F.lit("}"))).otherwise(text).alias("text"), "closed").where("text <> ''")
+    whole = whole.select(F.when(F.col("closed"), F.concat(text, F.lit("}"))).otherwise(text).alias("text"), "closed").where("text <> ''")
+    return single.unionAll(whole)

@@ -16,7 +16,9 @@ from suite.catalog import AS_OF, raw_catalog
 from suite.items import items, over_items, query, stored
 
 ROWS_PER_FILE = 5_000  # of the exports that are one JSON document
+FILES_PER_TASK = 16
 _FOLDERS: dict[tuple[str, str], str] = {}
+_EXPORTS: set[str] = set()
 
 
 def csv_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,31 +50,55 @@ def dict_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _documents(rows: DataFrame, entry, opening: str, closing: str) -> DataFrame:
-    """One JSON document per ``ROWS_PER_FILE`` rows or so, each in a file of its own."""
-    files = -(-rows.count() // ROWS_PER_FILE)
-    number = F.pmod(F.xxhash64(rows.columns[0]), F.lit(max(1, files)))
+    """One JSON document per ``ROWS_PER_FILE`` rows or so; a task holds about ``FILES_PER_TASK`` of them."""
+    files = max(1, -(-rows.count() // ROWS_PER_FILE))
+    number = F.pmod(F.xxhash64(rows.columns[0]), F.lit(files))
     text = F.concat(F.lit(opening), F.array_join(F.collect_list("entry"), ","), F.lit(closing))
-    lines = rows.select(number.alias("file"), entry.alias("entry")).groupBy("file").agg(text.alias("value"))
-    return lines.repartitionByRange(max(1, files), "file").select("value")
+    lines = rows.select(number.alias("file"), entry.alias("entry")).repartition(-(-files // FILES_PER_TASK), "file")
+    return lines.groupBy("file").agg(text.alias("value")).select("value")
 
 
-def exports(spark: SparkSession, sf: str) -> str:
-    """Folder below the shared one that holds the three exports, written once per application."""
+def write_documents(rows: DataFrame, path: str, entry, opening: str, closing: str) -> None:
+    """Every document in a file of its own."""
+    _documents(rows, entry, opening, closing).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
+def _write_set2(spark: SparkSession, sf: str, path: str) -> None:
+    writers.write(csv_rows(spark, sf), path, fmt="csv")
+
+
+def _write_set5(spark: SparkSession, sf: str, path: str) -> None:
+    write_documents(list_rows(spark, sf), path, F.to_json(F.struct("*")), "[", "]")
+
+
+def _write_set8(spark: SparkSession, sf: str, path: str) -> None:
+    member = F.concat(F.lit('"'), F.col("game_id").cast("string"), F.lit('":'), F.to_json(F.struct("*")))
+    write_documents(dict_rows(spark, sf), path, member, "{", "}")
+
+
+_WRITERS = {"set2.csv": _write_set2, "set5.json": _write_set5, "set8.json": _write_set8}
+
+
+def folder(spark: SparkSession, sf: str) -> str:
+    """Folder below the shared one for the files of an application."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _FOLDERS:
-        root = f"{writers.shared_folder(spark)}/exports-{spark.sparkContext.applicationId}-{len(_FOLDERS)}"
-        writers.write(csv_rows(spark, sf), f"{root}/set2.csv", fmt="csv")
-        record = F.to_json(F.struct("*"))
-        _documents(list_rows(spark, sf), record, "[", "]").write.mode("overwrite").text(f"{root}/set5.json")
-        member = F.concat(F.lit('"'), F.col("game_id").cast("string"), F.lit('":'), record)
-        _documents(dict_rows(spark, sf), member, "{", "}").write.mode("overwrite").text(f"{root}/set8.json")
-        _FOLDERS[key] = root
+        _FOLDERS[key] = f"{writers.shared_folder(spark)}/exports-{key[0]}-{len(_FOLDERS)}"
     return _FOLDERS[key]
 
 
+def export(spark: SparkSession, sf: str, name: str) -> str:
+    """Path of one of the three exports, written once per application when it is first read."""
+    path = f"{folder(spark, sf)}/{name}"
+    if path not in _EXPORTS:
+        _WRITERS[name](spark, sf, path)
+        _EXPORTS.add(path)
+    return path
+
+
 def read_csv_export(spark, sf):
     schema = "app_id string, title string, date_release string, win string, mac string, linux string, price_final string, price_original string, steam_deck string"
-    return readers.read_csv(spark, f"{exports(spark, sf)}/set2.csv", schema)
+    return readers.read_csv(spark, export(spark, sf, "set2.csv"), schema)
 
 
 def read_list_export(spark, sf, split=False):
@@ -80,12 +106,12 @@ def read_list_export(spark, sf, split=False):
         "appid long, name string, release_date string, developer string, publisher string, categories string, genres string, "
         "positive_ratings long, negative_ratings long, average_playtime double, median_playtime double, owners string, price double"
     )
-    return readers.read_json_list(spark, f"{exports(spark, sf)}/set5.json", schema, split)
+    return readers.read_json_list(spark, export(spark, sf, "set5.json"), schema, split)
 
 
 def read_dict_export(spark, sf, split=False):
     schema = T.StructType.fromDDL("early_access string, title string, tag_list string, vr_only string, vr_supported string")
-    return readers.read_json_dict(spark, f"{exports(spark, sf)}/set8.json", schema, key_col="game_id", split=split)
+    return readers.read_json_dict(spark, export(spark, sf, "set8.json"), schema, key_col="game_id", split=split)
 
 
 @query("a01_csv_export", over_items("""select cast(item_id as varchar) as app_id, 'The "' || item_id || '", a title' as title, strftime(release_date, '%Y-%m-%d') as date_release, price from items"""))
@@ -97,7 +123,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Lists and quotes through a CSV sink in folders by model, and back."""
     title = F.concat(F.lit('a "'), F.col("item_id").cast("string"), F.lit('", b'))
-    path = f"{exports(spark, sf)}/written.csv"
+    path = f"{folder(spark, sf)}/written.csv"
     writers.write(items(spark, sf).select("item_id", title.alias("title"), "price", "tags", "model"), path, fmt="csv", partition_by=["model"])
     back = readers.read_csv(spark, path, "item_id long, title string, price double, tags string, model string")
     return back.withColumn("tags", F.array_join(F.from_json("tags", "array<string>"), "|"))
@@ -183,7 +209,7 @@ def _(spark, sf):
 @query("a04_named_layer", over_items("select item_id as appid, pos * 100 + neg * 100 as steam_total_reviews from items"))
 def _(spark, sf):
     """A layer is written under its name, loaded back, and its columns pruned at the scan."""
-    root = f"{exports(spark, sf)}/layers"
+    root = f"{folder(spark, sf)}/layers"
     writers.write(preprocessed(spark, sf), f"{root}/preprocessed")
     return readers.load(spark, root, "preprocessed").select("appid", "steam_total_reviews")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marquetry.operators import catalog
 from marquetry.sources import readers, writers
-from suite.build import _documents, exports, read_csv_export, read_dict_export, read_list_export
+from suite.build import folder, read_csv_export, read_dict_export, read_list_export, write_documents
 from suite.items import items, over_items, query
 
 _DATE, _SQL_DATE = "date_format(release_date, 'yyyy-MM-dd')", "strftime(release_date, '%Y-%m-%d')"
@@ -243,12 +243,12 @@ _WRITTEN: set[str] = set()
 
 def files(spark: SparkSession, sf: str) -> str:
     """Folder of the exports that ``suite.build`` does not write, in the formats they come in; written once per application."""
-    root = exports(spark, sf)
+    root = folder(spark, sf)
     if root not in _WRITTEN:
         for name, (which, columns) in FILES.items():
             rows = items(spark, sf).where(which).select(*[F.expr(v).cast(t).alias(c) for c, (t, v) in columns.items()])
             if name == "set9":
-                _documents(rows, F.to_json(F.struct("*")), "[", "]").write.mode("overwrite").text(f"{root}/{name}.json")
+                write_documents(rows, f"{root}/{name}.json", F.to_json(F.struct("*")), "[", "]")
             else:
                 writers.write(rows, f"{root}/{name}.csv", fmt="csv")
         writers.write(completion_times(spark, sf), f"{root}/set4.csv", fmt="csv")

@@ -6,7 +6,9 @@ from pyspark.sql import types as T
 
 from marquetry.functions import parsing as P
 from marquetry.operators import mapping
-from marquetry.sources import profile, readers, writers
+from marquetry.sources import documents, profile, readers, writers
+from suite import build
+from suite.items import QUERIES
 
 
 def test_csv_with_quotes_and_line_breaks(spark, tmp_path):
@@ -68,6 +70,31 @@ def test_small_documents_and_broken_ones(spark, tmp_path):
         readers.read_json_list(spark, str(tmp_path / "bad.json"), "sid long", split=True).collect()
 
 
+def test_text_of_a_split_document_is_stored_once(spark, tmp_path, monkeypatch):
+    """What is sorted and summed goes without it; records of one piece and of many come out alike."""
+    stored = []
+    monkeypatch.setattr(documents, "checkpoint", lambda df: stored.append(df.columns) or writers.checkpoint(df))
+    rows = [{"sid": i, "n": {"a": [{"b": "}{"}]} if i % 3 == 0 else None} for i in range(200)]
+    (tmp_path / "x.json").write_text(json.dumps(rows))
+    got = readers.read_json_list(spark, str(tmp_path / "x.json"), "sid long, n struct<a:array<struct<b:string>>>", split=True).collect()
+    assert sorted((r["sid"], r["n"] is not None) for r in got) == [(i, i % 3 == 0) for i in range(200)]
+    assert sum("value" in columns for columns in stored) == 1
+
+
+def test_a_query_writes_only_the_exports_it_reads(spark, tmp_path, monkeypatch):
+    orders = spark.range(40).selectExpr("id as o_orderkey", "'F' as o_orderstatus", "100000.0D as o_totalprice", "timestamp'2001-02-03' as o_orderdate", "'1-URGENT' as o_orderpriority")
+    lines = spark.range(80).selectExpr("id % 40 as l_orderkey", "id % 5 as l_partkey", "1.0D as l_quantity", "'A' as l_returnflag")
+    parts = spark.range(5).selectExpr("id as p_partkey", "concat('hot ring ', id) as p_name")
+    for name, df in (("orders", orders), ("lineitem", lines), ("part", parts)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    written = []
+    monkeypatch.setattr(build, "_WRITERS", {n: lambda *a, n=n, f=f: written.append(n) or f(*a) for n, f in build._WRITERS.items()})
+    assert QUERIES["a06_written_csv"](spark, str(tmp_path)).count() == 40 and written == []
+    assert QUERIES["a02_json_list_split"](spark, str(tmp_path)).count() == 32 and written == ["set5.json"]
+    assert QUERIES["a03_json_dict_split"](spark, str(tmp_path)).count() == 30 and written == ["set5.json", "set8.json"]
+    assert QUERIES["a02_json_list_export"](spark, str(tmp_path)).count() == 32 and written == ["set5.json", "set8.json"]
+
+
 def test_layers_and_null_check(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, "b")], "appid long, name string")
     writers.write(df, str(tmp_path / "preprocessed"))
