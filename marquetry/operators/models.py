@@ -191,10 +191,9 @@ def what_if(
     kwargs = {} if tests is None else {"tests": tests}
     rows = what_if_rows(base.withColumn("_key", F.struct(candidate, "_base")).drop(candidate, "_base"), "_key", baseline=baseline, **kwargs)
     scored = score(rows, models, classes).withColumn("score", expected_class(F.col("blend")) - F.col("_key._base"))
-    kept = scored.where(F.abs("score") > cutoff)
-    return kept.select(F.col(f"_key.{candidate}").alias(candidate), "change_feature", "change_value", "score").orderBy(
-        candidate, F.desc("score"), "change_feature", "change_value"
-    )
+    # stored: the filter would repeat the models below the projections, and the sort would run them twice
+    scored = checkpoint(scored.select(F.col(f"_key.{candidate}").alias(candidate), "change_feature", "change_value", "score"))
+    return scored.where(F.abs("score") > cutoff).orderBy(candidate, F.desc("score"), "change_feature", "change_value")
 
 
 # -- validation and search ----------------------------------------------------------

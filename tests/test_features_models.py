@@ -55,7 +55,7 @@ def test_multi_hot_places_need_no_vocabulary_in_the_driver(spark, monkeypatch):
 def test_rows_with_missing_features_are_scored(spark):
     rows = [(i, float(i % 7), float(i % 3), i % 2) for i in range(60)]
     train = spark.createDataFrame(rows, "id int, x double, `~y` double, label int")
-    fitted = models.train_models(train, ["x", "~y"], {"dt": models.classifier_specs("label")["dt"]})
+    fitted = models.train_models(train, ["x", "~y"], {"dt": ML.classifier_specs("label")["dt"]})
     some = spark.createDataFrame([(1, None, 1.0), (2, float("nan"), None), (3, 1.0, 1.0)], "id int, x double, `~y` double")
     out = models.score(some, fitted, 2).collect()
     assert len(out) == 3 and all(r["blend_class"] is not None for r in out)
@@ -239,3 +239,15 @@ def test_label_codes_of_any_number_of_values(spark, heavy):
     assert [tuple(r) for r in got.orderBy("id").collect()] == list(zip(range(400), *[codes(at) for at in range(1, 5)]))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") <= (0 if heavy > 50 else 2)
+
+
+def test_what_if_runs_the_models_once_per_change(spark):
+    """Filter and sort meet stored scores; neither repeats the models."""
+    rows = spark.createDataFrame([(i, float(i % 7), i % 2, float((i % 7 > 3) + (i % 2))) for i in range(60)], ["id", "price", "~tag", "label"])
+    model = models.train_models(rows, ["price", "~tag"], {"dt": models.classifier_specs("label")["dt"]})
+    out = models.what_if(rows.drop("label"), "id", model, 3, tests={"price": [1.0, 6.0]})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan and "Generate" not in plan and "Sort" in plan
+    got = [tuple(r) for r in out.collect()]
+    assert got == sorted(got, key=lambda r: (r[0], -r[3], r[1], r[2])) and all(abs(r[3]) > 0.025 for r in got)
+    assert {r[0] for r in got} == set(range(60)) and ("~tag", 1.0, 1.0) in {(r[1], r[2], round(r[3], 6)) for r in got if r[0] == 0}
