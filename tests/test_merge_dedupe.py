@@ -184,6 +184,18 @@ def test_few_pairs_are_measured(spark):
         fuzzy.candidate_pairs(texts, words, 3, 40)
 
 
+def test_merge_all_moves_rows_as_they_came(spark):
+    """One exchange for the rows with a key, no aggregate before it; nulls, empty and missing values resolve as ever."""
+    a = spark.createDataFrame([(1, 0, ["x"], None), (2, 5, None, "u"), (None, 7, [], "v")], "k int, n int, t array<string>, s string")
+    b = spark.createDataFrame([(1, 3, ["y", "x"]), (3, None, ["z"]), (None, 8, None)], "k int, n int, t array<string>")
+    only = spark.createDataFrame([(3,), (4,)], "k int")
+    out = merge.merge_all([(a, {}), (b, {"t": merge.union_lists_or_either}), (only, {})], "k")
+    got = sorted(map(str, (tuple(r) for r in out.collect())))
+    assert got == sorted(map(str, [(1, 3, ["x", "y"], None), (2, 5, None, "u"), (3, None, ["z"], None), (4, None, None, None), (None, 7, [], "v"), (None, 8, None, None)]))
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Aggregate") < plan.rindex("Aggregate") < plan.index("Exchange")
+
+
 def test_few_pairs_are_measured_where_names_share_their_stem(spark):
     """All misspelt in the same stem, told apart by digits: the grams of the stem cost edits and meet nothing."""
     names = [f"Customer#{i * 37:09d}" for i in range(2_000)]
