@@ -216,22 +216,26 @@ def _verdicts(p: Column, strength: Column) -> dict[str, Column]:
 
 
 def numeric_factors(df: DataFrame, metric: str, factors: Sequence[Factor]) -> DataFrame:
-    """Fit every numeric factor in one long-form pass; verdicts by p, f squared and R squared."""
-    items = []
-    for f in factors:
-        x = f.value.cast("double")
-        items.append(F.struct(F.lit(f.name).alias("factor"), (F.when(f.where, x) if f.where is not None else x).alias("x")))
-    long = df.select(F.col(metric).cast("double").alias("y"), F.explode(F.array(*items)).alias("_f"))
-    long = long.select("y", "_f.factor", "_f.x").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    """Fit every numeric factor in long form, those of equal trims together; verdicts by p, f squared and R squared."""
+
+    def long(chosen: Sequence[Factor]) -> DataFrame:
+        """Only what is asked for is laid out: the quantiles of a trim read their rows several times."""
+        items = []
+        for f in chosen:
+            x = f.value.cast("double")
+            items.append(F.struct(F.lit(f.name).alias("factor"), (F.when(f.where, x) if f.where is not None else x).alias("x")))
+        out = df.select(F.col(metric).cast("double").alias("y"), F.explode(F.array(*items)).alias("_f"))
+        return out.select("y", "_f.factor", "_f.x").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+
     parts = []
-    plain = [f.name for f in factors if f.trim is None]
+    plain = [f for f in factors if f.trim is None]
     if plain:
-        parts.append(long.where(F.col("factor").isin(*plain)))
+        parts.append(long(plain))
     for limits in sorted({f.trim for f in factors if f.trim}):
-        names = [f.name for f in factors if f.trim == limits]
-        chosen = long.where(F.col("factor").isin(*names))
-        bounds = exact_quantiles(chosen, "x", {"lo": limits[0], "hi": limits[1]}, ["factor"], len(names), count_as="_w")
-        kept = attach_group_stats(chosen, bounds, ["factor"], "_w", len(names)).where(F.col("x").between(F.col("lo"), F.col("hi")))
+        own = [f for f in factors if f.trim == limits]
+        chosen = long(own)
+        bounds = exact_quantiles(chosen, "x", {"lo": limits[0], "hi": limits[1]}, ["factor"], len(own), count_as="_w")
+        kept = attach_group_stats(chosen, bounds, ["factor"], "_w", len(own)).where(F.col("x").between(F.col("lo"), F.col("hi")))
         parts.append(kept.select("y", "factor", "x"))
     rows = reduce(DataFrame.unionByName, parts)
     result = poly_regression(rows, "x", "y", {f.name: f.degree for f in factors}, ["factor"], len(factors))

@@ -171,3 +171,14 @@ def test_triangular_mean_against_brute_force(spark):
     for c, h in zip(centers, halves):
         w = [(max(0.0, 1 - abs(x - c) / h), v) for x, v in xs]
         assert got[c] == pytest.approx(sum(a * v for a, v in w) / sum(a for a, _ in w))
+
+
+def test_a_trim_reads_only_its_own_factors(spark):
+    df = spark.range(200).select(*[(F.col("id") * k % 97).cast("double").alias(n) for n, k in (("y", 7), ("alpha", 3), ("beta", 5), ("gamma", 11))])
+    trims = {"alpha": None, "beta": (0.05, 0.95), "gamma": (0.0, 0.9)}
+    factors = [stats.Factor(n, F.col(n), trim=t) for n, t in trims.items()]
+    out = stats.numeric_factors(df, "y", factors)
+    laid = [line for line in out._jdf.queryExecution().analyzed().toString().splitlines() if "Generate explode(array(struct(factor" in line]
+    assert laid and all(sum(f"struct(factor, {n}," in line for n in trims) == 1 for line in laid)
+    alone = [tuple(stats.numeric_factors(df, "y", [f]).first()) for f in factors]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, alone))
