@@ -137,6 +137,7 @@ def controller_code(col: str | Column) -> Column:
 
 
 HEAVY_CODES = 10_000  # most frequent values whose codes are broadcast
+HEAVY_TERMS = 100_000  # most frequent terms of a vocabulary whose places are
 
 
 def label_codes(df: DataFrame, col: str, order_col: str) -> DataFrame:
@@ -224,13 +225,16 @@ def multi_hot_places(df: DataFrame, col: str, out: str) -> tuple[DataFrame, Data
     stored first, so ids need not exist or differ; the vocabulary stays a distributed table, which the pairs of row and
     term meet in a join safe for hot terms.
     """
-    rows = checkpoint(df.withColumn("_row", F.monotonically_increasing_id()))
-    pairs = rows.select("_row", F.explode(F.array_distinct(col)).alias("_term")).where("_term is not null")
-    terms = pairs.select(F.col("_term").alias("term")).distinct().withColumn("_order", F.xxhash64("term"))
-    codes = checkpoint(dense_index(checkpoint(terms), "_order", "code", tie="term").select("term", "code"))
-    met = lookup_join(pairs, codes, "_term", "term")
+    given = {"_row": F.monotonically_increasing_id(), "_known": F.col(f"`{col}`").isNotNull()}
+    rows = checkpoint(df.withColumns({**given, col: F.array_distinct(F.array_compact(col))}))
+    pairs = rows.select("_row", F.explode(col).alias("_term"))
+    # the terms are counted where they are found, so the pairs need not be read again to see which are hot
+    terms = pairs.groupBy(F.col("_term").alias("term")).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_order", F.xxhash64("term"))
+    counted = checkpoint(dense_index(checkpoint(terms), "_order", "code", tie="term").select("term", "code", "_rows"))
+    codes = counted.select("term", "code")
+    met = lookup_join(pairs, codes, "_term", "term", HEAVY_TERMS, counted.select(F.col("term").alias("_k"), F.col("_rows").alias("_w")))
     places = met.groupBy("_row").agg(F.sort_array(F.collect_list("code")).alias("_places"))
-    own = rows.withColumn("_known", F.col(f"`{col}`").isNotNull()).drop(col)
+    own = rows.drop(col)
     none = F.array().cast("array<bigint>")
     filled = own.join(places, "_row", "left").withColumn(out, F.when(F.col("_known"), F.coalesce("_places", none)))
     return filled.drop("_row", "_known", "_places"), codes

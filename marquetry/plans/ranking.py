@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquetry.plans.skew import scalar_row
+from marquetry.plans.skew import with_scalars
 from marquetry.sources.writers import checkpoint
 
 BUCKETS = 256
+STEP = 16  # bounds passed over at a time
 
 
 def dense_index(df: DataFrame, order_col: str, out: str, tie: str | None = None, buckets: int = BUCKETS) -> DataFrame:
@@ -20,10 +21,13 @@ def dense_index(df: DataFrame, order_col: str, out: str, tie: str | None = None,
     on its own, and the bucket's offset - at most ``buckets`` values - is added.
     """
     points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    bounds = scalar_row(df.agg(F.percentile_approx(order_col, points, F.lit(10_000)).alias("b")))
-    placed = df.withColumn("_bounds", bounds["b"]).withColumn(
-        "_bucket", F.expr(f"size(filter(_bounds, b -> b < `{order_col}`))")
-    ).drop("_bounds")
+    bounds = df.agg(F.percentile_approx(order_col, points, F.lit(10_000)).alias("all"))
+    bounds = bounds.select("all", F.filter("all", lambda b, i: i % STEP == STEP - 1).alias("some"))
+    below = lambda bs: F.size(F.filter(bs, lambda b: b < F.col(f"`{order_col}`")))
+    # the bounds are sorted: every STEP-th is compared, then those of one step
+    placed = with_scalars(df, bounds, "_bounds").withColumn("_passed", below(F.col("_bounds.some")) * STEP)
+    placed = placed.withColumn("_bucket", F.col("_passed") + below(F.slice("_bounds.all", F.col("_passed") + 1, STEP)))
+    placed = placed.drop("_bounds", "_passed")
     sizes = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_c"))
     # at most `buckets` rows from here on
     sizes = sizes.withColumn(

@@ -87,15 +87,19 @@ def attach_group_stats(
     return joined.select(*[F.col(f"l.`{c}`") for c in rows.columns], *values)
 
 
-def lookup_join(rows: DataFrame, table: DataFrame, key: str, table_key: str, heavy: int = HEAVY_GROUPS) -> DataFrame:
+def lookup_join(
+    rows: DataFrame, table: DataFrame, key: str, table_key: str, heavy: int = HEAVY_GROUPS, counts: DataFrame | None = None
+) -> DataFrame:
     """Left join of ``rows`` with a table of one row per ``table_key``, safe for hot and null keys.
 
     Rows of the ``heavy`` most frequent keys meet their match by broadcast, whether it exists or not;
-    rows without a key need none; only the others are shuffled.
+    rows without a key need none; only the others are shuffled. A caller that has counted the rows of each key passes
+    ``counts`` (``_k`` and ``_w``), and they are not counted again.
     """
     payload = [c for c in table.columns if c != table_key]
     known = rows.where(F.col(key).isNotNull())
-    counts = known.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_w"))
+    if counts is None:
+        counts = known.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_w"))
     top = counts.orderBy(F.desc("_w"), "_k").limit(heavy).select("_k")
     table = table.select(F.col(table_key).alias("_t"), *payload)
     matched = table.join(F.broadcast(top), F.col("_t") == F.col("_k"), "left_semi")

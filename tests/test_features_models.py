@@ -251,3 +251,15 @@ def test_what_if_runs_the_models_once_per_change(spark):
     got = [tuple(r) for r in out.collect()]
     assert got == sorted(got, key=lambda r: (r[0], -r[3], r[1], r[2])) and all(abs(r[3]) > 0.025 for r in got)
     assert {r[0] for r in got} == set(range(60)) and ("~tag", 1.0, 1.0) in {(r[1], r[2], round(r[3], 6)) for r in got if r[0] == 0}
+
+
+def test_multi_hot_places_count_terms_once(spark, monkeypatch):
+    seen, join = [], features.lookup_join
+    monkeypatch.setattr(features, "HEAVY_TERMS", 2)
+    monkeypatch.setattr(features, "lookup_join", lambda *a: seen.append({r["_k"]: r["_w"] for r in a[5].collect()}) or join(*a))
+    df = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["a", None]), (3, None), (4, ["c", "a", "b"])], "id int, t array<string>")
+    hot, codes = features.multi_hot_places(df, "t", "v")
+    assert seen == [{"a": 3, "b": 2, "c": 1}]
+    names = {r["code"]: r["term"] for r in codes.collect()}
+    assert codes.columns == ["term", "code"]
+    assert {r["id"]: r["v"] and sorted(names[p] for p in r["v"]) for r in hot.collect()} == {1: ["a", "b"], 2: ["a"], 3: None, 4: ["a", "b", "c"]}

@@ -111,3 +111,13 @@ def test_places_in_a_global_order(spark):
     want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
     assert [(r["id"], r["place"]) for r in out] == [(r[0], k + 1) for k, r in enumerate(want)]
     assert place_rows(df.limit(0), [F.asc("id")]).collect() == []
+
+
+def test_numbering_at_the_bounds_of_all_buckets(spark):
+    rows = spark.range(5_000).select(F.col("id"), F.floor(F.col("id") / 7).alias("v")).repartition(5)
+    for buckets in (1, 2, 16, 17, 256):
+        out = dense_index(rows, "v", "n", tie="id", buckets=buckets).where("n <> id or n is null")
+        assert out.count() == 0
+    # every STEP-th bound is compared, then those of one step
+    plan = dense_index(rows, "v", "n", tie="id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" in plan
