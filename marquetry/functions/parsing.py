@@ -120,12 +120,13 @@ def to_date(col: ColumnLike) -> Column:
 
 
 # --- fixed value: a quoted string inside a list literal ---
-_QUOTED = r"""\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'"""
+_QUOTED = r"""\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|'[^'\\]*+(?:\\.[^'\\]*+)*+'"""  # possessive: no state per character
 
 
 def _list_literal(col: ColumnLike) -> Column:
     """A list written as text, double- or single-quoted, with ``\\xNN`` escapes."""
-    text = F.regexp_replace(_c(col), r"\\x([0-9A-Fa-f]{2})", r"\\u00$1")
+    c = _c(col)
+    text = F.when(F.contains(c, F.lit(r"\x")), F.regexp_replace(c, r"\\x([0-9A-Fa-f]{2})", r"\\u00$1")).otherwise(c)
     return F.from_json(text, "array<string>", {"allowBackslashEscapingAnyCharacter": "true"})
 
 
@@ -167,14 +168,15 @@ def normalize_list(
 
 def normalize_vocab(col: ColumnLike, vocab: Sequence[str] = LANGUAGES, is_text: bool = False) -> Column:
     """Keep allowed terms; map other elements to the first (alphabetical) allowed term they contain."""
-    terms = F.array(*[F.lit(v) for v in sorted(set(vocab))])
+    allowed = sorted(set(vocab))
+    terms = F.array(*[F.lit(v) for v in allowed])
 
-    def clean(element: Column) -> Column:
-        low = F.lower(element)
+    def clean(low: Column) -> Column:
         found = F.get(F.filter(terms, lambda t: F.contains(low, t)), F.lit(0))
-        return F.when(F.array_contains(terms, low), low).otherwise(found)
+        return F.when(low.isin(allowed), low).otherwise(found)
 
-    cleaned = F.transform(read_list(col, is_text), clean)
+    # lower-cased before: in one function with the search it would be done again for every term
+    cleaned = F.transform(F.transform(read_list(col, is_text), F.lower), clean)
     return F.array_sort(F.array_distinct(F.filter(cleaned, lambda x: x.isNotNull())))
 
 

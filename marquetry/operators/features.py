@@ -317,9 +317,9 @@ def profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def flag_terms(df: DataFrame, cols: Mapping[str, str] = LIST_PREFIXES) -> dict[str, list[str]]:
     """The sorted terms of each list column: what becomes flag columns, so its number is that of columns."""
     have = [c for c in cols if c in df.columns]
-    named = lambda c: lambda t: F.struct(F.lit(c).alias("column"), t.alias("term"))
-    pairs = F.flatten(F.array(*[F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), named(c)) for c in have]))
-    rows = df.select(F.explode(pairs).alias("_p")).select("_p.*").where("term is not null").distinct().collect()
+    # a list is laid out whole and then by its terms: no struct is made per term
+    lists = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("terms")) for c in have])
+    rows = df.select(F.inline(lists)).select("column", F.explode("terms").alias("term")).where("term is not null").distinct().collect()
     return {c: sorted(r["term"] for r in rows if r["column"] == c) for c in have}
 
 

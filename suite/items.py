@@ -51,20 +51,18 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derive_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines are aggregated per order in one shuffle; the keyword state is a set of distinct words."""
+    """Lines are aggregated per order in one shuffle; the keyword state is a set of distinct names, whose words follow from it."""
     orders, lines, parts = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
     named = lines.join(parts.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"), "left")
-    words = named.select(
-        "l_orderkey", "l_quantity", "l_returnflag", F.posexplode_outer(F.split("p_name", " ")).alias("_pos", "_w")
-    )
-    # a line counts once, at its first word
-    first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
-    per_order = words.groupBy("l_orderkey").agg(
-        F.sum(F.when(first, F.col("l_quantity"))).alias("owners"),
-        F.count_if(first & (F.col("l_returnflag") == "A")).alias("pos"),
-        F.count_if(first & (F.col("l_returnflag") != "A")).alias("neg"),
-        F.collect_set("_w").alias("tags"),
+    per_order = named.groupBy("l_orderkey").agg(
+        F.sum("l_quantity").alias("owners"),
+        F.count_if(F.col("l_returnflag") == "A").alias("pos"),
+        F.count_if(F.col("l_returnflag") != "A").alias("neg"),
+        F.collect_set("p_name").alias("_names"),
     )
+    # joined by what parts the words, so one split gives the words of all names; no name is not an empty one
+    words = F.split(F.array_join("_names", " "), " ")
+    tags = F.when(F.size("_names") > 0, F.array_distinct(words)).otherwise(F.array().cast("array<string>"))
     total = F.col("pos") + F.col("neg")
     price = F.when(F.col("o_totalprice") < 50000, 0.0).when(F.col("o_totalprice") < 490000, F.col("o_totalprice") / 1000.0)
     return orders.join(per_order, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(
@@ -79,7 +77,7 @@ def derive_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "neg",
         total.alias("total_reviews"),
         F.try_divide(F.col("pos").cast("double"), total).alias("ratio"),
-        F.array_sort(F.coalesce("tags", F.array().cast("array<string>"))).alias("tags"),
+        F.array_sort(tags).alias("tags"),
     )
 
 

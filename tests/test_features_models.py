@@ -253,6 +253,14 @@ def test_what_if_runs_the_models_once_per_change(spark):
     assert {r[0] for r in got} == set(range(60)) and ("~tag", 1.0, 1.0) in {(r[1], r[2], round(r[3], 6)) for r in got if r[0] == 0}
 
 
+def test_flag_terms_make_no_struct_per_term(spark, monkeypatch):
+    rows = [(["b", "a"], None), (None, ["x"]), ([None, "a"], []), ([], ["x", "y"])]
+    df = spark.createDataFrame(rows, "tags array<string>, genres array<string>")
+    monkeypatch.setattr(features.F, "transform", None)
+    assert features.flag_terms(df) == {"genres": ["x", "y"], "tags": ["a", "b"]}
+    assert features.flag_terms(df.limit(0)) == {"genres": [], "tags": []}
+
+
 def test_multi_hot_places_count_terms_once(spark, monkeypatch):
     seen, join = [], features.lookup_join
     monkeypatch.setattr(features, "HEAVY_TERMS", 2)

@@ -134,3 +134,9 @@ def test_distribution_tails():
     assert f_tail(3.0, 1, 1) == pytest.approx(1 / 3, abs=1e-12)
     assert beta_inc(2, 3, 0.5) == pytest.approx(0.6875)
     assert t_two_sided(0.0, 5) == 1.0
+
+
+def test_long_elements_of_a_list_literal(spark):
+    long = "a" * 30_000
+    assert texts(spark, [f"['{long}', \"b\\'c\"]"], P.read_list("c")) == [[long, "b'c"]]
+    assert texts(spark, [r"['caf\xE9', 'x']", "['English', 'french (audio)', 'none']"], P.normalize_vocab("c", ["english", "french", "x"], is_text=True)) == [["x"], ["english", "french"]]

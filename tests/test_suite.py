@@ -51,3 +51,21 @@ def test_one_shuffle_merge_has_one_exchange(spark):
     one = entry.queries()["d05_merge_all_one_shuffle"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     fold = entry.queries()["d05_merge_fold"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert one.count("Exchange hashpartitioning") == 1 < fold.count("Exchange hashpartitioning")
+
+
+def test_lines_of_an_order_are_not_repeated_per_word(spark, tmp_path):
+    from suite.items import derive_items
+
+    parts = [(1, "red  bolt"), (2, ""), (3, None), (3, "blue bolt"), (4, " bolt")]
+    lines = [(1, 1, 2.0, "A"), (1, 3, 5.0, "R"), (2, 2, 1.0, None), (3, 9, 4.0, "A"), (3, 3, 1.0, "N"), (None, 1, 1.0, "A"), (5, 4, 1.0, "A"), (5, 4, 1.0, "A"), (6, None, 3.0, "A")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = spark.range(1, 7).selectExpr("id o_orderkey", "timestamp'2020-01-02' o_orderdate", "60000.0d o_totalprice", "'F' o_orderstatus", "'p' o_orderpriority")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    out = derive_items(spark, str(tmp_path))
+    got = {r["item_id"]: (r["owners"], r["pos"], r["neg"], r["tags"]) for r in out.collect()}
+    assert got == {
+        1: (12.0, 1, 2, ["", "blue", "bolt", "red"]), 2: (1.0, 0, 0, [""]), 3: (6.0, 1, 2, ["blue", "bolt"]),
+        4: (None, None, None, []), 5: (2.0, 2, 0, ["", "bolt"]), 6: (3.0, 1, 0, []),
+    }
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
