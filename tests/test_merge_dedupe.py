@@ -254,3 +254,41 @@ def test_no_block_of_a_hot_key_is_large(spark):
     blocks = merge.paired(left, right, "k", block=200).where("m.k = 0").groupBy("m._at__m", "m._at__s").count().collect()
     sizes = [r["count"] for r in blocks]
     assert sum(sizes) == 6_000 * 600 and len(sizes) == 30 * 3 and max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+def _copies(spark, rows, block=2):
+    """Pairs, blocks, rows copied into blocks and tasks for a key that is all of two sides of ``rows`` rows."""
+    left, right = (spark.range(rows).select(F.lit(0).alias("k"), F.col("id").alias(c)) for c in "ab")
+    found = merge.paired(left, right, "k", block=block).select("m._at__m", "m._at__s", "a", "b", F.spark_partition_id().alias("task"))
+    blocks = found.groupBy("_at__m", "_at__s").agg(F.count("*").alias("n"), F.count_distinct("a").alias("a"), F.count_distinct("b").alias("b"), F.max("task").alias("task")).collect()
+    return sum(r["n"] for r in blocks), len(blocks), sum(r["a"] + r["b"] for r in blocks), len({r["task"] for r in blocks}), max(max(r["a"], r["b"]) for r in blocks)
+
+
+def test_copies_of_a_hot_key_grow_with_its_rows(spark):
+    """With blocks of a fixed width, twice the rows are copied four times as often; few bytes make many pairs, but not one task."""
+    pairs, blocks, copied, tasks, _ = _copies(spark, 400)
+    pairs2, blocks2, copied2, _, _ = _copies(spark, 800)
+    assert (pairs, pairs2) == (400 * 400, 800 * 800)
+    assert copied2 < 2.5 * copied and tasks == 8
+    assert blocks <= merge.BLOCKS and blocks2 <= merge.BLOCKS
+
+
+def test_blocks_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(merge, "BLOCKS", 4)
+    monkeypatch.setattr(merge, "WIDEST", 50)
+    pairs, blocks, _, _, widest = _copies(spark, 400)
+    assert pairs == 400 * 400 and blocks == 64 and widest < 2 * 50  # 200 rows wide without the bound
+
+
+def test_wide_blocks_lose_no_pair(spark, monkeypatch):
+    """Hot on both sides, on one side, null keys, keys of different types, rows alike."""
+    monkeypatch.setattr(merge, "BLOCKS", 9)
+    left = [(7 if i % 2 == 0 else None if i % 50 == 1 else i % 40, f"a{i % 90}", i % 3 if i % 7 else None) for i in range(200)] + [(-2, f"{i}", 1) for i in range(30)]
+    right = [(7 if i % 2 == 0 else None if i % 50 == 1 else i % 60, i % 5, f"b{i}") for i in range(120)] + [(-3, 4, "y")] * 25
+    master = spark.createDataFrame(left, "k int, a string, n int").repartition(4)
+    incoming = spark.createDataFrame(right, "k long, n int, b string").repartition(4)
+    got = sorted(map(str, merge.merge_sources(master, incoming, "k", block=5).collect()))
+    keys = {k for k, _, _ in left} & {k for k, _, _ in right} - {None}
+    want = [(k, a, n or o, b) for k, a, n in left if k in keys for j, o, b in right if j == k]
+    want += [(k, a, n or None, None) for k, a, n in left if k not in keys] + [(k, None, o, b) for k, o, b in right if k not in keys]
+    assert got == sorted(f"Row(k={k!r}, a={a!r}, n={n!r}, b={b!r})" for k, a, n, b in want)
