@@ -19,9 +19,16 @@ def _csv_ready(df: DataFrame) -> DataFrame:
     )
 
 
-def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
-    """Write Parquet, or CSV with nested values as JSON text."""
+PACKED_ROWS = 250_000  # rows of a compressed file, which one task reads whole
+
+
+def write(
+    df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", partition_by: list[str] | None = None, packed: bool = False
+) -> None:
+    """Write Parquet, or CSV with nested values as JSON text; ``packed`` CSV is compressed, in files of at most ``PACKED_ROWS`` rows."""
     writer = (_csv_ready(df) if fmt == "csv" else df).write.mode(mode)
+    if packed and fmt == "csv":
+        writer = writer.option("compression", "gzip").option("maxRecordsPerFile", PACKED_ROWS)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":

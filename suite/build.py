@@ -58,22 +58,23 @@ def _documents(rows: DataFrame, entry, opening: str, closing: str) -> DataFrame:
     return lines.groupBy("file").agg(text.alias("value")).select("value")
 
 
-def write_documents(rows: DataFrame, path: str, entry, opening: str, closing: str) -> None:
+def write_documents(rows: DataFrame, path: str, entry, opening: str, closing: str, packed: bool = True) -> None:
     """Every document in a file of its own."""
-    _documents(rows, entry, opening, closing).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+    files = _documents(rows, entry, opening, closing).write.mode("overwrite").option("maxRecordsPerFile", 1)
+    files.option("compression", "gzip" if packed else "none").text(path)
 
 
-def _write_set2(spark: SparkSession, sf: str, path: str) -> None:
-    writers.write(csv_rows(spark, sf), path, fmt="csv")
+def _write_set2(spark: SparkSession, sf: str, path: str, packed: bool) -> None:
+    writers.write(csv_rows(spark, sf), path, fmt="csv", packed=packed)
 
 
-def _write_set5(spark: SparkSession, sf: str, path: str) -> None:
-    write_documents(list_rows(spark, sf), path, F.to_json(F.struct("*")), "[", "]")
+def _write_set5(spark: SparkSession, sf: str, path: str, packed: bool) -> None:
+    write_documents(list_rows(spark, sf), path, F.to_json(F.struct("*")), "[", "]", packed)
 
 
-def _write_set8(spark: SparkSession, sf: str, path: str) -> None:
+def _write_set8(spark: SparkSession, sf: str, path: str, packed: bool) -> None:
     member = F.concat(F.lit('"'), F.col("game_id").cast("string"), F.lit('":'), F.to_json(F.struct("*")))
-    write_documents(dict_rows(spark, sf), path, member, "{", "}")
+    write_documents(dict_rows(spark, sf), path, member, "{", "}", packed)
 
 
 _WRITERS = {"set2.csv": _write_set2, "set5.json": _write_set5, "set8.json": _write_set8}
@@ -87,11 +88,15 @@ def folder(spark: SparkSession, sf: str) -> str:
     return _FOLDERS[key]
 
 
-def export(spark: SparkSession, sf: str, name: str) -> str:
-    """Path of one of the three exports, written once per application when it is first read."""
-    path = f"{folder(spark, sf)}/{name}"
+def export(spark: SparkSession, sf: str, name: str, packed: bool = True) -> str:
+    """Path of one of the three exports, written once per application when it is first read.
+
+    It is compressed unless its files are to be split; who reads whole files takes either.
+    """
+    plain = f"{folder(spark, sf)}/{name}"
+    path = f"{folder(spark, sf)}/packed-{name}" if packed and plain not in _EXPORTS else plain
     if path not in _EXPORTS:
-        _WRITERS[name](spark, sf, path)
+        _WRITERS[name](spark, sf, path, packed)
         _EXPORTS.add(path)
     return path
 
@@ -106,12 +111,12 @@ def read_list_export(spark, sf, split=False):
         "appid long, name string, release_date string, developer string, publisher string, categories string, genres string, "
         "positive_ratings long, negative_ratings long, average_playtime double, median_playtime double, owners string, price double"
     )
-    return readers.read_json_list(spark, export(spark, sf, "set5.json"), schema, split)
+    return readers.read_json_list(spark, export(spark, sf, "set5.json", not split), schema, split)
 
 
 def read_dict_export(spark, sf, split=False):
     schema = T.StructType.fromDDL("early_access string, title string, tag_list string, vr_only string, vr_supported string")
-    return readers.read_json_dict(spark, export(spark, sf, "set8.json"), schema, key_col="game_id", split=split)
+    return readers.read_json_dict(spark, export(spark, sf, "set8.json", not split), schema, key_col="game_id", split=split)
 
 
 @query("a01_csv_export", over_items("""select cast(item_id as varchar) as app_id, 'The "' || item_id || '", a title' as title, strftime(release_date, '%Y-%m-%d') as date_release, price from items"""))

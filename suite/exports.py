@@ -242,7 +242,7 @@ _WRITTEN: set[str] = set()
 
 
 def files(spark: SparkSession, sf: str) -> str:
-    """Folder of the exports that ``suite.build`` does not write, in the formats they come in; written once per application."""
+    """Folder of the exports that ``suite.build`` does not write, in the formats they come in, compressed; written once per application."""
     root = folder(spark, sf)
     if root not in _WRITTEN:
         for name, (which, columns) in FILES.items():
@@ -250,8 +250,8 @@ def files(spark: SparkSession, sf: str) -> str:
             if name == "set9":
                 write_documents(rows, f"{root}/{name}.json", F.to_json(F.struct("*")), "[", "]")
             else:
-                writers.write(rows, f"{root}/{name}.csv", fmt="csv")
-        writers.write(completion_times(spark, sf), f"{root}/set4.csv", fmt="csv")
+                writers.write(rows, f"{root}/{name}.csv", fmt="csv", packed=True)
+        writers.write(completion_times(spark, sf), f"{root}/set4.csv", fmt="csv")  # joined: its size must tell what it holds
         _WRITTEN.add(root)
     return root
 

@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import types as T
 from marquetry.functions import parsing as P
 from marquetry.operators import mapping
 from marquetry.sources import documents, profile, readers, writers
-from suite import build
+from suite import build, exports  # noqa: F401
 from suite.items import QUERIES
 
 
@@ -95,6 +96,25 @@ def test_a_query_writes_only_the_exports_it_reads(spark, tmp_path, monkeypatch):
     assert QUERIES["a02_json_list_export"](spark, str(tmp_path)).count() == 32 and written == ["set5.json", "set8.json"]
 
 
+def test_exports_are_compressed_unless_they_are_split(spark, tmp_path, monkeypatch):
+    """Every packed file is one task, so it holds few rows; a table that is joined stays plain, as its size decides how."""
+    items = spark.range(1, 41).selectExpr("id as o_orderkey", "'F' as o_orderstatus", "100000.0D as o_totalprice", "timestamp'2001-02-03' as o_orderdate", "'1-URGENT' as o_orderpriority")
+    lines = spark.range(1, 81).selectExpr("id % 40 as l_orderkey", "id % 5 as l_partkey", "1.0D as l_quantity", "'A' as l_returnflag")
+    for name, df in (("orders", items), ("lineitem", lines), ("part", spark.range(5).selectExpr("id as p_partkey", "concat('hot ring ', id) as p_name"))):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(writers, "PACKED_ROWS", 7)
+    out = QUERIES["d05_merge_catalog"](spark, str(tmp_path))
+    assert out.count() == 45
+    root = Path(build.folder(spark, str(tmp_path)))
+    files = lambda name: [f.name for f in (root / name).glob("part-*")]
+    for name in ("set1.csv", "set3.csv", "set6.csv", "set7.csv", "set9.json", "packed-set2.csv", "packed-set5.json", "packed-set8.json"):
+        assert files(name) and all(f.endswith(".gz") for f in files(name))
+    assert len(files("packed-set2.csv")) >= 6 and all(f.endswith(".csv") for f in files("set4.csv"))
+    rows = lambda q: sorted(map(tuple, QUERIES[q](spark, str(tmp_path)).collect()))
+    assert rows("a02_json_list_export") == rows("a02_json_list_split") and rows("a03_json_dict_export") == rows("a03_json_dict_split")
+    assert not any(f.endswith(".gz") for f in files("set5.json") + files("set8.json"))
+
+
 def test_layers_and_null_check(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, "b")], "appid long, name string")
     writers.write(df, str(tmp_path / "preprocessed"))
