@@ -292,3 +292,35 @@ def test_wide_blocks_lose_no_pair(spark, monkeypatch):
     want = [(k, a, n or o, b) for k, a, n in left if k in keys for j, o, b in right if j == k]
     want += [(k, a, n or None, None) for k, a, n in left if k not in keys] + [(k, None, o, b) for k, o, b in right if k not in keys]
     assert got == sorted(f"Row(k={k!r}, a={a!r}, n={n!r}, b={b!r})" for k, a, n, b in want)
+
+
+def test_halves_miss_no_pair(spark, monkeypatch):
+    """Texts that crowds share grams with are looked up by their halves; all edits, at the ends and in the middle, of short and long strings."""
+    monkeypatch.setattr(fuzzy, "CROWD", 3)
+    rng = random.Random(8)
+    words = sorted({f"Store#{rng.randrange(600):0{rng.choice([3, 6, 9])}d}" for _ in range(150)} | {"", "a", "ab", "é" * 70, "Store#" + "é" * 60})
+    texts = ["", "b", "é" * 69, "Store#" + "é" * 58]
+    for w in rng.sample(words, 60):
+        for _ in range(rng.randrange(4)):
+            i = rng.choice([0, len(w) // 2, len(w), rng.randrange(len(w) + 1)])
+            w = w[:i] + rng.choice(["", "0", "#0"]) + w[i + rng.randrange(2) :]
+        texts.append(w)
+    w = fuzzy._strings(spark.createDataFrame([(x,) for x in words], "w string"), "w", "word_no", "word")
+    t = fuzzy._strings(spark.createDataFrame([(x,) for x in texts], "t string"), "t", "text_no", "text")
+    q, percent = fuzzy.ROUNDS[1]
+    got = {(r["text"], r["word"]) for r in fuzzy.near_within(t, w, q, percent).collect()}
+    pairs = t.crossJoin(w).where(f"levenshtein(text, word) <= floor(greatest(length(text), length(word)) * {percent} / 100)")
+    assert got == {(r["text"], r["word"]) for r in pairs.collect()}
+    df, vocab = t.select("text"), w.select("word")
+    got = sorted(tuple(r) for r in fuzzy.fuzzy_lookup(df, "text", vocab, 3).collect())
+    assert got == sorted(tuple(r) for r in fuzzy.fuzzy_lookup(df, "text", vocab, 3, rounds=()).collect())
+
+
+def test_pairs_do_not_grow_with_the_square_of_names_that_share_their_stem(spark, monkeypatch):
+    """Five times the names of one stem make no more pairs for each."""
+    monkeypatch.setattr(fuzzy, "CROWD", 10)
+    names = spark.range(2_500).select(F.format_string("Customer#%09d", "id").alias("w"))
+    wrong = names.select(F.concat(F.substring("w", 1, 4), F.lit("0"), F.substring("w", 6, 3), F.substring("w", 10, 9)).alias("t"))
+    texts, words = fuzzy._strings(wrong, "t", "text_no", "text"), fuzzy._strings(names, "w", "word_no", "word")
+    pairs = [fuzzy.candidate_pairs(texts.where(f"text < 'Cust0mer{n:09d}'"), words.where(f"word < 'Customer#{n:09d}'"), *fuzzy.ROUNDS[1], 3).count() for n in (500, 2_500)]
+    assert pairs[1] < 10 * pairs[0] and pairs[1] < 2_500 * 60
